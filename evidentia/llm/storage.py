@@ -9,7 +9,6 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -71,7 +70,6 @@ def with_row_ids(docs: DataFrame) -> DataFrame:
         )
 
     bounded_batches(docs.sparkSession)
-    try:
+    if "_metadata" in docs._jdf.queryExecution().analyzed().metadataOutput().mkString(" "):
         return tagged(docs)
-    except AnalysisException:
-        return tagged(saved(docs.select(*[F.col(f"`{c}`") for c in names]), "rows"))
+    return tagged(saved(docs.select(*[F.col(f"`{c}`") for c in names]), "rows"))
