@@ -9,12 +9,13 @@ of the pairs in it, and pairs whose sizes, or whose places in the order, bound
 their overlap below what the similarity needs are dropped at once. Surviving
 pairs are counted whole.
 
-Only what classes are linked into is asked for, so a column needn't multiply all
-its rows by each other. In the first round every row meets one pivot of its
-column, and is counted against the pivot with the greatest overlap. After that
-only columns that still hold several components go on, with ever more of their
-rows as pivots against the rows of other components, until each such pair of the
-column was counted. No pair that could link two components is left out.
+A column of up to SMALL rows is multiplied at once. Longer ones, such as those of
+a large group of near copies, are not: what is asked for is only what classes are
+linked into. There every row first meets one pivot. After that only columns that
+still hold several components go on, with ever more of their rows as pivots
+against the rows of other components, until each such pair of the column was
+counted. Of the pairs that survive, those that would join two components are
+counted whole. No pair that could do so is left out.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .storage import ROW_ID, saved, with_row_ids
-from .words import Coder, lower_words, texts_of, window_hashes
+from .words import WordCodes, texts_of, window_hashes
 
 NGRAM = 5
 
@@ -37,10 +38,10 @@ NGRAM = 5
 PART, WHOLE = 75, 100
 
 #: Frequent n-grams that the global order knows; n-grams that a task counts at once; least count there to be reported.
-FREQUENT, AT_ONCE, REPORTED = 1 << 20, 1 << 22, 4
+FREQUENT, AT_ONCE, REPORTED = 1 << 20, 1 << 22, 2
 
-#: Rows of a column that one task takes as a piece; factor by which the pivots grow.
-PIECE, GROWTH = 2_000, 16
+#: Rows up to which a column is multiplied at once; rows of a piece of a longer one; factor by which pivots grow.
+SMALL, PIECE, GROWTH = 64, 2_000, 16
 
 _IDS = ", ".join(f"{c} long" for c in ROW_ID)
 
@@ -49,11 +50,15 @@ class Sets:
     """Sorted distinct n-gram hashes of texts."""
 
     def __init__(self, n: int):
-        self.n, self.coder = n, Coder()
+        self.n, self.words = n, WordCodes(lower=True)
 
-    def of(self, text: bytes) -> np.ndarray:
-        codes = self.coder.codes(lower_words(text))
-        return np.unique(window_hashes(codes, min(self.n, len(codes)))) if len(codes) else np.empty(0, np.uint64)
+    def of(self, texts: list[bytes]) -> Iterator[np.ndarray]:
+        codes, counts = self.words.codes(texts)
+        grams, ends = window_hashes(codes, self.n), np.cumsum(counts)
+        for end, count in zip(ends.tolist(), counts.tolist(), strict=True):
+            own = grams[end - count : end - self.n + 1] if count >= self.n else window_hashes(codes[end - count : end], count) if count else codes[:0]
+            own = np.sort(own)
+            yield own[np.concatenate(([True], own[1:] != own[:-1]))] if len(own) > 1 else own
 
 
 class Order:
@@ -89,15 +94,17 @@ def frequent_grams(rows: DataFrame, n: int) -> DataFrame:
         sets, held, size = Sets(n), [], 0
 
         def out() -> pa.RecordBatch:
-            grams, counts = np.unique(np.concatenate(held), return_counts=True) if held else (np.empty(0, np.uint64), np.empty(0, np.int64))
-            often = counts >= REPORTED
+            grams = np.sort(np.concatenate([*held, np.empty(0, np.uint64)]))
             held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(grams[often].view(np.int64)), pa.array(counts[often].astype(np.int64))], names=["gram", "docs"])
+            first = np.flatnonzero(np.concatenate(([True], grams[1:] != grams[:-1]))) if len(grams) else np.empty(0, np.int64)
+            counts = np.diff(np.append(first, len(grams)))
+            often = counts >= REPORTED
+            return pa.RecordBatch.from_arrays([_signed(grams[first[often]]), pa.array(counts[often])], names=["gram", "docs"])
 
         for batch in batches:
-            for text in texts_of(batch):
-                held.append(sets.of(text))
-                size += len(held[-1])
+            for found in sets.of(list(texts_of(batch))):
+                held.append(found)
+                size += len(found)
                 if size >= AT_ONCE:
                     yield out()
                     size = 0
@@ -118,8 +125,7 @@ def _row_sets(rows: DataFrame, order, n: int, part: int, whole: int) -> DataFram
         sets = Sets(n)
         for batch in batches:
             sizes, digests, prefixes = [], [], []
-            for text in texts_of(batch):
-                grams = sets.of(text)
+            for grams in sets.of(list(texts_of(batch))):
                 sizes.append(len(grams))
                 digests.append(xxhash.xxh3_128_digest(grams.tobytes()))
                 prefixes.append(order.value.sorted(grams)[: prefix_size(len(grams), part, whole)].tobytes() if len(grams) else b"")
@@ -132,7 +138,7 @@ def _row_sets(rows: DataFrame, order, n: int, part: int, whole: int) -> DataFram
     return rows.mapInArrow(made, f"doc_id long, n long, d1 long, d2 long, prefix binary, {_IDS}")
 
 
-def _columns(classes: DataFrame, order) -> DataFrame:
+def _columns(sets: DataFrame, order) -> DataFrame:
     """(gram, piece, class, n, at): the entries of the incidence that are multiplied; a frequent column is in pieces, else piece is -1."""
 
     def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -157,60 +163,88 @@ def _columns(classes: DataFrame, order) -> DataFrame:
                     names=["gram", "piece", "class", "n", "at"],
                 )
 
-    return classes.select("class", "n", "prefix").mapInArrow(entries, "gram long, piece int, class long, n int, at int")
+    return sets.select("class", "n", "prefix").mapInArrow(entries, "gram long, piece int, class long, n int, at int")
+
+
+_MET = [("gram", pa.int64()), ("class", pa.int64()), ("n", pa.int32()), ("at", pa.int32()), ("p_class", pa.int64()), ("p_n", pa.int32()), ("p_at", pa.int32()), ("overlap", pa.int32())]
+
+
+def _products(rows: np.ndarray, starts: np.ndarray, sizes: np.ndarray, part: int, whole: int) -> pa.RecordBatch:
+    """The pairs of columns (rows from ``starts``) with the number of columns that they share, if their sizes allow the similarity."""
+    found = [np.empty((0, 2), np.int64)]
+    for size in np.unique(sizes):
+        i, j = np.triu_indices(size, 1)
+        column = starts[sizes == size][:, None]
+        found.append(np.stack([(column + j).ravel(), (column + i).ravel()], 1))
+    at = np.concatenate(found)
+    n, m = rows[at[:, 0], 3], rows[at[:, 1], 3]
+    at = at[whole * np.minimum(n, m) >= part * np.maximum(n, m)]
+    a, b = rows[at[:, 0], 2], rows[at[:, 1], 2]
+    order = np.lexsort((b, a))
+    a, b, at = a[order], b[order], at[order]
+    first = np.flatnonzero(np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])))) if len(a) else np.empty(0, np.int64)
+    nothing = pa.nulls(len(first), pa.int64()), pa.nulls(len(first), pa.int32())
+    ints = lambda x: pa.array(x.astype(np.int32))
+    return pa.RecordBatch.from_arrays(
+        [nothing[0], pa.array(a[first]), ints(rows[at[first, 0], 3]), nothing[1], pa.array(b[first]), ints(rows[at[first, 1], 3]), nothing[1], ints(np.diff(np.append(first, len(a))))],
+        names=[c for c, _ in _MET],
+    )
 
 
-def _with_pivots(columns: DataFrame) -> DataFrame:
-    """Each row of a piece with the piece's first class as its pivot.
+def _with_pivot(rows: np.ndarray, pivots: np.ndarray) -> pa.RecordBatch:
+    columns = [rows[:, 0], rows[:, 2], rows[:, 3], rows[:, 4], pivots[:, 2], pivots[:, 3], pivots[:, 4], np.ones(len(rows), np.int64)]
+    return pa.RecordBatch.from_arrays([pa.array(x, kind) for x, (_, kind) in zip(columns, _MET, strict=True)], names=[c for c, _ in _MET])
 
-    A column's only row is left out, but not a piece's. The rows come sorted, so a
-    column streams by, and no more than its pivot is held.
-    """
-    ints = [("gram", pa.int64()), ("piece", pa.int32()), ("class", pa.int64()), ("n", pa.int32()), ("at", pa.int32())]
 
-    def out(parts: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-        rows, pivots = (np.concatenate(x) for x in zip(*parts, strict=True))
-        columns = [pa.array(rows[:, i], kind) for i, (_, kind) in enumerate(ints)] + [pa.array(pivots[:, i], ints[i][1]) for i in (2, 3, 4)]
-        return pa.RecordBatch.from_arrays(columns, names=[*[c for c, _ in ints], "p_class", "p_n", "p_at"])
+def _met(columns: DataFrame, part: int, whole: int) -> DataFrame:
+    """What meets in the columns: with a null gram, pairs and their overlap in short columns; else each row of a long one with its pivot.
+
+    The rows come sorted, so a column streams by, and no more than SMALL rows of
+    it are held. A piece of a frequent column counts as long whatever its size.
+    """
+    names = ["gram", "piece", "class", "n", "at"]
 
-    def paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pivot = None  # the last piece's pivot, one row
-        waiting = False  # whether it has met no other row yet
+    def meeting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.empty((0, 5), np.int64)  # the last column so far, if short
+        pivot = None  # the last column's pivot, if long
         for batch in batches:
-            if not len(batch):
+            rows = np.concatenate([held, np.stack([batch.column(c).to_numpy().astype(np.int64) for c in names], 1)])
+            if not len(rows):
                 continue
-            rows, parts = np.stack([batch.column(c).to_numpy().astype(np.int64) for c, _ in ints], 1), []
             new = np.ones(len(rows), bool)
             new[1:] = (rows[1:, :2] != rows[:-1, :2]).any(1)
             if pivot is not None:
                 new[0] = bool((rows[0, :2] != pivot[0, :2]).any())
-                if waiting and (not new[0] or pivot[0, 1] >= 0):
-                    parts.append((pivot, pivot))
             starts = np.flatnonzero(new)
-            group = np.cumsum(new) - 1
-            pivots = rows[starts[group]] if len(starts) else rows.copy()
             if not new[0]:
-                pivots[group < 0] = pivot
-            use = np.ones(len(rows), bool)
-            alone = starts[np.diff(np.append(starts, len(rows))) == 1]
-            use[alone[rows[alone, 1] < 0]] = False
-            waiting = bool(len(alone)) and alone[-1] == len(rows) - 1
-            use[-1] &= not waiting
-            parts.append((rows[use], pivots[use]))
-            pivot = pivots[-1:]
-            yield out(parts)
-        if waiting and pivot[0, 1] >= 0:
-            yield out([(pivot, pivot)])
+                end = starts[0] if len(starts) else len(rows)
+                yield _with_pivot(rows[:end], np.repeat(pivot, end, 0))
+            if not len(starts):
+                continue
+            sizes = np.diff(np.append(starts, len(rows)))
+            long = (rows[starts, 1] >= 0) | (sizes > SMALL)
+            if long.any():
+                own = np.repeat(long, sizes)
+                yield _with_pivot(rows[starts[0] :][own], np.repeat(rows[starts[long]], sizes[long], 0))
+            pivot, held = (rows[starts[-1]][None], rows[:0]) if long[-1] else (None, rows[starts[-1] :])
+            short = ~long & (sizes > 1)
+            short[-1] = False
+            if short.any():
+                yield _products(rows, starts[short], sizes[short], part, whole)
+        if len(held) > 1:
+            yield _products(held, np.zeros(1, np.int64), np.array([len(held)]), part, whole)
 
     dealt = columns.repartition("gram", "piece").sortWithinPartitions("gram", "piece", "class")
-    return dealt.mapInArrow(paired, "gram long, piece int, class long, n int, at int, p_class long, p_n int, p_at int")
+    return dealt.mapInArrow(meeting, "gram long, class long, n int, at int, p_class long, p_n int, p_at int, overlap int")
 
 
-def _first_round(classes: DataFrame, order) -> DataFrame:
-    """Rows of all columns with their pivots; where a column is in pieces, these pivots too meet one of them."""
-    rows = saved(_with_pivots(_columns(classes, order)), "shared")
-    between = rows.where("piece >= 0 and class = p_class").select("gram", F.lit(-1).alias("piece"), "class", "n", "at")
-    return rows.unionByName(_with_pivots(between)).drop("piece")
+def _first_round(columns: DataFrame, part: int, whole: int) -> DataFrame:
+    """What meets in all columns; the pivots of a column's pieces meet too, as a column without pieces."""
+    met = saved(_met(columns, part, whole), "met")
+    pivots = met.where("gram is not null and class = p_class").select("gram", "class", "n", "at")
+    several = pivots.groupBy("gram").agg(F.count(F.lit(1)).alias("pieces")).where("pieces > 1").select("gram")
+    again = pivots.join(several, "gram").select("gram", F.lit(0).alias("piece"), "class", "n", "at")
+    return met.unionByName(_met(again, part, whole))
 
 
 def _needed(a, b, part: int, whole: int):
@@ -223,15 +257,15 @@ def _can_link(n, at, p_n, p_at, part: int, whole: int):
     return F.least(n - at, p_n - p_at) >= _needed(n, p_n, part, whole)
 
 
-def _class_sets(rows: DataFrame, classes: DataFrame, n: int) -> DataFrame:
+def _class_sets(rows: DataFrame, stand: DataFrame, n: int) -> DataFrame:
     """(class, grams): the whole sorted sets of some classes, made again from the text that stands for each."""
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets = Sets(n)
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column("class"), pa.array([sets.of(t).tobytes() for t in texts_of(batch)], pa.binary())], names=["class", "grams"])
+            yield pa.RecordBatch.from_arrays([batch.column("class"), pa.array([g.tobytes() for g in sets.of(list(texts_of(batch)))], pa.binary())], names=["class", "grams"])
 
-    texts = rows.select("text", *ROW_ID).join(classes.select("class", *[F.col(f"one.{c}").alias(c) for c in ROW_ID]), list(ROW_ID))
+    texts = rows.select("text", *ROW_ID).join(stand, list(ROW_ID))
     return texts.select("class", "text").mapInArrow(made, "class long, grams binary")
 
 
@@ -289,24 +323,36 @@ def linked_components(docs: DataFrame, n: int = NGRAM, part: int = PART, whole:
     order = spark.sparkContext.broadcast(Order(known.column("gram").to_numpy().view(np.uint64), known.column("docs").to_numpy()))
 
     sets = saved(_row_sets(rows, order, n, part, whole), "sets")
-    classes = sets.where("n > 0").groupBy("d1", "d2").agg(F.min(F.struct(*ROW_ID)).alias("one"), F.min("doc_id").alias("min_id"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
+    classes = sets.where("n > 0").groupBy("d1", "d2").agg(F.min(F.struct(*ROW_ID)).alias("one"), F.min("doc_id").alias("min_id"))
     classes = saved(classes.select(F.monotonically_increasing_id().alias("class"), "*"), "classes")
-
-    shared = saved(_first_round(classes, order), "shared")
-    comps = saved(shared.select("class").distinct().select("class", F.col("class").alias("comp")), "comps")
-    whole_sets = saved(_class_sets(rows, classes.join(comps, "class", "left_semi"), n), "grams")
-
-    met = shared.where(F.col("class") != F.col("p_class")).where(_can_link(F.col("n"), F.col("at"), F.col("p_n"), F.col("p_at"), part, whole))
-    overlaps = met.groupBy("class", "p_class").agg(F.count(F.lit(1)).alias("overlap"))
-    best = overlaps.groupBy("class").agg(F.max(F.struct("overlap", F.col("p_class").alias("b"))).alias("best"))
-    links = _linked(best.select(F.col("class").alias("a"), F.col("best.b").alias("b")), whole_sets, part, whole)
-    comps = _merged(comps, saved(links, "links"))
-
-    active, before, pivots = shared.select("gram", "class", "n", "at").distinct(), 0, GROWTH
+    stand = classes.select("class", *[F.col(f"one.{c}").alias(c) for c in ROW_ID])
+    columns = _columns(sets.select("n", "prefix", *ROW_ID).join(stand, list(ROW_ID)), order)
+    met = saved(_first_round(columns, part, whole), "met")
+
+    long = met.where("gram is not null")
+    rest = F.greatest(*[F.ceil(part * F.col(c) / whole) - 1 for c in ("n", "p_n")])
+    pairs = met.where("gram is null").groupBy(F.col("class").alias("a"), F.col("p_class").alias("b")).agg(F.sum("overlap").alias("overlap"), F.first("n").alias("n"), F.first("p_n").alias("p_n"))
+    pairs = saved(pairs.where(F.col("overlap") + rest >= _needed(F.col("n"), F.col("p_n"), part, whole)).select("a", "b", "overlap"), "pairs")
+    some = pairs.select("a").unionByName(pairs.select(F.col("b").alias("a"))).unionByName(long.select(F.col("class").alias("a"))).distinct()
+    comps = saved(some.select(F.col("a").alias("class"), F.col("a").alias("comp")), "comps")
+    whole_sets = saved(_class_sets(rows, stand.join(comps, "class", "left_semi"), n), "grams")
+
+    starred = long.where(F.col("class") != F.col("p_class")).where(_can_link(F.col("n"), F.col("at"), F.col("p_n"), F.col("p_at"), part, whole))
+    starred = starred.groupBy(F.col("class").alias("a"), F.col("p_class").alias("b")).agg(F.sum("overlap").alias("overlap"))
+    best = pairs.unionByName(starred).groupBy("a").agg(F.max(F.struct("overlap", "b"))["b"].alias("most"), F.min("b").alias("least"))
+    first = saved(best.select("a", F.explode(F.array_distinct(F.array("most", "least"))).alias("b")), "first")
+    comps = _merged(comps, saved(_linked(first, whole_sets, part, whole), "links"))
+
+    comp = lambda c: comps.select(F.col("class").alias(c), F.col("comp").alias(f"comp_{c}"))
+    open_pairs = pairs.select("a", "b").join(comp("a"), "a").join(comp("b"), "b").where("comp_a <> comp_b").select("a", "b").join(first, ["a", "b"], "left_anti")
+    comps = _merged(comps, saved(_linked(open_pairs, whole_sets, part, whole), "links"))
+
+    active, before, pivots = long.select("gram", "class", "n", "at").distinct(), 0, GROWTH
     while True:
         tagged = active.select("gram", "class", "n", "at").join(comps, "class")
         mixed = tagged.groupBy("gram").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2"), F.count(F.lit(1)).alias("m")).where(f"c1 <> c2 and m > {before}")
-        active = saved(tagged.join(mixed.select("gram", "m").hint("merge"), "gram").withColumn("u", F.pmod(F.xxhash64("class"), F.lit(1 << 40)) / F.lit(float(1 << 40)) * F.col("m")), "active")
+        active = tagged.join(mixed.select("gram", "m").hint("merge"), "gram")
+        active = saved(active.withColumn("u", F.pmod(F.xxhash64("class"), F.lit(1 << 40)) / F.lit(float(1 << 40)) * F.col("m")), "active")
         if active.isEmpty():
             break
         links = saved(_linked(_cross_pairs(active, before, pivots, part, whole), whole_sets, part, whole), "links")

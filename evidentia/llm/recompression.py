@@ -26,43 +26,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .storage import ROW_ID, saved, with_row_ids
-from .words import Coder, combined, marked_spans, space_words, texts_of
+from .words import Powers, WordCodes, combined, marked_spans, space_words, texts_of
 
 WINDOW, ROUNDS = 35, 3
 
-#: Words that are renamed at once.
-WORDS_AT_ONCE = 300_000
+#: Bytes of texts that are renamed at once.
+BYTES_AT_ONCE = 1 << 20
 
 #: ``at`` of the row for a whole text; representatives that are a window have -2 - start.
 WHOLE = -1
 
-_RADIX = (0x9E3779B97F4A7C15 | 1, 0xC2B2AE3D27D4EB4F | 1)
-
-
-class _Powers:
-    """Powers of an odd number modulo 2**64 and of its inverse."""
-
-    def __init__(self, radix: int):
-        self.radix, self.inverse = radix, pow(radix, -1, 1 << 64)
-        self.up = self.down = np.ones(1, np.uint64)
-
-    def grow(self, n: int) -> None:
-        if len(self.up) < n:
-            for name, base in (("up", self.radix), ("down", self.inverse)):
-                steps = np.full(n, base, np.uint64)
-                steps[0] = 1
-                setattr(self, name, np.multiply.accumulate(steps))
-
-    def sums(self, codes: np.ndarray) -> np.ndarray:
-        self.grow(len(codes) + 1)
-        out = np.zeros(len(codes) + 1, np.uint64)
-        np.cumsum(codes * self.up[: len(codes)], out=out[1:])
-        return out
-
-    def stretch(self, sums: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
-        """Hash of the codes in [first, last)."""
-        plain = (sums[last] - sums[first]) * self.down[first]
-        return combined(plain, (last - first).astype(np.uint64))
+_RADIX = (0x9E3779B97F4A7C15, 0xD1B54A32D192ED03)
 
 
 @dataclass
@@ -132,19 +106,16 @@ class Parser:
 
     def __init__(self, window: int, rounds: int):
         self.window, self.rounds = window, rounds
-        self.coder, self.powers = Coder(), [_Powers(r) for r in _RADIX]
-
-    def codes(self, text: bytes) -> np.ndarray:
-        return self.coder.codes(space_words(text))
+        self.words, self.powers = WordCodes(lower=False), [Powers(r) for r in _RADIX]
 
-    def join(self, texts: list[np.ndarray]) -> None:
+    def join(self, texts: list[bytes]) -> None:
         """Take these texts, one after another with a stop behind each."""
-        self.sizes = np.array([len(t) for t in texts], np.int64)
+        codes, self.sizes = self.words.codes(texts)
         self.starts = np.cumsum(self.sizes + 1) - self.sizes - 1
-        gap = np.zeros(1, np.uint64)
-        self.all = np.concatenate([x for t in texts for x in (t, gap)])
-        self.stop = np.zeros(len(self.all), bool)
+        self.stop = np.zeros(len(codes) + len(texts), bool)
         self.stop[self.starts + self.sizes] = True
+        self.all = np.zeros(len(self.stop), np.uint64)
+        self.all[~self.stop] = codes
         count = np.maximum(self.sizes - self.window + 1, 0)
         self.windows = np.repeat(self.starts - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
         self.sums = [p.sums(self.all) for p in self.powers]
@@ -172,11 +143,11 @@ class Parser:
 
 
 def _gathered(sizes: Iterator[int]) -> Iterator[tuple[int, int]]:
-    """Ranges of neighbouring texts with some WORDS_AT_ONCE words, each text whole."""
+    """Ranges of neighbouring texts with some BYTES_AT_ONCE bytes, each text whole."""
     first = total = n = 0
     for i, size in enumerate(sizes):
         total, n = total + size, i + 1
-        if total >= WORDS_AT_ONCE:
+        if total >= BYTES_AT_ONCE:
             yield first, n
             first, total = n, 0
     if n > first:
@@ -192,7 +163,7 @@ def shared_symbols(rows: DataFrame, window: int, rounds: int) -> DataFrame:
     def parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parser = Parser(window, rounds)
         for batch in batches:
-            texts = [parser.codes(t) for t in texts_of(batch)]
+            texts = list(texts_of(batch))
             for first, last in _gathered(map(len, texts)):
                 parser.join(texts[first:last])
                 at, key = parser.representatives()
@@ -224,7 +195,7 @@ def _candidate_windows(rows: DataFrame, window: int, rounds: int) -> DataFrame:
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parser = Parser(window, rounds)
         for batch in batches:
-            texts = [parser.codes(t) for t in texts_of(batch)]
+            texts = list(texts_of(batch))
             places = [np.asarray(x, np.int64) for x in batch.column("places").to_pylist()]
             for first, last in _gathered(map(len, texts)):
                 parser.join(texts[first:last])

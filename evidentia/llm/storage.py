@@ -46,10 +46,11 @@ def new_path(spark: SparkSession, label: str) -> str:
 def saved(df: DataFrame, label: str, partition_by: str | None = None) -> DataFrame:
     """``df`` written as a shared Parquet table and read again."""
     spark = df.sparkSession
-    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")  # the table stands in for the shuffles behind it
     path = new_path(spark, label)
     writer = df.write.partitionBy(partition_by) if partition_by else df.write
     writer.parquet(path)
+    # nothing refers to the shuffles behind the table any more: a collection lets Spark's cleaner remove their files now
+    spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 
