@@ -237,13 +237,13 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, rounds: int = ROUNDS)
     copies = saved(whole.join(groups, ["key", "key2"]).select(*ids, ((F.col("one")[ids[0]] == F.col(ids[0])) & (F.col("one")[ids[1]] == F.col(ids[1]))).alias("stands")), "copies")
 
     parts = symbols.where(F.col("at") != WHOLE).select("key", "at", *ids)
-    shared = parts.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
+    shared = saved(parts.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"), "keys")  # a table of its own: the join below can split hot keys
     places = parts.join(shared.hint("merge"), "key").groupBy(*ids).agg(F.collect_set("at").alias("places"))  # at most a text's words
     places = places.join(copies, ids, "left").where("stands is null or stands").withColumn("weight", F.when(F.col("stands"), 2).otherwise(1).cast("long"))
     places = saved(places.select(*ids, "places", "weight"), "places")
 
     windows = saved(_candidate_windows(rows.join(places, ids).select("text", "places", "weight", *ids), window, rounds), "windows")
-    repeated = windows.groupBy("h1", "h2").agg(F.sum("weight").alias("n")).where("n > 1").select("h1", "h2")
+    repeated = saved(windows.groupBy("h1", "h2").agg(F.sum("weight").alias("n")).where("n > 1").select("h1", "h2"), "repeated")
     starts = windows.join(repeated.hint("merge"), ["h1", "h2"]).groupBy(*ids).agg(F.collect_list("start").alias("starts"))
     starts = starts.join(copies.select(*ids, "stands"), ids, "full_outer").select(*ids, F.coalesce("starts", F.array().cast("array<int>")).alias("starts"), F.col("stands").isNotNull().alias("copy"))
     starts = saved(starts, "starts")
