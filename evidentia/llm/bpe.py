@@ -9,7 +9,6 @@ are merged exactly, by rank.
 
 from __future__ import annotations
 
-import hashlib
 import heapq
 import json
 from collections import Counter
@@ -23,11 +22,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .storage import ROW_ID, new_path, with_row_ids
+from .words import Powers
 
 #: Fixed: how the vocabulary's byte-level pre-tokenizer cuts a text into words.
 WORD = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
-#: Words of the lexicon; distinct words that a worker counts, or keeps merged, at once.
+#: Words of the lexicon; distinct words that a worker counts at once.
 LEXICON_WORDS, WORDS_AT_ONCE = 131_072, 200_000
 
 _SHORT = 48
@@ -57,10 +57,15 @@ class Vocabulary:
         for token, i in self.special.items():
             self.bytes_of[i] = token.encode()
         self.first = [ids[c] for c in letters]
-        self.merges = {}
+        self.merges = {}  # (id, id) to (rank, id)
         for rank, pair in enumerate(spec["model"]["merges"]):
             a, b = pair.split(" ") if isinstance(pair, str) else pair
             self.merges[ids[a], ids[b]] = (rank, ids[a + b])
+        by_key = sorted((a << 32 | b, rank, new) for (a, b), (rank, new) in self.merges.items())
+        self.keys, self.ranks, self.news = np.array(by_key, np.int64).reshape(-1, 3).T.copy()
+        self.new_of_rank = np.zeros(len(by_key) + 1, np.int64)
+        self.new_of_rank[self.ranks] = self.news
+        self.first_ids = np.array(self.first, np.int64)
 
     def merged(self, word: bytes) -> list[int]:
         """The ids of one word: the pair of least rank is merged first, from the left, until none is left."""
@@ -84,6 +89,50 @@ class Vocabulary:
             ids = out
         return ids
 
+    def merged_all(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """How many ids each short word has, and all ids: one merge in every word at a time, the leftmost of the least rank."""
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        out: list[np.ndarray | None] = [None] * len(words)
+        ids = self.first_ids[np.frombuffer(b"".join(words), np.uint8)]
+        which = np.flatnonzero(sizes > 0)  # the words that ``ids`` holds, with ``own`` ids each
+        own = sizes[which]
+        word = np.repeat(np.arange(len(which)), own)
+        none = len(self.keys)
+
+        def ranks(left: np.ndarray) -> np.ndarray:
+            """Rank of the pair that begins at each place; ``none`` at the end of a word and without a merge."""
+            right = np.minimum(left + 1, len(ids) - 1)
+            key = ids[left] << 32 | ids[right]
+            at = np.minimum(np.searchsorted(self.keys, key), none - 1)
+            return np.where((self.keys[at] == key) & (word[left] == word[right]) & (right > left), self.ranks[at], none)
+
+        rank = ranks(np.arange(len(ids))) if len(ids) and none else np.full(len(ids), none)
+        while len(ids):
+            starts = np.cumsum(own) - own
+            least = np.minimum.reduceat(rank, starts)
+            going = least < none
+            if going.sum() * 2 < len(which):  # put away the words that are done
+                stay = np.repeat(going, own)
+                for k in np.flatnonzero(~going):
+                    out[which[k]] = ids[starts[k] : starts[k] + own[k]]
+                ids, rank, which, own, least = ids[stay], rank[stay], which[going], own[going], least[going]
+                word = np.repeat(np.arange(len(which)), own)
+                if not len(ids):
+                    break
+            at = np.flatnonzero((rank == least[word]) & (rank < none))
+            at = at[np.concatenate(([True], word[at[1:]] != word[at[:-1]]))]
+            ids[at] = self.new_of_rank[rank[at]]
+            keep = np.ones(len(ids), bool)
+            keep[at + 1] = False
+            own = own - np.bincount(word[at], minlength=len(own))
+            at -= np.arange(len(at))  # places after the removal
+            ids, rank, word = ids[keep], rank[keep], word[keep]
+            rank[at] = ranks(at)
+            before = at[at > 0] - 1
+            rank[before] = ranks(before)
+        made = [x if x is not None else self.first_ids[:0] for x in out]
+        return np.fromiter(map(len, made), np.int64, len(made)), np.concatenate([*made, self.first_ids[:0]])
+
     def _merged_long(self, ids: list[int]) -> list[int]:
         """The same with a heap of pairs over a linked list: n log n for words of any length."""
         n, get = len(ids), self.merges.get
@@ -191,22 +240,80 @@ class Lexicon:
         return np.where(ok, place, -1)
 
 
-class _Numbers(dict):
-    """Numbers words in the order of their first sight."""
+_OTHER, _LETTER, _NUMBER, _SPACE = range(4)
+
+
+class Cutter:
+    """Cuts many texts into words as WORD does, all at once.
+
+    A word is a run of letters, of numbers or of other signs, with a single space
+    in front if there is one, or what is left of white space. Contractions come
+    before letters.
+    """
 
-    def __missing__(self, word: str) -> int:
-        self[word] = n = len(self)
-        return n
+    def __init__(self):
+        chars = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
+        self.classes = np.zeros(0x110000, np.uint8)
+        for kind, pattern in ((_LETTER, r"\p{L}+"), (_NUMBER, r"\p{N}+"), (_SPACE, r"\s+")):
+            for m in regex.finditer(pattern, chars):
+                a, b = m.span()
+                shift = 0x800 if a >= 0xD800 else 0
+                self.classes[a + shift : b + (0x800 if b > 0xD800 else 0)] = kind
+        self.classes[0xD800:0xE000] = _OTHER
+        self.powers = Powers(0x9E3779B97F4A7C15)
+
+    def cut(self, texts: list[str]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+        """Distinct words, the number of each word of all texts among them, and how many words each text has."""
+        whole = "".join(texts)
+        chars = np.frombuffer(whole.encode("utf-32-le"), np.uint32)
+        n, kind = len(chars), self.classes[chars]
+        if not n:
+            return [], np.empty(0, np.int64), np.zeros(len(texts), np.int64)
+        sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+        begins = np.cumsum(sizes) - sizes
+        edge = np.zeros(n + 1, bool)  # a text begins here
+        edge[begins] = True
+        edge[n] = True
+        start = edge[:n].copy()
+        start[1:] |= kind[1:] != kind[:-1]
+        # white space before a word: its last sign stands alone, or goes with the word if it is a space
+        runs = np.flatnonzero(start)
+        ends = np.append(runs[1:], n)
+        ends = ends[(kind[runs] == _SPACE) & ~edge[ends]]
+        start[ends - 1] = True
+        start[ends[chars[ends - 1] == 32]] = False
+        # contractions
+        at = np.flatnonzero((chars == 39) & start)
+        at = at[~edge[at + 1]]
+        one = chars[at + 1]
+        two = np.where(edge[np.minimum(at + 2, n)], 0, chars[np.minimum(at + 2, n - 1)])
+        short = np.isin(one, [ord(c) for c in "stmd"])
+        long = (np.isin(one, [ord(c) for c in "rv"]) & (two == ord("e"))) | ((one == ord("l")) & (two == ord("l")))
+        start[at[short | long] + 1] = False
+        for length, which in ((2, short), (3, long)):
+            rest = at[which] + length
+            rest = rest[~edge[rest]]
+            start[rest[kind[rest] == _LETTER]] = True
+
+        first = np.flatnonzero(start)
+        last = np.append(first[1:], n)
+        value = (chars.astype(np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)
+        value ^= value >> np.uint64(29)
+        code = self.powers.stretch(self.powers.sums(value), first, last)
+        _, one_of, number = np.unique(code, return_index=True, return_inverse=True)
+        size = 1 + (chars >= 0x80).astype(np.int64) + (chars >= 0x800) + (chars >= 0x10000)
+        byte = np.concatenate(([0], np.cumsum(size)))
+        data = whole.encode()
+        words = [data[a:b] for a, b in zip(byte[first[one_of]].tolist(), byte[last[one_of]].tolist(), strict=True)]
+        return words, number.ravel(), np.diff(np.append(np.searchsorted(first, begins), len(first)))
 
 
 class Encoder:
     """Encodes batches of texts: each distinct word of a batch is looked up once, unseen ones are merged."""
 
     def __init__(self, vocabulary: Vocabulary, lexicon: Lexicon):
-        self.vocabulary, self.lexicon = vocabulary, lexicon
-        self.words = regex.compile(WORD).findall
-        self.special = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(vocabulary.special, key=len, reverse=True)) + ")") if vocabulary.special else None
-        self.kept: dict[bytes, list[int]] = {}
+        self.vocabulary, self.lexicon, self.cutter = vocabulary, lexicon, Cutter()
+        self.special = special_pattern(vocabulary.special)
 
     def _ids(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Of all words: how many ids each has, and the ids one after another."""
@@ -215,52 +322,47 @@ class Encoder:
         at = place[known]
         sizes = np.zeros(len(words), np.int64)
         sizes[known] = self.lexicon.offsets[at + 1] - self.lexicon.offsets[at]
-        merged = []
-        for i in np.flatnonzero(~known):
-            word = words[i]
-            ids = self.kept.get(word)
-            if ids is None:
-                ids = self.vocabulary.merged(word)
-                if len(word) <= _SHORT:
-                    if len(self.kept) >= WORDS_AT_ONCE:
-                        self.kept.clear()
-                    self.kept[word] = ids
-            sizes[i] = len(ids)
-            merged += ids
+        short = ~known & (np.fromiter(map(len, words), np.int64, len(words)) <= _SHORT)
+        sizes[short], merged = self.vocabulary.merged_all([words[i] for i in np.flatnonzero(short)])
+        long = np.flatnonzero(~known & ~short)
+        longs = [self.vocabulary.merged(words[i]) for i in long]
+        sizes[long] = [len(x) for x in longs]
         start = np.cumsum(sizes) - sizes
         out = np.empty(int(sizes.sum()), np.int32)
         out[_spread(start[known], sizes[known])] = self.lexicon.ids[_spread(self.lexicon.offsets[at], sizes[known])]
-        out[_spread(start[~known], sizes[~known])] = merged
+        out[_spread(start[short], sizes[short])] = merged
+        out[_spread(start[long], sizes[long])] = [i for x in longs for i in x]
         return sizes, out
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Number of ids of each text, and all ids one after another."""
-        number, of_words, counts = _Numbers(), [], []
-        special: dict[int, int] = {}
-        for text in texts:
-            pieces = self.special.split(text) if self.special else [text]
-            found = np.fromiter(map(number.__getitem__, self.words(pieces[0])), np.int32)
-            for token, piece in zip(pieces[1::2], pieces[2::2]):
-                n = number["\0special " + token]  # no word holds a space behind another character
-                special[n] = self.vocabulary.special[token]
-                found = np.concatenate([found, [n], np.fromiter(map(number.__getitem__, self.words(piece)), np.int32)])
-            of_words.append(found)
-            counts.append(len(found))
-        words = [w.encode() for w in number]
-        for n in special:
-            words[n] = b""
+        pieces, of_text, special = [], [], []  # special: (piece that it stands behind, id)
+        for i, text in enumerate(texts):
+            parts = self.special.split(text) if self.special else [text]
+            for k, part in enumerate(parts):
+                if k % 2:
+                    special.append((len(pieces) - 1, self.vocabulary.special[part]))
+                else:
+                    pieces.append(part)
+                    of_text.append(i)
+        words, used, counts = self.cutter.cut(pieces)
         sizes, ids = self._ids(words)
-        if special:
-            at = np.array(sorted(special))
-            start = (np.cumsum(sizes) - sizes)[at]
-            ids = np.insert(ids, start, [special[n] for n in at])
-            sizes[at] = 1
         start = np.cumsum(sizes) - sizes
-        used = np.concatenate(of_words).astype(np.int64) if of_words else np.empty(0, np.int64)
         out = ids[_spread(start[used], sizes[used])]
         ends = np.concatenate(([0], np.cumsum(sizes[used])))
         last = np.cumsum(counts)
-        return ends[last] - ends[last - counts], out
+        of_piece = ends[last] - ends[last - counts]
+        if special:
+            behind = np.cumsum(of_piece)[[k for k, _ in special]]
+            out = np.insert(out, behind, [i for _, i in special])
+            np.add.at(of_piece, [k for k, _ in special], 1)
+        return np.bincount(of_text, of_piece, len(texts)).astype(np.int64), out
+
+
+def special_pattern(special: Iterable[str]):
+    """Splits a text at the strings of special tokens, and keeps them."""
+    found = sorted(special, key=len, reverse=True)
+    return regex.compile("(" + "|".join(map(regex.escape, found)) + ")") if found else None
 
 
 def _spread(start: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -289,34 +391,35 @@ def _chunks(batch: pa.RecordBatch, most: int = 1 << 21) -> Iterator[tuple[int, l
 
 def frequent_words(docs: DataFrame, most: int, special: Iterable[str]) -> list[str]:
     """The ``most`` most frequent words of all whole texts, ties in order of the words."""
-    split = regex.compile("|".join(regex.escape(s) for s in special)).split if special else lambda t: [t]
+    special = special_pattern(special)
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, counts = regex.compile(WORD).findall, Counter()
+        cutter, counts = Cutter(), Counter()
 
         def out() -> pa.RecordBatch:
-            made = pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["word", "n"])
+            made = pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()).cast(pa.string()), pa.array(list(counts.values()), pa.int64())], names=["word", "n"])
             counts.clear()
             return made
 
         for batch in batches:
             for _, texts in _chunks(batch):
-                for text in texts:
-                    for piece in split(text):
-                        counts.update(words(piece))
+                words, used, _ = cutter.cut([p for t in texts for p in special.split(t)[::2]] if special else texts)
+                for word, n in zip(words, np.bincount(used, minlength=len(words)).tolist(), strict=True):
+                    if len(word) <= _SHORT:
+                        counts[word] += n
                 if len(counts) >= WORDS_AT_ONCE:
                     yield out()
         yield out()
 
-    totals = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(counted, "word string, n long").where(F.octet_length("word") <= _SHORT).groupBy("word").agg(F.sum("n").alias("n"))
+    totals = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(counted, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
     return [r[0] for r in totals.orderBy(F.desc("n"), "word").limit(most).select("word").toLocalIterator()]
 
 
 def ship_lexicon(spark: SparkSession, vocabulary: Vocabulary, words: Iterable[str]) -> str:
     """Compile ``words`` and send the file to every executor; returns the name under which they find it."""
     block = compile_lexicon((w, vocabulary.merged(w)) for w in {w.encode() for w in words})
-    name = f"lexicon-{hashlib.sha256(block).hexdigest()[:16]}.bin"
     folder = new_path(spark, "lexicon")
+    name = f"{folder.rpartition('/')[2]}.bin"  # files that are sent need names of their own
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}")
     stream = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(target)
     for i in range(0, len(block), 1 << 20):
