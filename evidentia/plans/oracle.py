@@ -193,8 +193,8 @@ UNION ALL SELECT source, target, 'import_edge', source || ' imports ' || target,
     "predict_impact": f"""WITH {_FUSED}, direct AS (SELECT query_id, CASE WHEN test THEN 'test' ELSE 'file' END AS section, path, least(score / max(score) OVER (PARTITION BY query_id), 1.0) AS confidence, 'matches the task' AS reason FROM best),
 raw AS (SELECT DISTINCT o_orderkey, path AS file FROM orders JOIN lineitem ON o_orderkey = l_orderkey JOIN docs ON doc = l_partkey), {_edges(files='raw')},
 near AS (SELECT *, row_number() OVER (PARTITION BY path_a ORDER BY strength DESC, path_b) AS r FROM edges QUALIFY r <= 5),
-found AS (SELECT d.query_id, path_b AS path, path_a, n, total, strength, row_number() OVER (PARTITION BY d.query_id, path_b ORDER BY strength DESC, path_a) AS r
-  FROM direct d JOIN near ON path = path_a WHERE section = 'file' AND (d.query_id, path_b) NOT IN (SELECT (query_id, path) FROM direct WHERE section = 'file') QUALIFY r = 1),
+found AS (SELECT d.query_id, path_b AS path, path_a, n, total, strength, row_number() OVER (PARTITION BY d.query_id, path_b ORDER BY strength DESC, path_a) AS pick
+  FROM direct d JOIN near ON path = path_a WHERE section = 'file' AND (d.query_id, path_b) NOT IN (SELECT (query_id, path) FROM direct WHERE section = 'file') QUALIFY pick = 1),
 more AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY strength DESC, path) AS place FROM found QUALIFY place <= 8)
 SELECT query_id, section, path, round(confidence, 6) AS confidence, reason FROM direct
 UNION ALL SELECT query_id, 'cochange', path, round(strength, 6), {_REASON.format(seed='path_a')} FROM more""",
@@ -204,8 +204,8 @@ SELECT query_id, returned_tokens, read_tokens FROM returned JOIN reading USING (
     "rank_random": f"""WITH {_DOCS}, asked AS (SELECT * FROM (VALUES (1, 'retry webhook'), (2, 'cancel refund')) t(query_id, text)), hashed AS (SELECT query_id, path, {_fnv('text || path')} AS h FROM docs, asked)
 SELECT query_id, path, row_number() OVER (PARTITION BY query_id ORDER BY h, path)::INT AS rank FROM hashed QUALIFY rank <= 20""",
     "symbol_exact": f"""WITH {_SYMBOLS}, {_SYMBOL_QUERIES}, words AS (SELECT query_id, unnest(ws) AS w, unnest(range(len(ws))) AS k FROM (SELECT query_id, string_split_regex(text, '[^a-zA-Z0-9_.]+') AS ws FROM symbol_queries)),
-both AS (SELECT query_id, k * 2 AS k, w FROM words UNION ALL SELECT query_id, k * 2 + 1, string_split(w, '.')[-1] FROM words),
-names AS (SELECT query_id, lower(w) AS name, min(k) AS k FROM both WHERE len(w) >= 3 AND (contains(w, '_') OR w <> lower(w)) GROUP BY ALL),
+spellings AS (SELECT query_id, k * 2 AS k, w FROM words UNION ALL SELECT query_id, k * 2 + 1, string_split(w, '.')[-1] FROM words),
+names AS (SELECT query_id, lower(w) AS name, min(k) AS k FROM spellings WHERE len(w) >= 3 AND (contains(w, '_') OR w <> lower(w)) GROUP BY ALL),
 placed AS (SELECT query_id, name, (row_number() OVER (PARTITION BY query_id ORDER BY k) - 1)::INT AS seq FROM names)
 SELECT query_id, seq, p.name, kind, path, start_line, row_number() OVER (PARTITION BY query_id, seq ORDER BY s.name, path, start_line)::INT AS rank FROM placed p JOIN symbols s ON lower(s.name) = p.name QUALIFY rank <= 5""",
     "symbol_substring": f"""WITH {_SYMBOLS}, {_SYMBOL_QUERIES}, tokens AS (SELECT DISTINCT query_id, unnest({_QUERY_TOKENS}) AS token FROM symbol_queries)
@@ -226,10 +226,10 @@ SELECT count(*) AS samples, round(avg(h5 / n), 6) AS recall_5, round(avg(h10 / n
     "review_join": f"WITH {_COMMENTS} SELECT * FROM comments",
     "review_rank": f"""WITH {_COMMENTS}, history AS (SELECT pr_number * 1000 + line AS id, body FROM comments), {_vectors('history', 'id', 'body', 'dv')}, {_vectors('benchmark', 'item_id', 'text', 'qv')}, {_cosine('dv', 'id')}
 SELECT query_id, id, score, rank::INT AS rank FROM cosine WHERE rank <= 10""",
-    "correction_attribution": """SELECT u.conv_id AS pr_number, u.turn AS id, u.turn AS created_at, 'c' || min(a.turn) AS next_sha, min(a.turn) AS next_at
+    "correction_attribution": """SELECT u.conv_id AS pr_number, u.turn AS id, u.turn AS created_at, coalesce('c' || min(a.turn), '') AS next_sha, coalesce(min(a.turn), -1) AS next_at
 FROM conversations u LEFT JOIN conversations a ON a.conv_id = u.conv_id AND a.role = 'assistant' AND a.turn > u.turn WHERE u.role = 'user' GROUP BY u.conv_id, u.turn""",
     "json_ingest": "SELECT event_id, event_type, (props ->> '$.k')::BIGINT AS k FROM events",
-    "payload_ingest": "SELECT conv_id AS pr_number, 'conv/' || conv_id AS path, turn AS line, text AS body, role AS author, '' AS created_at, '' AS diff_hunk, '' AS commit_id, NULL::BIGINT AS in_reply_to FROM conversations",
+    "payload_ingest": "SELECT conv_id AS pr_number, 'conv/' || conv_id AS path, turn AS line, text AS body, role AS author, '' AS created_at, '' AS diff_hunk, '' AS commit_id FROM conversations",
     "verification_plan": f"""WITH {_DOCS}, {_profile_rows()}, matched AS (SELECT DISTINCT source AS change_set, name, a FROM docs JOIN profiles ON regexp_matches(path, rx)),
 listed AS (SELECT change_set, c.text, c.a, c.b FROM matched JOIN checks c USING (a) QUALIFY row_number() OVER (PARTITION BY change_set, c.text ORDER BY c.a, c.b) = 1)
 SELECT change_set, 'profile' AS kind, name AS text, a::BIGINT AS a, 0::BIGINT AS b FROM matched UNION ALL SELECT change_set, 'check', text, a, b FROM listed""",

@@ -297,7 +297,8 @@ def correction_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = B.turns(spark, sf_dir)
     comments = turns.where("role = 'user'").select(F.col("conv_id").alias("pr_number"), F.col("turn").alias("id"), F.col("turn").alias("created_at"))
     commits = turns.where("role = 'assistant'").select(F.col("conv_id").alias("pr_number"), F.concat(F.lit("c"), F.col("turn").cast("string")).alias("sha"), F.col("turn").alias("authored_at"))
-    return reviews.next_commits(comments, commits)
+    found = reviews.next_commits(comments, commits)
+    return found.withColumn("next_sha", F.coalesce("next_sha", F.lit(""))).withColumn("next_at", F.coalesce("next_at", F.lit(-1)))
 
 
 @query
@@ -309,7 +310,7 @@ def json_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
 def payload_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     comment = F.struct(F.concat(F.lit("conv/"), F.col("conv_id").cast("string")).alias("path"), F.lit(None).cast("long").alias("line"), F.col("turn").alias("original_line"), F.col("text").alias("body"), F.struct(F.col("role").alias("login")).alias("user"))
     made = B.turns(spark, sf_dir).select(F.col("conv_id").alias("pr_number"), F.to_json(F.array(comment)).alias("payload"))
-    return payloads.review_comments(made)
+    return payloads.review_comments(made).drop("in_reply_to")
 
 
 # verification
@@ -351,7 +352,7 @@ def prune_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = B.table(spark, sf_dir, "events").schema
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 4).parquet(f"{sf_dir}/events.parquet")
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 4).parquet(f"{sf_dir}/events.parque[t]")  # as a pattern, for it may be a file or a folder
 
 
 @query
