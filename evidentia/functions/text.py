@@ -85,7 +85,7 @@ def recency_boost(ts: Column, as_of: Column, weight: float, halflife_days: float
     if weight <= 0 or halflife_days <= 0:
         return F.lit(0.0)
     age = F.greatest(as_of - ts, F.lit(0)) / F.lit(86400.0)
-    return F.coalesce(F.lit(weight) * F.pow(F.lit(0.5), age / F.lit(halflife_days)), F.lit(0.0))
+    return F.when(ts.isNull(), 0.0).otherwise(F.lit(weight) * F.pow(F.lit(0.5), age / F.lit(halflife_days)))
 
 
 def percent(part: Column, total: Column) -> Column:

@@ -118,7 +118,7 @@ lists AS (
 ), seen AS (
   SELECT c.*, d.path, {_test('d.path')} AS test, {_class('d.path')} AS class, contains(lower(text), 'test') AS about,
     len(list_filter({_QUERY_TOKENS}, lambda t: contains(lower(d.path), t))) > 0 AS on_path,
-    coalesce(0.4 * pow(0.5, greatest({AS_OF} - epoch(o_orderdate)::BIGINT, 0) / 86400.0 / 90.0), 0.0) AS recent
+    CASE WHEN o_orderdate IS NULL THEN 0.0 ELSE 0.4 * pow(0.5, greatest({AS_OF} - epoch(o_orderdate)::BIGINT, 0) / 86400.0 / 90.0) END AS recent
   FROM candidates c JOIN docs d USING (doc) JOIN benchmark ON item_id = query_id LEFT JOIN orders ON o_orderkey = doc
 ), added AS (
   SELECT *, coalesce(b, 0) * 1.0 + coalesce(v, 0) * 1.2 + CASE WHEN on_path THEN 0.6 ELSE 0 END + recent AS s FROM seen
