@@ -8,32 +8,40 @@ from pyspark.sql import functions as F
 from .storage import saved
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
-    """Each vertex points its larger neighbours to the least vertex around it."""
-    around = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = around.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    return around.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+def _edges(df: DataFrame) -> DataFrame:
+    """Distinct edges (u, v) with u > v."""
+    return df.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
-    """Each vertex points its smaller neighbours, and itself, to the least of them."""
-    least = edges.groupBy("u").agg(F.min("v").alias("m"))
-    pointed = edges.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return pointed.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
+def _roots(parents: DataFrame) -> DataFrame:
+    """(u, root) from (u, p) with p < u: every vertex looks where its parent points, until nothing changes."""
+    while True:
+        up = parents.select(F.col("u").alias("p"), F.col("p").alias("q"))
+        parents = saved(parents.join(up, "p", "left").select("u", F.coalesce("q", "p").alias("p"), F.col("q").isNotNull().alias("moved")), "parents")
+        if parents.where("moved").isEmpty():
+            return parents.select("u", F.col("p").alias("root"))
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """(vertex, least): for each vertex of the edges (a, b) the least vertex that it can reach.
+def components(edges: DataFrame) -> DataFrame:
+    """(vertex, least): for each vertex of the edges (a, b), loops aside, the least vertex that it can reach.
 
-    Large-star and small-star steps alternate until nothing changes: stars of any
-    size take few rounds, paths a logarithmic number. Loops and repeated edges do
-    no harm.
+    Each round, every vertex with a smaller neighbour hooks to its least one; the
+    trees that this makes shrink to their roots by doubling jumps, and the edges
+    between different trees are the next round's. A hub's edges combine before
+    they are shuffled. A round has the largest vertex of each edge hooked, so
+    stars take two rounds and paths one.
     """
-    now = saved(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
-    for _ in range(most_rounds):
-        new = saved(_small_star(_large_star(now)), "edges")
-        sums = [t.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first() for t in (now, new)]
-        now = new
-        if sums[0] == sums[1]:
-            return now.select(F.col("u").alias("vertex"), F.col("v").alias("least")).unionByName(now.select(F.col("v").alias("vertex"), F.col("v").alias("least")).distinct())
-    raise RuntimeError("components did not settle")
+    now = saved(_edges(edges), "edges")
+    done = None
+    while not now.isEmpty():
+        roots = _roots(now.groupBy("u").agg(F.min("v").alias("p")))
+        lows = now.select("v").distinct().join(roots.select(F.col("u").alias("v")), "v", "left_anti").select(F.col("v").alias("u"), F.col("v").alias("root"))
+        every = roots.unionByName(lows)
+        if done is None:
+            done = every.select(F.col("u").alias("vertex"), F.col("root").alias("least"))
+        else:
+            done = done.join(every.withColumnRenamed("u", "least"), "least", "left").select("vertex", F.coalesce("root", "least").alias("least"))
+        done = saved(done, "least")
+        a, b = every.select("u", F.col("root").alias("a")), every.select(F.col("u").alias("v"), F.col("root").alias("b"))
+        now = saved(_edges(now.join(a, "u").join(b, "v").select("a", "b")), "edges")
+    return done if done is not None else now.select(F.col("u").alias("vertex"), F.col("v").alias("least"))

@@ -38,7 +38,7 @@ NGRAM = 5
 PART, WHOLE = 75, 100
 
 #: Frequent n-grams that the global order knows; n-grams that a task counts at once; least count there to be reported.
-FREQUENT, AT_ONCE, REPORTED = 1 << 20, 1 << 22, 2
+FREQUENT, AT_ONCE, REPORTED = 1 << 20, 1 << 21, 2
 
 #: Rows up to which a column is multiplied at once; rows of a piece of a longer one; factor by which pivots grow.
 SMALL, PIECE, GROWTH = 64, 2_000, 16
@@ -299,6 +299,9 @@ def _cross_pairs(active: DataFrame, before: int, pivots: int, part: int, whole:
 
 def _merged(comps: DataFrame, links: DataFrame) -> DataFrame:
     """Components (class, comp) after further links between classes."""
+    links = saved(links, "links")
+    if links.isEmpty():
+        return comps
     a = comps.select(F.col("class").alias("a"), F.col("comp").alias("ca"))
     b = comps.select(F.col("class").alias("b"), F.col("comp").alias("cb"))
     edges = links.join(a, "a").join(b, "b").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
@@ -341,11 +344,11 @@ def linked_components(docs: DataFrame, n: int = NGRAM, part: int = PART, whole:
     starred = starred.groupBy(F.col("class").alias("a"), F.col("p_class").alias("b")).agg(F.sum("overlap").alias("overlap"))
     best = pairs.unionByName(starred).groupBy("a").agg(F.max(F.struct("overlap", "b"))["b"].alias("most"), F.min("b").alias("least"))
     first = saved(best.select("a", F.explode(F.array_distinct(F.array("most", "least"))).alias("b")), "first")
-    comps = _merged(comps, saved(_linked(first, whole_sets, part, whole), "links"))
+    comps = _merged(comps, _linked(first, whole_sets, part, whole))
 
     comp = lambda c: comps.select(F.col("class").alias(c), F.col("comp").alias(f"comp_{c}"))
     open_pairs = pairs.select("a", "b").join(comp("a"), "a").join(comp("b"), "b").where("comp_a <> comp_b").select("a", "b").join(first, ["a", "b"], "left_anti")
-    comps = _merged(comps, saved(_linked(open_pairs, whole_sets, part, whole), "links"))
+    comps = _merged(comps, _linked(open_pairs, whole_sets, part, whole))
 
     active, before, pivots = long.select("gram", "class", "n", "at").distinct(), 0, GROWTH
     while True:
@@ -355,8 +358,7 @@ def linked_components(docs: DataFrame, n: int = NGRAM, part: int = PART, whole:
         active = saved(active.withColumn("u", F.pmod(F.xxhash64("class"), F.lit(1 << 40)) / F.lit(float(1 << 40)) * F.col("m")), "active")
         if active.isEmpty():
             break
-        links = saved(_linked(_cross_pairs(active, before, pivots, part, whole), whole_sets, part, whole), "links")
-        comps = _merged(comps, links)
+        comps = _merged(comps, _linked(_cross_pairs(active, before, pivots, part, whole), whole_sets, part, whole))
         before, pivots = pivots, pivots * GROWTH
 
     least = classes.join(comps, "class").groupBy("comp").agg(F.min("min_id").alias("least_id"))
