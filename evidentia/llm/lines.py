@@ -101,10 +101,10 @@ def drop_repeated_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3,
     rule needs the whole count, the verdict joins all lines with the final runs.
     """
     rows = with_row_ids(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")))
-    rows = rows.withColumn("lines", F.split(F.coalesce("text", F.lit("")), "\n", -1))
+    split = F.split(F.coalesce("text", F.lit("")), "\n", -1)
     key = line_key(F.col("line"))
     lines = (
-        rows.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), *ROW_ID, F.posexplode("lines").alias("at", "line"))
+        rows.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), *ROW_ID, F.posexplode(split).alias("at", "line"))
         .select("id", *ROW_ID, "at", key.alias("key"))
         .where(F.char_length("key") >= min_chars)
         .select("id", *ROW_ID, "at", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2"), F.pmod(F.xxhash64("id"), F.lit(batches)).cast("int").alias("batch"))
@@ -117,7 +117,7 @@ def drop_repeated_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3,
     dropped = lines.select("id", *ROW_ID, "at", "h1", "h2").join(settled.hint("merge"), ["h1", "h2"]).where(F.col("id") != F.col("max_id"))
     places = dropped.groupBy(*ROW_ID).agg(F.sort_array(F.collect_list("at")).alias("places"))
     kept = F.array_join(without(F.col("lines"), F.col("places")), "\n")
-    return rows.join(places, list(ROW_ID), "left").select(
+    return rows.join(places, list(ROW_ID), "left").withColumn("lines", split).select(  # split behind the join: only texts are shuffled
         "doc_id",
         F.size("lines").cast("long").alias("n_lines"),
         F.coalesce(F.size("places"), F.lit(0)).cast("long").alias("n_dropped"),
