@@ -21,7 +21,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .storage import ROW_ID, new_path, with_row_ids
+from .storage import ROW_ID, most_frequent, new_path, with_row_ids
 from .words import Powers
 
 #: Fixed: how the vocabulary's byte-level pre-tokenizer cuts a text into words.
@@ -390,7 +390,7 @@ def _chunks(batch: pa.RecordBatch, most: int = 1 << 21) -> Iterator[tuple[int, l
 
 
 def frequent_words(docs: DataFrame, most: int, special: Iterable[str]) -> list[str]:
-    """The ``most`` most frequent words of all whole texts, ties in order of the words."""
+    """The most frequent words of all whole texts, ``most`` at most."""
     special = special_pattern(special)
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -412,7 +412,7 @@ def frequent_words(docs: DataFrame, most: int, special: Iterable[str]) -> list[s
         yield out()
 
     totals = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(counted, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return [r[0] for r in totals.orderBy(F.desc("n"), "word").limit(most).select("word").toLocalIterator()]
+    return [r[0] for r in most_frequent(totals, "n", most).select("word").toLocalIterator()]
 
 
 def ship_lexicon(spark: SparkSession, vocabulary: Vocabulary, words: Iterable[str]) -> str:

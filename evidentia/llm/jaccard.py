@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .storage import ROW_ID, saved, with_row_ids
+from .storage import ROW_ID, most_frequent, saved, with_row_ids
 from .words import WordCodes, texts_of, window_hashes
 
 NGRAM = 5
@@ -111,7 +111,7 @@ def frequent_grams(rows: DataFrame, n: int) -> DataFrame:
         yield out()
 
     found = rows.select("text").mapInArrow(counted, "gram long, docs long").groupBy("gram").agg(F.sum("docs").alias("docs"))
-    return found.orderBy(F.desc("docs"), "gram").limit(FREQUENT)
+    return most_frequent(found, "docs", FREQUENT)
 
 
 def _signed(values: np.ndarray) -> pa.Array:
@@ -322,7 +322,7 @@ def linked_components(docs: DataFrame, n: int = NGRAM, part: int = PART, whole:
     """
     spark = docs.sparkSession
     rows = with_row_ids(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")))
-    known = saved(frequent_grams(rows, n), "frequent").toArrow()  # FREQUENT rows at most
+    known = frequent_grams(rows, n).toArrow()  # FREQUENT rows at most
     order = spark.sparkContext.broadcast(Order(known.column("gram").to_numpy().view(np.uint64), known.column("docs").to_numpy()))
 
     sets = saved(_row_sets(rows, order, n, part, whole), "sets")

@@ -74,3 +74,19 @@ def with_row_ids(docs: DataFrame) -> DataFrame:
     if "_metadata" in docs._jdf.queryExecution().analyzed().metadataOutput().mkString(" "):
         return tagged(docs)
     return tagged(saved(docs.select(*[F.col(f"`{c}`") for c in names]), "rows"))
+
+
+def most_frequent(totals: DataFrame, count: str, most: int) -> DataFrame:
+    """The rows of ``totals`` with the greatest counts: as many whole levels of 1/16 of an octave as ``most`` rows take.
+
+    Only the sizes of the levels, a thousand at most, are gathered; no task sorts
+    or holds the candidates of all others.
+    """
+    totals = saved(totals, "totals")
+    level = F.floor(F.log2(count) * 16)
+    left, lowest = most, None
+    for row in totals.groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("level")).collect():
+        if row["n"] > left:
+            break
+        left, lowest = left - row["n"], row["level"]
+    return totals.where(level >= lowest) if lowest is not None else totals.limit(0)
