@@ -352,9 +352,10 @@ def linked_components(docs: DataFrame, n: int = NGRAM, part: int = PART, whole:
 
     active, before, pivots = long.select("gram", "class", "n", "at").distinct(), 0, GROWTH
     while True:
-        tagged = active.select("gram", "class", "n", "at").join(comps, "class")
+        tagged = saved(active.select("gram", "class", "n", "at").join(comps, "class"), "tagged")
         mixed = tagged.groupBy("gram").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2"), F.count(F.lit(1)).alias("m")).where(f"c1 <> c2 and m > {before}")
-        active = tagged.join(mixed.select("gram", "m").hint("merge"), "gram")
+        mixed = saved(mixed.select("gram", "m"), "mixed")
+        active = tagged.join(mixed.hint("merge"), "gram")
         active = saved(active.withColumn("u", F.pmod(F.xxhash64("class"), F.lit(1 << 40)) / F.lit(float(1 << 40)) * F.col("m")), "active")
         if active.isEmpty():
             break
