@@ -6,8 +6,9 @@ multiplied: with all n-grams in one global order, rare before frequent, two sets
 of similarity ``t`` share one of the first ``n - ceil(t n) + 1`` of each. The
 product goes block by block over hashed columns; a column adds 1 to the overlap
 of the pairs in it, and pairs whose sizes, or whose places in the order, bound
-their overlap below what the similarity needs are dropped at once. Surviving
-pairs are counted whole.
+their overlap below what the similarity needs are dropped at once; the bound
+takes the long columns below, which add nothing to the overlap, as shared as far
+as both sets have them. Surviving pairs are counted whole.
 
 A column of up to SMALL rows is multiplied at once. Longer ones, such as those of
 a large group of near copies, are not: what is asked for is only what classes are
@@ -253,7 +254,10 @@ def _needed(a, b, part: int, whole: int):
 
 
 def _can_link(n, at, p_n, p_at, part: int, whole: int):
-    """Whether sizes and places in the order allow the similarity: at the first shared n-gram only what follows can be shared."""
+    """Whether sizes and places in the order allow the similarity: at the first shared n-gram only what follows can be shared.
+
+    For long columns: a pair whose first shared n-gram is in a short one has met there.
+    """
     return F.least(n - at, p_n - p_at) >= _needed(n, p_n, part, whole)
 
 
@@ -335,7 +339,11 @@ def linked_components(docs: DataFrame, n: int = NGRAM, part: int = PART, whole:
     long = met.where("gram is not null")
     rest = F.greatest(*[F.ceil(part * F.col(c) / whole) - 1 for c in ("n", "p_n")])
     pairs = met.where("gram is null").groupBy(F.col("class").alias("a"), F.col("p_class").alias("b")).agg(F.sum("overlap").alias("overlap"), F.first("n").alias("n"), F.first("p_n").alias("p_n"))
-    pairs = saved(pairs.where(F.col("overlap") + rest >= _needed(F.col("n"), F.col("p_n"), part, whole)).select("a", "b", "overlap"), "pairs")
+    in_long = saved(long.groupBy("class").agg(F.count(F.lit(1)).alias("m")), "in-long")  # pivots of pieces count twice, which only widens the bound
+    for c in ("a", "b"):
+        pairs = pairs.join(in_long.select(F.col("class").alias(c), F.col("m").alias(f"long_{c}")), c, "left")
+    unseen = F.least(*[F.coalesce(f"long_{c}", F.lit(0)) for c in ("a", "b")])
+    pairs = saved(pairs.where(F.col("overlap") + unseen + rest >= _needed(F.col("n"), F.col("p_n"), part, whole)).select("a", "b", "overlap"), "pairs")
     some = pairs.select("a").unionByName(pairs.select(F.col("b").alias("a"))).unionByName(long.select(F.col("class").alias("a"))).distinct()
     comps = saved(some.select(F.col("a").alias("class"), F.col("a").alias("comp")), "comps")
     whole_sets = saved(_class_sets(rows, stand.join(comps, "class", "left_semi"), n), "grams")

@@ -46,6 +46,17 @@ def test_jaccard_long_columns(spark, tmp_path):
     assert ordered((r.doc_id, r.n_shingles, r.component_id) for r in found.collect()) == ordered(brute.jaccard(rows))
 
 
+def test_jaccard_overlap_in_short_and_long_columns(spark, tmp_path):
+    """Form letters: two of them are linked by the passage of all (a long column for each n-gram) and by n-grams of their own."""
+    rng = random.Random(11)
+    passage, both = words(rng, 82, 90_000), words(rng, 10, 90_000)
+    rows = [(i, f"{passage} {words(rng, 22, 90_000)}") for i in range(70)] + [(100 + i, f"{passage} {both} {words(rng, 12, 90_000)}") for i in range(2)]
+    expected = brute.jaccard(rows)
+    assert (101, 100, 100) in expected
+    found = jaccard.linked_components(as_parquet(spark, tmp_path, rows))
+    assert ordered((r.doc_id, r.n_shingles, r.component_id) for r in found.collect()) == ordered(expected)
+
+
 def test_pieces_of_a_column_meet(spark, monkeypatch):
     columns = spark.createDataFrame([(5, p, c, 10, 0) for c in range(200) for p in [c % 3]] + [(6, -1, 1, 10, 0), (7, -1, 1, 10, 0), (7, -1, 2, 10, 1)], "gram long, piece int, class long, n int, at int")
     rows = jaccard._first_round(columns, 75, 100).collect()
