@@ -109,10 +109,11 @@ class Parser:
         self.words, self.powers = WordCodes(lower=False), [Powers(r) for r in _RADIX]
 
     def join(self, texts: list[bytes]) -> None:
-        """Take these texts, one after another with a stop behind each."""
+        """Take these texts, one after another with a stop before the first and behind each."""
         codes, self.sizes = self.words.codes(texts)
-        self.starts = np.cumsum(self.sizes + 1) - self.sizes - 1
-        self.stop = np.zeros(len(codes) + len(texts), bool)
+        self.starts = np.cumsum(self.sizes + 1) - self.sizes
+        self.stop = np.zeros(len(codes) + len(texts) + 1, bool)
+        self.stop[0] = True
         self.stop[self.starts + self.sizes] = True
         self.all = np.zeros(len(self.stop), np.uint64)
         self.all[~self.stop] = codes

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -90,6 +91,22 @@ def test_equal_windows_have_equal_representatives(rounds):
         assert seen.setdefault(content, (value, place - window if place >= 0 else None)) == (value, place - window if place >= 0 else None)
 
 
+def test_first_text_of_a_chunk_is_parsed_as_any_other():
+    rng = random.Random(2)
+    texts = [" ".join(rng.choice("abcde"[: rng.choice([2, 3, 5])]) for _ in range(rng.randrange(35, 120))).encode() for _ in range(200)]
+    parser = recompression.Parser(35, recompression.ROUNDS)
+
+    def parsed(some):
+        parser.join(some)
+        at, key = parser.representatives()
+        text = parser.text_of(parser.windows)
+        start = parser.starts[text]
+        place = np.where(at >= 0, at - start, at + start)
+        return [list(zip(place[text == i].tolist(), key[text == i].tolist(), strict=True)) for i in range(len(some))]
+
+    assert parsed(texts) == [parsed([t])[0] for t in texts]
+
+
 def test_lines(spark, tmp_path):
     rng = random.Random(5)
     pool = [f"line number {i} with enough characters" for i in range(6)] + ["short", "", "   ", "LINE NUMBER 0 WITH ENOUGH CHARACTERS  ", "É longer line that has an accent"]
