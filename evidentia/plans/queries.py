@@ -52,7 +52,7 @@ def inventory_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 def chunk_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     spans = (("first", 1, 2), ("rest", 3, 9_999), ("far", 900, 950), ("backwards", 5, 2), ("none", 0, 0))
     symbols = F.array(*[F.struct(F.lit(n).alias("name"), F.lit(a).alias("start_line"), F.lit(b).alias("end_line")) for n, a, b in spans])
-    rows = B.documents(spark, sf_dir).select("doc", F.explode(T.chunk_plan(F.substring("body", 1, 60_000), symbols)).alias("c"))
+    rows = B.documents(spark, sf_dir).select("doc", F.explode(T.chunk_plan(F.col("body"), symbols)).alias("c"))
     return rows.select("doc", "c.symbol", "c.start_line", F.length("c.text").alias("chars"), F.md5("c.text").alias("text_md5"))
 
 

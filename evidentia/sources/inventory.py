@@ -29,10 +29,10 @@ def scan(spark: SparkSession, root: str, with_content: bool = False) -> DataFram
 
 
 def bodies(files: DataFrame) -> DataFrame:
-    """(path, body, preview) of files with ``content``; those that aren't UTF-8 are left out."""
+    """(path, body, preview, source) of files with ``content``: what is indexed, shown, and the whole text; those that aren't UTF-8 are left out."""
     text = F.decode("content", "UTF-8")
     whole = files.where(F.is_valid_utf8(F.col("content").cast("string")))
-    return whole.select("path", F.substring(text, 1, BODY_CHARS).alias("body"), F.substring(text, 1, PREVIEW_CHARS).alias("preview"))
+    return whole.select("path", F.substring(text, 1, BODY_CHARS).alias("body"), F.substring(text, 1, PREVIEW_CHARS).alias("preview"), text.alias("source"))
 
 
 _BLOCK = {
@@ -102,17 +102,17 @@ def imports_of(source: str, language: str) -> list[str]:
 
 
 def extracted(files: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Symbols (path, name, kind, start_line, end_line, signature) and imports (path, target) of files (path, language, body)."""
-    some = files.where(F.col("language").isin(*P.SUPPORTED)).select("path", "language", "body")
+    """Symbols (path, name, kind, start_line, end_line, signature) and imports (path, target) of files (path, language, source)."""
+    some = files.where(F.col("language").isin(*P.SUPPORTED)).select("path", "language", "source")
 
     def symbols(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = [(p, *s) for p, lang, body in batch.itertuples(index=False) for s in symbols_of(body or "", lang)]
+            rows = [(p, *s) for p, lang, source in batch.itertuples(index=False) for s in symbols_of(source or "", lang)]
             yield pd.DataFrame(rows, columns=["path", "name", "kind", "start_line", "end_line", "signature"])
 
     def imports(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame([(p, t) for p, lang, body in batch.itertuples(index=False) for t in imports_of(body or "", lang)], columns=["path", "target"])
+            yield pd.DataFrame([(p, t) for p, lang, source in batch.itertuples(index=False) for t in imports_of(source or "", lang)], columns=["path", "target"])
 
     found = some.mapInPandas(symbols, "path string, name string, kind string, start_line int, end_line int, signature string")
     targets = some.mapInPandas(imports, "path string, target string").withColumn("target", P.normalized_target(F.col("target"))).where("target <> ''")
@@ -120,8 +120,8 @@ def extracted(files: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def chunks(files: DataFrame, symbols: DataFrame) -> DataFrame:
-    """(path, symbol, start_line, text, hash) of files (path, body) by ``chunk_plan``."""
+    """(path, symbol, start_line, text, hash) of files (path, source) by ``chunk_plan``."""
     own = symbols.groupBy("path").agg(F.sort_array(F.collect_list(F.struct("start_line", "end_line", "name"))).alias("symbols"))  # of one file
     none = F.expr("cast(array() as array<struct<start_line:int,end_line:int,name:string>>)")
-    rows = files.select("path", "body").join(own, "path", "left").select("path", F.explode(T.chunk_plan(F.col("body"), F.coalesce("symbols", none))).alias("c"))
+    rows = files.select("path", "source").join(own, "path", "left").select("path", F.explode(T.chunk_plan(F.col("source"), F.coalesce("symbols", none))).alias("c"))
     return rows.select("path", "c.symbol", "c.start_line", "c.text", T.fnv_hex(F.concat_ws(" ", "path", "c.symbol", "c.text")).alias("hash"))

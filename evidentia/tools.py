@@ -194,9 +194,9 @@ def index(spark, root: str) -> Repository:
     symbols, imports = inventory.extracted(files.select("path", "language").join(bodies, "path"))
     commits = log.commits_of_log(spark, log.git_log(root)).select((-F.col("ordinal")).alias("commit"), "ts", "file")
     known = files.select("path", "language", "size_bytes", "is_test").join(history.last_change(commits).select(F.col("file").alias("path"), F.col("ts").alias("last_commit_ts")), "path", "left")
-    manifests = bodies.where(F.col("path").endswith("Cargo.toml")).select("path", F.col("body").alias("text"))
+    manifests = bodies.where(F.col("path").endswith("Cargo.toml")).select("path", F.col("source").alias("text"))
     return Repository(
-        files=known, bodies=bodies, symbols=symbols, cochange=graph.known_cochange(history.cochange_edges(commits), known),
+        files=known, bodies=bodies.select("path", "body"), symbols=symbols, cochange=graph.known_cochange(history.cochange_edges(commits), known),
         imports=graph.import_edges(imports, known, manifests),
     )
 

@@ -13,6 +13,13 @@ def test_query_matches_sql(spark, name):
     assert_same(QUERIES[name](spark, FOLDER), ORACLE_SQL[name], FOLDER)
 
 
+def test_chunks_of_long_documents(spark, tmp_path):
+    """Chunks are planned on whole texts, also behind 60,000 characters."""
+    spark.createDataFrame([(1, "\n".join(f"{i:0100d}" for i in range(1, 1_001)), "en", "web", 100_999)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    found = {r.symbol: (r.start_line, r.chars) for r in QUERIES["chunk_plan"](spark, str(tmp_path)).collect()}
+    assert found == {None: (0, 4_000), "first": (1, 201), "rest": (3, 4_000), "far": (900, 4_000)}
+
+
 def test_packets_query(spark):
     rows = QUERIES["evidence_packets"](spark, FOLDER).collect()
     assert rows and all(r["rank"] <= 11 for r in rows)

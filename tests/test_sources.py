@@ -35,6 +35,18 @@ def test_inventory(spark, tmp_path):
     assert {r.start_line for r in inventory.chunks(bodies, symbols).where("path = 'src/main.py'").collect()} == {0, 3, 4}
 
 
+def test_sources_are_read_whole(spark, tmp_path):
+    """Symbols, imports and chunks behind the characters that are indexed."""
+    (tmp_path / "long.py").write_text("x = 1\n" * 12_000 + "import late\n\ndef last():\n    return late\n")
+    files = inventory.scan(spark, f"file://{tmp_path}", with_content=True)
+    bodies = inventory.bodies(files)
+    assert len(bodies.first().body) == inventory.BODY_CHARS
+    symbols, imports = inventory.extracted(files.select("path", "language").join(bodies, "path"))
+    assert [(r.name, r.start_line, r.end_line) for r in symbols.collect()] == [("last", 12_003, 12_004)]
+    assert [r.target for r in imports.collect()] == ["late"]
+    assert [r.text for r in inventory.chunks(bodies, symbols).where("symbol = 'last'").collect()] == ["def last():\n    return late"]
+
+
 def test_git_log(spark, tmp_path):
     log = f"{history.MARKER}300\na.rs\nb.rs\n\n{history.MARKER}200\n\n{history.MARKER}oops\na.rs\n"
     rows = history.commits_of_log(spark, log).collect()
