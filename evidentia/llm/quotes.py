@@ -4,8 +4,9 @@ Lines that begin with ``>`` are quotes, the number of marks being their level.
 A run of lines of one level is a passage. Passages and their lines are
 normalised and hashed, and joined to the paragraphs and lines that earlier
 messages of the conversation wrote themselves; the latest such message is the
-original. A message replies to the original of its level 1 quotes, else to the
-message before it. The conversation comes out in reply order without quotes.
+original. A message replies to the original of its shallowest quotes, else to the
+message before it: deeper ones are what the quoted message quoted. The
+conversation comes out by turn, so behind what it replies to, without quotes.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from .storage import ROW_ID, with_row_ids
 MARKS = r"^[ \t]*(>[> \t]*)"
 ATTRIBUTION = r"(?i)\b(wrote|schrieb|a écrit|escribió)[^:\n]*:\s*$"
 
-#: Least length of a normalised unit that is linked; turns that are numbered together.
+#: Least length of a normalised line that is linked by itself (whole passages of any length are); turns that are numbered together.
 MIN_CHARS, BLOCK = 12, 1_024
 
 
@@ -29,8 +30,8 @@ def normalised(text: Column) -> Column:
 
 
 def _hashed(units: DataFrame) -> DataFrame:
-    """With the 128-bit hash of ``unit``, without short units."""
-    units = units.withColumn("unit", normalised(F.col("unit"))).where(F.char_length("unit") >= MIN_CHARS)
+    """With the 128-bit hash of ``unit`` and whether it is ``short``, without blank units."""
+    units = units.withColumn("unit", normalised(F.col("unit"))).where("unit <> ''").withColumn("short", F.char_length("unit") < MIN_CHARS)
     return units.withColumn("h1", F.xxhash64("unit")).withColumn("h2", F.xxhash64(F.lit(1), "unit")).drop("unit")
 
 
@@ -67,19 +68,8 @@ def _originals(units: DataFrame, quotes: DataFrame) -> DataFrame:
     return found.join(blocks, [*key, "block"], "left").withColumn("original", F.coalesce("inside", "before")).drop("own", "block", "inside", "before")
 
 
-def reply_ordered(conversations: DataFrame) -> DataFrame:
-    """One row per row of ``conversations`` (conv_id, turn, role, text): conv_id, turn, role, position, reply_to, linked, quotes, max_level, body.
-
-    ``position`` counts the messages of a conversation from 0 in reply order: by
-    turn, so that a message stands behind the one it replies to; equal turns go
-    by role and file order. ``reply_to`` is a turn, or null for the first
-    message. ``linked`` says that quotes decided on it, ``quotes`` counts
-    passages, and ``body`` is the text without quotes and the lines that announce
-    them, null texts being empty. A null conv_id is one conversation; a null turn
-    comes before all others. Repeated rows have positions of their own. Other
-    columns are not read.
-    """
-    messages = with_row_ids(
+def _messages(conversations: DataFrame) -> DataFrame:
+    return with_row_ids(
         conversations.select(
             F.coalesce(F.col("conv_id").cast("long"), F.lit(-(1 << 63))).alias("conv_id"),
             F.coalesce(F.col("turn").cast("long"), F.lit(-(1 << 63))).alias("turn"),
@@ -87,15 +77,27 @@ def reply_ordered(conversations: DataFrame) -> DataFrame:
             F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
         )
     )
+
+
+def _shown(c: Column) -> Column:
+    return F.when(c != -(1 << 63), c)
+
+
+def _linked(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The quoting messages with ``body``, ``quotes`` and ``max_level``; their units with ``original`` (or null) and ``strength``.
+
+    A link by a whole passage is stronger than one by a line of it, and that
+    than one by a short passage.
+    """
     lines = quoted_lines(messages)
     quoting = lines.where("level > 0").select("conv_id").distinct()
 
     # quotes: whole passages, and each of their lines
-    who = ["conv_id", "turn", *ROW_ID, "passage", "level"]
-    marked = lines.where("level > 0")
+    who = ["conv_id", "turn", "role", *ROW_ID, "first_line", "level"]
+    marked = lines.where("level > 0").withColumn("first_line", F.min("at").over(Window.partitionBy(*ROW_ID, "passage")))
     passages = marked.groupBy(*who).agg(F.sort_array(F.collect_list(F.struct("at", "content"))).alias("lines"))
     text = F.array_join(F.transform("lines", lambda x: x["content"]), "\n")
-    asked = _hashed(passages.select(*who, F.lit(True).alias("whole"), text.alias("unit")).unionByName(marked.select(*who, F.lit(False).alias("whole"), F.col("content").alias("unit"))))
+    asked = _hashed(passages.select(*who, F.lit(True).alias("whole"), text.alias("unit")).unionByName(marked.select(*who, F.lit(False).alias("whole"), F.col("content").alias("unit")))).where("whole or not short")
 
     # originals: whole bodies, paragraphs and lines that messages of these conversations wrote themselves
     plain = messages.where(~F.col("text").rlike(r"(?m)^[ \t]*>")).select("conv_id", "turn", F.col("text").alias("body"))
@@ -111,8 +113,34 @@ def reply_ordered(conversations: DataFrame) -> DataFrame:
     units = F.array_distinct(F.concat(F.array("body"), F.split("body", r"\n[ \t]*\n"), F.split("body", "\n")))
     units = _hashed(written.select("conv_id", "turn", F.explode(units).alias("unit")))
 
-    found = _originals(units, asked).where("level = 1 and original is not null")
-    links = found.groupBy(*ROW_ID).agg(F.max(F.struct("whole", "original"))["original"].alias("original"))
+    strength = F.when(F.col("original").isNull(), -1).when(~F.col("whole"), 1).when(F.col("short"), 0).otherwise(2)
+    return bodies, _originals(units, asked).withColumn("strength", strength)
+
+
+def passage_links(conversations: DataFrame) -> DataFrame:
+    """One row per quoted passage with text, of any level: conv_id, turn, role, first_line (from 0), level, original (a turn or null)."""
+    _, found = _linked(_messages(conversations))
+    best = found.groupBy("conv_id", "turn", "role", *ROW_ID, "first_line", "level").agg(F.max(F.struct("strength", "original"))["original"].alias("original"))
+    return best.select(_shown(F.col("conv_id")).alias("conv_id"), _shown(F.col("turn")).alias("turn"), "role", "first_line", "level", _shown(F.col("original")).alias("original"))
+
+
+def reply_ordered(conversations: DataFrame) -> DataFrame:
+    """One row per row of ``conversations`` (conv_id, turn, role, text): conv_id, turn, role, position, reply_to, linked, quotes, max_level, body.
+
+    ``position`` counts the messages of a conversation from 0 in reply order: by
+    turn, so that a message stands behind the one it replies to; equal turns go
+    by role and file order. ``reply_to`` is a turn, or null for the first
+    message. ``linked`` says that quotes decided on it: those of the shallowest
+    level with text in the message, first whole passages, then lines of MIN_CHARS
+    or more, then whole passages that are shorter. ``quotes`` counts passages,
+    and ``body`` is the text without quotes and the lines that announce them,
+    null texts being empty. A null conv_id is one conversation; a null turn
+    comes before all others. Repeated rows have positions of their own. Other
+    columns are not read.
+    """
+    messages = _messages(conversations)
+    bodies, found = _linked(messages)
+    links = found.groupBy(*ROW_ID).agg(F.max(F.struct(-F.col("level"), "strength", "original"))["original"].alias("original"))
     with_quotes = bodies.join(links, list(ROW_ID), "left").select("conv_id", "turn", "role", *ROW_ID, "body", "quotes", "max_level", "original")
     without = messages.where(~F.col("text").rlike(r"(?m)^[ \t]*>")).select(
         "conv_id", "turn", "role", *ROW_ID, F.col("text").alias("body"), F.lit(0).cast("long").alias("quotes"), F.lit(0).alias("max_level"), F.lit(None).cast("long").alias("original")
@@ -125,13 +153,12 @@ def reply_ordered(conversations: DataFrame) -> DataFrame:
     earlier = Window.partitionBy("conv_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     blocks = blocks.select("conv_id", "block", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("offset"), F.max("last").over(earlier).alias("turn_before"))
     placed = every.withColumn("place", F.row_number().over(inside) - 1).withColumn("turn_above", F.lag("turn").over(inside)).join(blocks, ["conv_id", "block"])
-    shown = lambda c: F.when(c != -(1 << 63), c)
     return placed.select(
-        shown(F.col("conv_id")).alias("conv_id"),
-        shown(F.col("turn")).alias("turn"),
+        _shown(F.col("conv_id")).alias("conv_id"),
+        _shown(F.col("turn")).alias("turn"),
         "role",
         (F.col("offset") + F.col("place")).cast("long").alias("position"),
-        shown(F.coalesce("original", "turn_above", "turn_before")).alias("reply_to"),
+        _shown(F.coalesce("original", "turn_above", "turn_before")).alias("reply_to"),
         F.col("original").isNotNull().alias("linked"),
         "quotes",
         F.col("max_level").cast("long").alias("max_level"),

@@ -98,6 +98,17 @@ def test_quotes(spark):
     assert [(r.position, r.quotes, r.body) for r in found if r.conv_id is None] == [(0, 1, "")]
 
 
+def test_short_and_deeper_quotes(spark):
+    rows = [
+        (1, 0, "a", "Yes, do it"), (1, 1, "b", "ok thanks\n\nAnd one more thing to say"), (1, 2, "a", "something else entirely"), (1, 3, "b", "> Yes, do it\nwell"), (1, 4, "a", "> ok thanks\nfine"),
+        (1, 5, "b", ">\n>> something else entirely\nso"), (1, 6, "a", "> ok thanks\nbut\n> And one more thing to say\n>> Yes, do it\nend"), (1, 7, "b", "> no such\n>> something else entirely\nlast"),
+    ]
+    found = {r.turn: (r.reply_to, r.linked) for r in quotes.reply_ordered(conversation(spark, rows)).collect()}
+    assert [found[t] for t in range(3, 8)] == [(0, True), (1, True), (2, True), (1, True), (6, False)]
+    links = {(r.turn, r.first_line, r.level): r.original for r in quotes.passage_links(conversation(spark, rows)).collect()}
+    assert links == {(3, 0, 1): 0, (4, 0, 1): 1, (5, 1, 2): 2, (6, 0, 1): 1, (6, 2, 1): 1, (6, 3, 2): 0, (7, 0, 1): None, (7, 1, 2): 2}
+
+
 def test_long_conversations_are_numbered_in_blocks(spark):
     rows = [(1, t, "user", "the same line of words" if t % 2 else f"message number {t} with words") for t in range(3_000)] + [(1, 3_000, "user", "> message number 4 with words\nyes"), (1, 3_001, "user", "> the same line of words\nno")]
     found = {r.turn: r for r in quotes.reply_ordered(conversation(spark, rows)).collect()}
