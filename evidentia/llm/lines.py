@@ -1,10 +1,10 @@
 """Line dedup over levelled sorted runs of line hashes, in DataFrame operations only.
 
 ``LineRuns`` keeps (hash, documents that hold the line, largest doc_id) as
-sorted runs in levels. A batch merge-anti-joins the runs to find the lines that
-are new to them, and adds one run of its own; when a level has ``fan_in`` runs,
-they are merged into one run of the next level. A line is looked up in at most
-``fan_in`` runs for each level.
+sorted runs in levels. A batch adds one run of its own; when a level has
+``fan_in`` runs, they are merged into one run of the next level. ``unseen``
+merge-anti-joins a batch with the runs; the verdict of ``drop_repeated_lines``
+needs counts, which it cannot give, and joins the lines with all runs as one.
 """
 
 from __future__ import annotations
