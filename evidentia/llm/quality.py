@@ -1,7 +1,8 @@
 """Quality classifier: a support vector machine over Naive Bayes features.
 
 A text is the set of its n-grams: of words, and of word shapes (case, digits,
-marks, and whether a word repeats the one before). Each indicator is scaled by
+marks, and whether a word repeats the one before); words over LONG bytes, as in
+scripts without spaces, count as pieces. Each indicator is scaled by
 the log ratio of its share in either class, and a linear hinge-loss model is
 fitted to them by dual coordinate descent. A logistic curve, fitted to texts
 that the model has not seen, turns margins into scores.
@@ -9,6 +10,7 @@ that the model has not seen, turns margins into scores.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -25,6 +27,9 @@ BUCKETS, SAMPLE_ROWS, CURVE_FIFTHS = 1 << 18, 8_000, 1
 
 THRESHOLD = 0.7
 
+#: Bytes over which a word is cut into pieces, and a piece: up to 16 characters, so LONG bytes at most.
+LONG, _PIECE = 64, re.compile(rb"(?:[^\x80-\xbf][\x80-\xbf]*|[\x80-\xbf]){1,16}")
+
 
 class _Shapes(Coder):
     """Word to the code of its shape."""
@@ -41,7 +46,7 @@ class _Shapes(Coder):
 def shape(word: bytes) -> bytes:
     """Case, digits and marks of a word: runs of a class become one sign, runs of a mark at most three."""
     out: list[str] = []
-    for c in word[:64].decode("utf-8", "ignore"):
+    for c in word[:LONG].decode("utf-8", "ignore"):
         sign = "A" if c.isupper() else "a" if c.isalpha() else "9" if c.isnumeric() else c
         if not (out and out[-1] == sign and (sign in "Aa9" or out[-3:] == [sign] * 3)):
             out.append(sign)
@@ -56,6 +61,8 @@ class Features:
 
     def of(self, text: bytes) -> np.ndarray:
         words = text.split()
+        if len(text) > LONG and max(map(len, words), default=0) > LONG:
+            words = [piece for w in words for piece in (_PIECE.findall(w) if len(w) > LONG else (w,))]
         codes, shapes = self.words.codes(words), self.shapes.codes(words)
         if len(words) > 1:
             shapes[1:][codes[1:] == codes[:-1]] = 1

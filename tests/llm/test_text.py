@@ -90,6 +90,15 @@ def test_suffixes_are_shared():
     assert len(lexicon.final) < sum(map(len, many)) / 2 and lexicon.places(sorted(many)).tolist() == list(range(9))
 
 
+def test_quality_reads_long_words_whole():
+    head, features = "漢字を読む、", quality.Features()
+    first, second = (features.of((head * 20 + tail * 20).encode()).tolist() for tail in ("abc 123! ".replace(" ", ""), "仮名。"))
+    assert min(len(first), len(second)) > 10 and len(set(first) & set(second)) > 5
+    assert len(set(first) - set(second)) > 5 and len(set(second) - set(first)) > 5
+    assert all(len(p) <= quality.LONG for p in quality._PIECE.findall(("é漢x😀" * 50).encode()))
+    assert b"".join(quality._PIECE.findall(("é漢x😀" * 50).encode())).decode() == "é漢x😀" * 50
+
+
 def test_quality_learns_and_is_held_out(spark, tmp_path):
     rng = random.Random(4)
     rows, labels = [], []
