@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .storage import ROW_ID, most_frequent, new_path, with_row_ids
-from .words import Powers
+from .words import stretch_codes
 
 #: Fixed: how the vocabulary's byte-level pre-tokenizer cuts a text into words.
 WORD = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -260,7 +260,6 @@ class Cutter:
                 shift = 0x800 if a >= 0xD800 else 0
                 self.classes[a + shift : b + (0x800 if b > 0xD800 else 0)] = kind
         self.classes[0xD800:0xE000] = _OTHER
-        self.powers = Powers(0x9E3779B97F4A7C15)
 
     def cut(self, texts: list[str]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
         """Distinct words, the number of each word of all texts among them, and how many words each text has."""
@@ -297,15 +296,19 @@ class Cutter:
 
         first = np.flatnonzero(start)
         last = np.append(first[1:], n)
-        value = (chars.astype(np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)
-        value ^= value >> np.uint64(29)
-        code = self.powers.stretch(self.powers.sums(value), first, last)
-        _, one_of, number = np.unique(code, return_index=True, return_inverse=True)
         size = 1 + (chars >= 0x80).astype(np.int64) + (chars >= 0x800) + (chars >= 0x10000)
         byte = np.concatenate(([0], np.cumsum(size)))
         data = whole.encode()
-        words = [data[a:b] for a, b in zip(byte[first[one_of]].tolist(), byte[last[one_of]].tolist(), strict=True)]
-        return words, number.ravel(), np.diff(np.append(np.searchsorted(first, begins), len(first)))
+        a, b = byte[first], byte[last]
+        code, more = stretch_codes(data, a, b), stretch_codes(data, a, b, 1)
+        _, one_of, number = np.unique(code, return_index=True, return_inverse=True)
+        number = number.ravel()
+        if (more != more[one_of][number]).any():  # two words of one code: tell them apart by their bytes
+            known: dict[bytes, int] = {}
+            number = np.array([known.setdefault(data[x:y], len(known)) for x, y in zip(a.tolist(), b.tolist(), strict=True)])
+            return list(known), number, np.diff(np.append(np.searchsorted(first, begins), len(first)))
+        words = [data[x:y] for x, y in zip(a[one_of].tolist(), b[one_of].tolist(), strict=True)]
+        return words, number, np.diff(np.append(np.searchsorted(first, begins), len(first)))
 
 
 class Encoder:

@@ -18,6 +18,8 @@ ROW_ID = ("__file", "__row")
 #: Bytes of one Arrow batch sent to a Python worker.
 BATCH_BYTES = 8 << 20
 
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 _own_folders: dict[str, str] = {}
 
 
@@ -34,24 +36,41 @@ def shared_folder(spark: SparkSession) -> str:
     return _own_folders[context.applicationId]
 
 
+def _file_system(spark: SparkSession, path: str):
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
+
+
 def new_path(spark: SparkSession, label: str) -> str:
-    """A fresh path in the shared folder, removed when the driver ends."""
+    """A fresh path in the shared folder, removed when the driver ends at the latest."""
     path = f"{shared_folder(spark)}/evidentia-{label}-{uuid.uuid4().hex}"
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
+    files, target = _file_system(spark, path)
+    files.deleteOnExit(target)
     return path
 
 
 def saved(df: DataFrame, label: str, partition_by: str | None = None) -> DataFrame:
-    """``df`` written as a shared Parquet table and read again."""
+    """``df`` written as a shared Parquet table and read again. The shuffles that made it are removed with the write."""
     spark = df.sparkSession
     path = new_path(spark, label)
     writer = df.write.partitionBy(partition_by) if partition_by else df.write
-    writer.parquet(path)
-    # nothing refers to the shuffles behind the table any more: a collection lets Spark's cleaner remove their files now
-    spark.sparkContext._jvm.System.gc()
-    return spark.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(_CLEAN, None)
+    spark.conf.set(_CLEAN, "true")
+    try:
+        writer.parquet(path)
+    finally:
+        spark.conf.unset(_CLEAN) if before is None else spark.conf.set(_CLEAN, before)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._saved_at = path
+    return table
+
+
+def dropped(*tables: DataFrame | None) -> None:
+    """Delete tables of ``saved`` whose last reader has ended."""
+    for table in tables:
+        if table is not None:
+            files, target = _file_system(table.sparkSession, table._saved_at)
+            files.delete(target, True)
 
 
 def bounded_batches(spark: SparkSession) -> None:
@@ -77,12 +96,11 @@ def with_row_ids(docs: DataFrame) -> DataFrame:
 
 
 def most_frequent(totals: DataFrame, count: str, most: int) -> DataFrame:
-    """The rows of ``totals`` with the greatest counts: as many whole levels of 1/16 of an octave as ``most`` rows take.
+    """The rows of a saved table with the greatest counts: as many whole levels of 1/16 of an octave as ``most`` rows take.
 
     Only the sizes of the levels, a thousand at most, are gathered; no task sorts
     or holds the candidates of all others.
     """
-    totals = saved(totals, "totals")
     level = F.floor(F.log2(count) * 16)
     left, lowest = most, None
     for row in totals.groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("level")).collect():

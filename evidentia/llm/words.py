@@ -35,63 +35,50 @@ def alnum_words(text: bytes) -> list[bytes]:
     return text.translate(_ALNUM).split()
 
 
-#: Bytes of joined texts that are coded at once.
-_AT_ONCE = 1 << 19
+#: Bytes of joined texts that are coded at once; bytes up to which a word is coded together with all others.
+_AT_ONCE, _SHORT = 1 << 19, 64
 
 _WHITE = np.isin(np.arange(256), list(SPACE))
-_BYTE = np.arange(256, dtype=np.uint8)
-_LOWER = np.where((_BYTE >= 65) & (_BYTE <= 90), _BYTE + 32, _BYTE)
-
-
-class Powers:
-    """Powers of an odd number modulo 2**64 and of its inverse, for hashes of stretches from running sums."""
-
-    def __init__(self, radix: int):
-        self.radix, self.inverse = radix | 1, pow(radix | 1, -1, 1 << 64)
-        self.up = self.down = np.ones(1, np.uint64)
-
-    def grow(self, n: int) -> None:
-        if len(self.up) < n:
-            for name, base in (("up", self.radix), ("down", self.inverse)):
-                steps = np.full(n, base, np.uint64)
-                steps[0] = 1
-                setattr(self, name, np.multiply.accumulate(steps))
-
-    def sums(self, values: np.ndarray) -> np.ndarray:
-        self.grow(len(values) + 1)
-        out = np.zeros(len(values) + 1, np.uint64)
-        np.cumsum(values * self.up[: len(values)], out=out[1:])
-        return out
-
-    def stretch(self, sums: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
-        """Hash of the values in [first, last)."""
-        plain = (sums[last] - sums[first]) * self.down[first]
-        return combined(plain, (last - first).astype(np.uint64))
+_KEEP = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+
+
+def stretch_codes(data: bytes, first: np.ndarray, last: np.ndarray, seed: int = 0) -> np.ndarray:
+    """A 64-bit code of the bytes in each [first, last): eight bytes at a time go through ``combined``, in all short stretches at once."""
+    sizes = last - first
+    eights = np.ndarray((len(data) + 1,), "<u8", data + bytes(8), strides=(1,))  # the eight bytes from each place on
+    code = combined(np.full(len(first), seed + 1, np.uint64), sizes.astype(np.uint64))
+    long = np.flatnonzero(sizes > _SHORT)
+    going = np.flatnonzero((sizes > 0) & (sizes <= _SHORT))
+    done = 0
+    while len(going):
+        part = eights[first[going] + done] & _KEEP[np.minimum(sizes[going] - done, 8)]
+        code[going] = combined(code[going], part)
+        done += 8
+        going = going[sizes[going] > done]
+    code[long] = [xxhash.xxh3_64_intdigest(data[a:b], seed) for a, b in zip(first[long].tolist(), last[long].tolist(), strict=True)]
+    return code
 
 
 class WordCodes:
-    """64-bit codes of the words between white space, for many texts at a time, A-Z lower-cased if ``lower``.
-
-    Each byte stands for a random number; a word's code is their polynomial, from
-    running sums over all bytes, so no word is looked at on its own.
-    """
+    """64-bit codes of the words between white space, for many texts at a time, A-Z lower-cased if ``lower``; one array of codes for each seed."""
 
-    def __init__(self, lower: bool):
-        numbers = np.random.default_rng(0x5EED).integers(0, 1 << 64, 256, np.uint64)
-        self.numbers, self.powers = numbers[_LOWER if lower else _BYTE], Powers(0xC2B2AE3D27D4EB4F)
+    def __init__(self, lower: bool, seeds: tuple[int, ...] = (0,)):
+        self.lower, self.seeds = lower, seeds
 
     def _some(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        data = np.frombuffer(b" ".join([*texts, b""]), np.uint8)
+        joined = b" ".join([*texts, b""])
+        joined = joined.lower() if self.lower else joined
+        data = np.frombuffer(joined, np.uint8)
         inside = np.zeros(len(data) + 1, np.int8)
         inside[1:] = ~_WHITE[data]
         edge = np.diff(inside)
         first, last = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)  # the last byte is a space
         ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1)
         counts = np.diff(np.searchsorted(first, ends), prepend=0)
-        return self.powers.stretch(self.powers.sums(self.numbers[data]), first, last), counts
+        return np.stack([stretch_codes(joined, first, last, s) for s in self.seeds]), counts
 
     def codes(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """All words' codes one after another, and how many words each text has."""
+        """All words' codes one after another (with several seeds, a row for each), and how many words each text has."""
         out, some, size = [], [], 0
         for text in texts:
             if some and size + len(text) > _AT_ONCE:
@@ -99,8 +86,9 @@ class WordCodes:
                 some, size = [], 0
             some.append(text)
             size += len(text) + 1
-        out.append(self._some(some) if some else (np.empty(0, np.uint64), np.empty(0, np.int64)))
-        return np.concatenate([c for c, _ in out]), np.concatenate([n for _, n in out])
+        out.append(self._some(some) if some else (np.empty((len(self.seeds), 0), np.uint64), np.empty(0, np.int64)))
+        codes = np.concatenate([c for c, _ in out], 1)
+        return codes if len(self.seeds) > 1 else codes[0], np.concatenate([n for _, n in out])
 
 
 class Coder(dict):
