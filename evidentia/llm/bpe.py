@@ -21,7 +21,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .storage import ROW_ID, most_frequent, new_path, with_row_ids
+from .storage import ROW_ID, dropped, most_frequent, new_path, saved, with_row_ids
 from .words import stretch_codes
 
 #: Fixed: how the vocabulary's byte-level pre-tokenizer cuts a text into words.
@@ -415,7 +415,10 @@ def frequent_words(docs: DataFrame, most: int, special: Iterable[str]) -> list[s
         yield out()
 
     totals = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(counted, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return [r[0] for r in most_frequent(totals, "n", most).select("word").toLocalIterator()]
+    totals = saved(totals, "words")
+    found = [r[0] for r in most_frequent(totals, "n", most).select("word").toLocalIterator()]
+    dropped(totals)
+    return found
 
 
 def ship_lexicon(spark: SparkSession, vocabulary: Vocabulary, words: Iterable[str]) -> str:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import saved
+from .storage import dropped, saved
 
 
 def _edges(df: DataFrame) -> DataFrame:
@@ -14,12 +14,15 @@ def _edges(df: DataFrame) -> DataFrame:
 
 
 def _roots(parents: DataFrame) -> DataFrame:
-    """(u, root) from (u, p) with p < u: every vertex looks where its parent points, until nothing changes."""
+    """A table (u, p) of roots from (u, p) with p < u: every vertex looks where its parent points, until nothing changes."""
+    last = None
     while True:
         up = parents.select(F.col("u").alias("p"), F.col("p").alias("q"))
-        parents = saved(parents.join(up, "p", "left").select("u", F.coalesce("q", "p").alias("p"), F.col("q").isNotNull().alias("moved")), "parents")
-        if parents.where("moved").isEmpty():
-            return parents.select("u", F.col("p").alias("root"))
+        now = saved(parents.join(up, "p", "left").select("u", F.coalesce("q", "p").alias("p"), F.col("q").isNotNull().alias("moved")), "parents")
+        dropped(last)
+        if now.where("moved").isEmpty():
+            return now
+        parents = last = now
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -34,14 +37,20 @@ def components(edges: DataFrame) -> DataFrame:
     now = saved(_edges(edges), "edges")
     done = None
     while not now.isEmpty():
-        roots = _roots(now.groupBy("u").agg(F.min("v").alias("p")))
+        parents = _roots(now.groupBy("u").agg(F.min("v").alias("p")))
+        roots = parents.select("u", F.col("p").alias("root"))
         lows = now.select("v").distinct().join(roots.select(F.col("u").alias("v")), "v", "left_anti").select(F.col("v").alias("u"), F.col("v").alias("root"))
-        every = roots.unionByName(lows)
+        every = saved(roots.unionByName(lows), "roots")
+        dropped(parents)
         if done is None:
-            done = every.select(F.col("u").alias("vertex"), F.col("root").alias("least"))
+            later = every.select(F.col("u").alias("vertex"), F.col("root").alias("least"))
         else:
-            done = done.join(every.withColumnRenamed("u", "least"), "least", "left").select("vertex", F.coalesce("root", "least").alias("least"))
-        done = saved(done, "least")
+            later = done.join(every.withColumnRenamed("u", "least").hint("merge"), "least", "left").select("vertex", F.coalesce("root", "least").alias("least"))
+        later = saved(later, "least")
+        dropped(done)
+        done = later
         a, b = every.select("u", F.col("root").alias("a")), every.select(F.col("u").alias("v"), F.col("root").alias("b"))
-        now = saved(_edges(now.join(a, "u").join(b, "v").select("a", "b")), "edges")
+        left = saved(_edges(now.join(a, "u").join(b, "v").select("a", "b")), "edges")
+        dropped(now, every)
+        now = left
     return done if done is not None else now.select(F.col("u").alias("vertex"), F.col("v").alias("least"))

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .storage import ROW_ID, most_frequent, saved, with_row_ids
+from .storage import ROW_ID, dropped, most_frequent, saved, with_row_ids
 from .words import WordCodes, texts_of, window_hashes
 
 NGRAM = 5
@@ -112,7 +112,7 @@ def frequent_grams(rows: DataFrame, n: int) -> DataFrame:
         yield out()
 
     found = rows.select("text").mapInArrow(counted, "gram long, docs long").groupBy("gram").agg(F.sum("docs").alias("docs"))
-    return most_frequent(found, "docs", FREQUENT)
+    return most_frequent(saved(found, "gram-counts"), "docs", FREQUENT)
 
 
 def _signed(values: np.ndarray) -> pa.Array:
@@ -293,10 +293,27 @@ def _linked(pairs: DataFrame, sets: DataFrame, part: int, whole: int) -> DataFra
     return both.select("a", "b", "x", "y").mapInArrow(counted, "a long, b long")
 
 
+def _early(n, at, part: int, whole: int):
+    """Whether a row's place in the order is so early that it can link with rows of its own size or more; each pair that can link has such a row."""
+    return (whole + part) * at <= (whole - part) * n
+
+
+def _band(n, part: int, whole: int):
+    """Sizes in bands: sets with the similarity lie in one band or in neighbouring ones."""
+    return F.floor(F.log(n.cast("double")) / (float(np.log(whole / part)) * (1 + 1e-6))).cast("int")
+
+
 def _cross_pairs(active: DataFrame, before: int, pivots: int, part: int, whole: int) -> DataFrame:
-    """Pairs of classes of one column and several components: those with ``u`` from ``before`` to ``pivots`` against all not yet met."""
-    p = active.where((F.col("u") >= before) & (F.col("u") < pivots)).select("gram", *[F.col(c).alias(f"p_{c}") for c in ("class", "n", "at", "comp")])
-    both = active.where(F.col("u") >= before).join(p, "gram").where("comp <> p_comp").where((F.col("u") >= pivots) | (F.col("class") > F.col("p_class")))
+    """Pairs of classes of one column and several components: the early rows with ``u`` from ``before`` to ``pivots`` against all not yet met.
+
+    Rows meet by column and band of sizes, so hopeless pairs are never made: nor
+    are those of two late rows, which share too little behind their places.
+    """
+    names = ("class", "n", "at", "comp", "u")
+    p = active.where(F.col("early") & (F.col("u") >= before) & (F.col("u") < pivots))
+    p = p.select("gram", *[F.col(c).alias(f"p_{c}") for c in names], F.explode(F.array(*[_band(F.col("n"), part, whole) + k for k in (-1, 0, 1)])).alias("band"))
+    rows = active.where(~F.col("early") | (F.col("u") >= before)).withColumn("band", _band(F.col("n"), part, whole))
+    both = rows.join(p.hint("merge"), ["gram", "band"]).where("comp <> p_comp").where(~F.col("early") | (F.col("u") >= pivots) | (F.col("class") > F.col("p_class")))
     both = both.where(_can_link(F.col("n"), F.col("at"), F.col("p_n"), F.col("p_at"), part, whole))
     return both.select(F.greatest("class", "p_class").alias("a"), F.least("class", "p_class").alias("b")).distinct()
 
@@ -310,7 +327,7 @@ def _merged(comps: DataFrame, links: DataFrame) -> DataFrame:
     b = comps.select(F.col("class").alias("b"), F.col("comp").alias("cb"))
     edges = links.join(a, "a").join(b, "b").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
     roots = components(edges).withColumnRenamed("vertex", "comp")
-    return saved(comps.join(roots, "comp", "left").select("class", F.coalesce("least", "comp").alias("comp")), "comps")
+    return saved(comps.join(roots.hint("merge"), "comp", "left").select("class", F.coalesce("least", "comp").alias("comp")), "comps")  # a sort-merge join can split a large component
 
 
 def linked_components(docs: DataFrame, n: int = NGRAM, part: int = PART, whole: int = WHOLE) -> DataFrame:
@@ -360,19 +377,21 @@ def linked_components(docs: DataFrame, n: int = NGRAM, part: int = PART, whole:
 
     active, before, pivots = long.select("gram", "class", "n", "at").distinct(), 0, GROWTH
     while True:
-        tagged = saved(active.select("gram", "class", "n", "at").join(comps, "class"), "tagged")
-        mixed = tagged.groupBy("gram").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2"), F.count(F.lit(1)).alias("m")).where(f"c1 <> c2 and m > {before}")
+        tagged = saved(active.select("gram", "class", "n", "at").join(comps, "class").withColumn("early", _early(F.col("n"), F.col("at"), part, whole)), "tagged")
+        mixed = tagged.groupBy("gram").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2"), F.count_if("early").alias("m")).where(f"c1 <> c2 and m > {before}")
         mixed = saved(mixed.select("gram", "m"), "mixed")
-        active = tagged.join(mixed.hint("merge"), "gram")
-        active = saved(active.withColumn("u", F.pmod(F.xxhash64("class"), F.lit(1 << 40)) / F.lit(float(1 << 40)) * F.col("m")), "active")
+        rest = saved(tagged.join(mixed.hint("merge"), "gram").withColumn("u", F.pmod(F.xxhash64("class"), F.lit(1 << 40)) / F.lit(float(1 << 40)) * F.col("m")), "active")
+        dropped(tagged, mixed, *([] if before == 0 else [active]))
+        active = rest
         if active.isEmpty():
             break
         comps = _merged(comps, _linked(_cross_pairs(active, before, pivots, part, whole), whole_sets, part, whole))
         before, pivots = pivots, pivots * GROWTH
 
-    least = classes.join(comps, "class").groupBy("comp").agg(F.min("min_id").alias("least_id"))
-    of_class = classes.select("class", "d1", "d2", "min_id").join(comps, "class", "left").join(least, "comp", "left")
-    of_class = of_class.select("d1", "d2", F.coalesce("least_id", "min_id").alias("component_id"))
-    return sets.drop("prefix").join(of_class, ["d1", "d2"], "left").select(
+    least = saved(classes.join(comps, "class").groupBy("comp").agg(F.min("min_id").alias("least_id")), "least")
+    of_class = saved(classes.select("class", "d1", "d2", "min_id").join(comps, "class", "left"), "of-class").join(least.hint("merge"), "comp", "left")
+    of_class = saved(of_class.select("d1", "d2", F.coalesce("least_id", "min_id").alias("component_id")), "ids")
+    dropped(classes, met, pairs, first, in_long, whole_sets, active, comps, least)
+    return sets.drop("prefix").join(of_class.hint("merge"), ["d1", "d2"], "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), *ROW_ID
     )

@@ -58,6 +58,33 @@ def test_jaccard_overlap_in_short_and_long_columns(spark, tmp_path):
     assert ordered((r.doc_id, r.n_shingles, r.component_id) for r in found.collect()) == ordered(expected)
 
 
+def test_jaccard_large_groups_that_are_near_but_not_linked(spark, tmp_path):
+    """Two groups of near copies, each linked to its base, share a passage but no link; letters around it link with none."""
+    rng = random.Random(13)
+    passage, rows = words(rng, 150, 90_000), []
+    for g in range(2):
+        base = f"{passage} {words(rng, 60, 90_000)}".split()
+        for i in range(3_000):
+            near = list(base)
+            if i:
+                near[rng.randrange(205)] = f"c{g}x{i}"
+            rows.append((10_000 * g + i, " ".join(near)))
+    rows += [(50_000 + i, f"{passage} {words(rng, 60, 90_000)}") for i in range(500)]
+    rng.shuffle(rows)
+    found = jaccard.linked_components(as_parquet(spark, tmp_path, rows))
+    assert ordered((r.doc_id, r.component_id) for r in found.collect()) == ordered((d, d if d >= 50_000 else d // 10_000 * 10_000) for d, _ in rows)
+
+
+def test_jaccard_late_rows_never_link():
+    """Rows of which both come late in the order lack the places that a link needs."""
+    for n in range(1, 60):
+        for m in range(max(1, n * 3 // 4), n * 4 // 3 + 1):
+            for at in range(jaccard.prefix_size(n, 75, 100)):
+                for p_at in range(jaccard.prefix_size(m, 75, 100)):
+                    if min(n - at, m - p_at) >= -(-75 * (n + m) // 175):
+                        assert jaccard._early(n, at, 75, 100) or jaccard._early(m, p_at, 75, 100)
+
+
 def test_pieces_of_a_column_meet(spark, monkeypatch):
     columns = spark.createDataFrame([(5, p, c, 10, 0) for c in range(200) for p in [c % 3]] + [(6, -1, 1, 10, 0), (7, -1, 1, 10, 0), (7, -1, 2, 10, 1)], "gram long, piece int, class long, n int, at int")
     rows = jaccard._first_round(columns, 75, 100).collect()
