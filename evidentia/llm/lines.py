@@ -1,10 +1,11 @@
 """Line dedup over levelled sorted runs of line hashes, in DataFrame operations only.
 
-``LineRuns`` keeps (hash, documents that hold the line, largest doc_id) as
-sorted runs in levels. A batch adds one run of its own; when a level has
-``fan_in`` runs, they are merged into one run of the next level. ``unseen``
-merge-anti-joins a batch with the runs; the verdict of ``drop_repeated_lines``
-needs counts, which it cannot give, and joins the lines with all runs as one.
+``LineRuns`` keeps every line hash once, with the documents that hold it and the
+largest doc_id, in sorted runs by levels. A batch is merge-anti-joined with the
+runs: what no run has becomes a run of its own; when a level has ``fan_in`` runs,
+they are merged into one of the next level, which needs no aggregation, as no two
+runs share a key. What the runs have already goes into runs of repeats, which hold
+only lines that repeat; their counts are added at the end.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .storage import ROW_ID, saved, with_row_ids
+from .storage import ROW_ID, dropped, saved, with_row_ids
 
 SPACE_CHARS = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -34,35 +35,44 @@ def line_key(line: Column) -> Column:
 
 
 class LineRuns:
-    """Levelled runs (h1, h2, docs, max_id), each sorted by its 128-bit hash."""
+    """Levelled runs (h1, h2, docs, max_id), each sorted by its 128-bit hash, of keys when first seen, and runs of repeats."""
 
     KEY = ("h1", "h2")
 
     def __init__(self, fan_in: int = 4):
-        self.fan_in, self.levels = fan_in, [[]]
+        self.fan_in, self.levels, self.repeats = fan_in, [[]], []
 
     def add(self, lines: DataFrame) -> None:
         """Add a batch of (h1, h2, id); a document must lie in one batch whole."""
-        run = lines.groupBy(*self.KEY).agg(F.countDistinct("id").alias("docs"), F.max("id").alias("max_id"))
-        self.levels[0].append(saved(run.sortWithinPartitions(*self.KEY), "lines"))
+        batch = saved(lines.groupBy(*self.KEY).agg(F.countDistinct("id").alias("docs"), F.max("id").alias("max_id")), "batch")
+        if not any(self.levels):
+            self.levels[0].append(self._run(batch))
+        else:
+            new = self._run(self.unseen(batch))
+            self.repeats.append(self._run(batch.join(new.select(*self.KEY).hint("merge"), list(self.KEY), "left_anti")))
+            self.levels[0].append(new)
+        dropped(batch)
         self._compact()
 
     def unseen(self, lines: DataFrame) -> DataFrame:
         """The lines of a batch whose key is in no run yet."""
         for run in (r for level in self.levels for r in level):
-            lines = lines.join(run.hint("merge"), list(self.KEY), "left_anti")
+            lines = lines.join(run.select(*self.KEY).hint("merge"), list(self.KEY), "left_anti")
         return lines
 
     def merged(self) -> DataFrame | None:
-        """All runs as one, or None."""
+        """All runs as one, the counts of repeats added to those of the first documents; or None."""
         runs = [r for level in self.levels for r in level]
-        return self._merge(runs) if runs else None
+        if not runs:
+            return None
+        both = reduce(DataFrame.unionByName, runs + self.repeats)
+        return both.groupBy(*self.KEY).agg(F.sum("docs").alias("docs"), F.max("max_id").alias("max_id")) if self.repeats else both
 
-    def _merge(self, runs: list[DataFrame]) -> DataFrame:
-        if len(runs) == 1:
-            return runs[0]
-        both = reduce(DataFrame.unionByName, runs)
-        return both.groupBy(*self.KEY).agg(F.sum("docs").alias("docs"), F.max("max_id").alias("max_id"))
+    def drop(self) -> None:
+        dropped(*self.repeats, *[r for level in self.levels for r in level])
+
+    def _run(self, rows: DataFrame) -> DataFrame:
+        return saved(rows.sortWithinPartitions(*self.KEY), "lines")
 
     def _compact(self) -> None:
         for k, level in enumerate(self.levels):
@@ -70,7 +80,8 @@ class LineRuns:
                 return
             if k + 1 == len(self.levels):
                 self.levels.append([])
-            self.levels[k + 1].append(saved(self._merge(level).sortWithinPartitions(*self.KEY), "lines"))
+            self.levels[k + 1].append(self._run(reduce(DataFrame.unionByName, level).repartitionByRange(*self.KEY)))
+            dropped(*level)
             self.levels[k] = []
 
 
@@ -95,10 +106,12 @@ def drop_repeated_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3,
     and lies in at least ``min_docs`` documents, unless the document has the
     largest doc_id among them: there all its lines with the key stay. A text that
     is null or empty is one empty line. Rows with one doc_id are one document;
-    those with a null doc_id are one document below all others.
+    those with a null doc_id are one document below all others, and each repeated
+    row has its row. Lines and texts of any length are taken whole. An empty table
+    gives an empty result; other columns, whatever their names, are not read.
 
-    The runs take the documents in ``batches`` by a hash of doc_id. Since the
-    rule needs the whole count, the verdict joins all lines with the final runs.
+    The runs take the documents in ``batches`` by a hash of doc_id. The rule needs
+    the whole count, so verdicts come from the runs when all batches are in them.
     """
     rows = with_row_ids(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")))
     split = F.split(F.coalesce("text", F.lit("")), "\n", -1)
@@ -113,9 +126,11 @@ def drop_repeated_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3,
     runs = LineRuns(fan_in)
     for batch in range(batches):
         runs.add(lines.where(F.col("batch") == batch).select("h1", "h2", "id"))
-    settled = runs.merged().where(F.col("docs") >= min_docs)
-    dropped = lines.select("id", *ROW_ID, "at", "h1", "h2").join(settled.hint("merge"), ["h1", "h2"]).where(F.col("id") != F.col("max_id"))
-    places = dropped.groupBy(*ROW_ID).agg(F.sort_array(F.collect_list("at")).alias("places"))
+    settled = saved(runs.merged().where(F.col("docs") >= min_docs), "settled")  # a table of its own: the join below can split hot keys
+    runs.drop()
+    gone = lines.select("id", *ROW_ID, "at", "h1", "h2").join(settled.hint("merge"), ["h1", "h2"]).where(F.col("id") != F.col("max_id"))
+    places = saved(gone.groupBy(*ROW_ID).agg(F.sort_array(F.collect_list("at")).alias("places")), "places")
+    dropped(lines, settled)
     kept = F.array_join(without(F.col("lines"), F.col("places")), "\n")
     return rows.join(places, list(ROW_ID), "left").withColumn("lines", split).select(  # split behind the join: only texts are shuffled
         "doc_id",
