@@ -115,8 +115,8 @@ WITH crc_table AS (
   SELECT doc_id, arg_min(shard, wait) FILTER (shard < 16)::INT AS shard, arg_min(shard, wait)::INT AS grown_shard FROM waits GROUP BY doc_id
 )
 SELECT doc_id, size::BIGINT AS size, text_crc32::BIGINT AS text_crc32, 'key' AS law, shard,
-  row_number() OVER (PARTITION BY shard ORDER BY substr(md5(doc_id || '/' || text_crc32), 1, 2), doc_id, text_crc32) - 1 AS slot, grown_shard
-FROM summed JOIN dealt USING (doc_id)
+  row_number() OVER (PARTITION BY shard ORDER BY substr(md5(doc_id || '/' || text_crc32), 1, digits), doc_id, text_crc32) - 1 AS slot, grown_shard
+FROM summed JOIN dealt USING (doc_id), (SELECT 2 + greatest(0, ceil(ln(count(*) / 268435456.0) / ln(16)))::INT AS digits FROM documents)
 """
 
 OP6_SQL = r"""
