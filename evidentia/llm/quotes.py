@@ -11,6 +11,8 @@ conversation comes out by turn, so behind what it replies to, without quotes.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,6 +25,9 @@ ATTRIBUTION = r"(?i)\b(wrote|schrieb|a écrit|escribió)[^:\n]*:\s*$"
 #: Least length of a normalised line that is linked by itself (whole passages of any length are); turns that are numbered together.
 MIN_CHARS, BLOCK = 12, 1_024
 
+#: Stands for a null conv_id or turn.
+NONE = -(1 << 63)
+
 
 def normalised(text: Column) -> Column:
     """One space for each stretch of white space, none at the ends, A-Z lower-cased."""
@@ -71,8 +76,8 @@ def _originals(units: DataFrame, quotes: DataFrame) -> DataFrame:
 def _messages(conversations: DataFrame) -> DataFrame:
     return with_row_ids(
         conversations.select(
-            F.coalesce(F.col("conv_id").cast("long"), F.lit(-(1 << 63))).alias("conv_id"),
-            F.coalesce(F.col("turn").cast("long"), F.lit(-(1 << 63))).alias("turn"),
+            F.coalesce(F.col("conv_id").cast("long"), F.lit(NONE)).alias("conv_id"),
+            F.coalesce(F.col("turn").cast("long"), F.lit(NONE)).alias("turn"),
             F.col("role").cast("string").alias("role"),
             F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
         )
@@ -80,7 +85,7 @@ def _messages(conversations: DataFrame) -> DataFrame:
 
 
 def _shown(c: Column) -> Column:
-    return F.when(c != -(1 << 63), c)
+    return F.when(c != NONE, c)
 
 
 def _linked(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -134,9 +139,10 @@ def reply_ordered(conversations: DataFrame) -> DataFrame:
     level with text in the message, first whole passages, then lines of MIN_CHARS
     or more, then whole passages that are shorter. ``quotes`` counts passages,
     and ``body`` is the text without quotes and the lines that announce them,
-    null texts being empty. A null conv_id is one conversation; a null turn
-    comes before all others. Repeated rows have positions of their own. Other
-    columns are not read.
+    null texts being empty; texts of any length are read whole. A null conv_id is
+    one conversation; a null turn comes before all others. Repeated rows have
+    positions of their own. An empty table gives an empty result; other columns,
+    whatever their names, are not read.
     """
     messages = _messages(conversations)
     bodies, found = _linked(messages)
@@ -147,12 +153,17 @@ def reply_ordered(conversations: DataFrame) -> DataFrame:
     )
     every = with_quotes.unionByName(without).withColumn("block", F.floor(F.col("turn") / BLOCK))
 
-    # places, in blocks of turns: a long conversation is numbered by many tasks
-    inside = Window.partitionBy("conv_id", "block").orderBy("turn", "role", *ROW_ID)
-    blocks = every.groupBy("conv_id", "block").agg(F.count(F.lit(1)).alias("n"), F.max("turn").alias("last"))
-    earlier = Window.partitionBy("conv_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = blocks.select("conv_id", "block", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("offset"), F.max("last").over(earlier).alias("turn_before"))
-    placed = every.withColumn("place", F.row_number().over(inside) - 1).withColumn("turn_above", F.lag("turn").over(inside)).join(blocks, ["conv_id", "block"])
+    # places, in blocks of turns (those without a turn in blocks of their files): a long conversation is numbered by many tasks
+    unturned = F.col("turn") == NONE
+    every = every.withColumns({"by_role": F.when(unturned, F.col("role")), "by_file": F.when(unturned, F.col(ROW_ID[0])), "by_rows": F.when(unturned, F.floor(F.col(ROW_ID[1]) / BLOCK))})
+    cell = ["block", "by_role", "by_file", "by_rows"]
+    inside = Window.partitionBy("conv_id", *cell).orderBy("turn", "role", *ROW_ID)
+    blocks = every.groupBy("conv_id", *cell).agg(F.count(F.lit(1)).alias("n"), F.max("turn").alias("last"))
+    earlier = Window.partitionBy("conv_id").orderBy(*cell).rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.select("conv_id", *cell, F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("offset"), F.max("last").over(earlier).alias("turn_before"))
+    every = every.withColumn("place", F.row_number().over(inside) - 1).withColumn("turn_above", F.lag("turn").over(inside))
+    same = [F.col(f"e.{c}").eqNullSafe(F.col(f"b.{c}")) for c in ("conv_id", *cell)]
+    placed = every.alias("e").join(blocks.alias("b"), reduce(Column.__and__, same)).select("e.*", "offset", "turn_before")
     return placed.select(
         _shown(F.col("conv_id")).alias("conv_id"),
         _shown(F.col("turn")).alias("turn"),
