@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import ROW_ID, bounded_batches, saved, with_row_ids
+from .storage import ROW_ID, bounded_batches, dropped, saved, with_row_ids
 from .words import Coder, alnum_words, marked_spans, texts_of, window_hashes
 
 SPAN, GRAM = 10, 5
@@ -96,9 +96,12 @@ def _found_locally(rows: DataFrame, windows: DataFrame, span: int, gram: int) ->
     table = windows.toArrow()
     kind, length, hashes = (table.column(c).to_numpy() for c in ("kind", "length", "hash"))
     hashes = hashes.astype(np.int64).view(np.uint64)
-    names, item = np.unique(np.array([x if x is not None else "\0null" for x in table.column("item_id").to_pylist()], object).astype(str), return_inverse=True)
-    lexicons = {int(n): Lexicon(hashes[(kind == 0) & (length == n)], item[(kind == 0) & (length == n)].astype(np.int32)) for n in np.unique(length)}
-    shared = rows.sparkSession.sparkContext.broadcast((np.unique(hashes[kind == 1]), lexicons, names.tolist()))
+    ids = table.column("item_id").to_pylist()
+    names = sorted({x for x in ids if x is not None})
+    number = {x: i for i, x in enumerate(names)}
+    item = np.array([number.get(x, -1) for x in ids], np.int32)  # -1: without an id
+    lexicons = {int(n): Lexicon(hashes[(kind == 0) & (length == n)], item[(kind == 0) & (length == n)]) for n in np.unique(length)}
+    shared = rows.sparkSession.sparkContext.broadcast((np.unique(hashes[kind == 1]), lexicons, names))
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         prints, lexicons, names = shared.value
@@ -133,7 +136,7 @@ def _found_locally(rows: DataFrame, windows: DataFrame, span: int, gram: int) ->
                 if sum(map(len, starts)):
                     first, last = marked_spans(n, np.concatenate(starts), np.concatenate(lengths))
                     spans.append([{"first": int(a), "last": int(b)} for a, b in zip(first, last, strict=True)])
-                    items.append(sorted({names[i] for i in np.concatenate(hit)} - {"\0null"}))
+                    items.append([names[i] for i in np.unique(np.concatenate(hit)) if i >= 0])
                 else:
                     spans.append([])
                     items.append([])
@@ -145,9 +148,22 @@ def _found_locally(rows: DataFrame, windows: DataFrame, span: int, gram: int) ->
     return rows.mapInArrow(found, f"doc_id long, {ROW_ID[0]} long, {ROW_ID[1]} long, n_words long, spans array<struct<first:int,last:int>>, items array<string>")
 
 
-def _found_by_shuffle(rows: DataFrame, windows: DataFrame, span: int, gram: int) -> DataFrame:
-    """The same by joins on the hashes, whatever the size of the benchmark."""
+def _found_by_shuffle(rows: DataFrame, windows: DataFrame, span: int, gram: int, broadcast_windows: int) -> DataFrame:
+    """The same by joins on the hashes, whatever the size of the benchmark.
+
+    Windows of items under ``span`` words have no fingerprint. Up to
+    ``broadcast_windows`` of them are sent, so that only document windows among
+    them are emitted; beyond that all of these lengths are.
+    """
     lengths = [r[0] for r in windows.where("kind = 0").select("length").distinct().collect()]  # at most ``span`` of them
+    short = windows.where(F.col("length") < span).select("hash").distinct()
+    known = rows.sparkSession.sparkContext.broadcast(np.sort(short.toArrow().column("hash").to_numpy())) if short.count() <= broadcast_windows else None
+
+    def wanted(codes: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+        hashes = window_hashes(codes, n)
+        begin = np.arange(len(hashes)) if known is None else np.flatnonzero(np.isin(hashes.view(np.int64), known.value))
+        return begin, hashes[begin]
+
     ids = f"{ROW_ID[0]} long, {ROW_ID[1]} long"
 
     def emitted(batch: pa.RecordBatch, made: list[tuple[int, int, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
@@ -165,7 +181,7 @@ def _found_by_shuffle(rows: DataFrame, windows: DataFrame, span: int, gram: int)
                 codes = coder.codes(alnum_words(text))
                 at = fingerprints(codes, span, gram)
                 made.append((i, 0, at, window_hashes(codes, gram)[at]))
-                made += [(i, n, np.arange(len(codes) - n + 1), window_hashes(codes, n)) for n in lengths if n != span and n <= len(codes)]
+                made += [(i, n, *wanted(codes, n)) for n in lengths if n != span and n <= len(codes)]
             if made:
                 yield emitted(batch, made)
 
@@ -187,11 +203,12 @@ def _found_by_shuffle(rows: DataFrame, windows: DataFrame, span: int, gram: int)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *[batch.column(c) for c in ROW_ID], counts], names=["doc_id", *ROW_ID, "n_words"])
 
     schema = f"{ids}, length int, begin int, hash long"
-    made = rows.mapInArrow(prints, schema)
+    made = saved(rows.mapInArrow(prints, schema), "prints")
     near = made.where("length = 0").join(windows.where("kind = 1").select("hash").distinct(), "hash", "left_semi")
     near = near.groupBy(*ROW_ID).agg(F.collect_set("begin").alias("places"))  # no more than the document's own words
     whole = rows.join(near, list(ROW_ID)).select("text", *ROW_ID, "places").mapInArrow(extended, schema)
     hits = saved(whole.unionByName(made.where("length > 0")).join(windows.where("kind = 0").select("length", "hash", "item_id"), ["length", "hash"]), "hits")
+    dropped(made)
     spans = hits.groupBy(*ROW_ID).agg(F.sort_array(F.collect_set(F.struct(F.col("begin").alias("first"), (F.col("begin") + F.col("length")).alias("last")))).alias("spans"))
     items = hits.groupBy(*ROW_ID).agg(F.array_sort(F.collect_set("item_id")).alias("items"))
 
@@ -222,10 +239,14 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, gram:
     (item_id, text), or all words of a shorter one. Texts that are null or hold
     no word give 0 words and no hit; such items give no window. Rows of an item
     are taken together, repeated ones count once, and an item without an id
-    marks words but isn't listed. Repeated documents each have their row.
+    marks words but isn't listed. Repeated documents each have their row. Texts and
+    ids of any length are taken whole; an empty table of documents gives an empty
+    result, an empty benchmark no hit. Other columns, whatever their names, are
+    not read. Windows are compared by 64-bit hashes of their words.
     """
     bounded_batches(docs.sparkSession)
     rows = with_row_ids(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")))
     windows = saved(benchmark_windows(benchmark, span, gram), "windows")
-    way = _found_locally if windows.count() <= broadcast_windows else _found_by_shuffle
-    return way(rows, windows, span, gram)
+    if windows.count() <= broadcast_windows:
+        return _found_locally(rows, windows, span, gram)
+    return _found_by_shuffle(rows, windows, span, gram, broadcast_windows)
