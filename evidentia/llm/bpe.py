@@ -441,8 +441,8 @@ def encode_decode(docs: DataFrame, vocabulary_path: str, lexicon_words: int = LE
     Ids are those of the tokenizers library without added special tokens; the
     strings of special tokens in a text become their ids, as there. A null text
     counts as empty: no ids, and empty when decoded. Words of any length are
-    merged exactly. Repeated rows each have their row; further columns aren't
-    read. The vocabulary, of fixed size, and the lexicon, of ``lexicon_words``
+    merged exactly. Repeated rows each have their row, an empty table gives an
+    empty result; further columns, whatever their names, aren't read. The vocabulary, of fixed size, and the lexicon, of ``lexicon_words``
     words at most, are all that is sent to the executors.
     """
     spark = docs.sparkSession
