@@ -26,6 +26,33 @@ def test_exact(spark, docs):
     assert found.where("kept").count() == groups
 
 
+def test_exact_in_many_lanes_and_slices(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(exact, "SLICE_ROWS", 8)
+    rng = random.Random(8)
+    rows = [(rng.choice([None, *range(400)]), rng.choice(["hot", "h o t", " hot", *[f"text {i}" for i in range(150)]]) if rng.random() < 0.8 else f"own {i}") for i in range(900)]
+    frame(spark, rows).repartition(40).write.parquet(f"{tmp_path}/documents")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2k")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        found = exact.exact_dedup(spark.read.parquet(f"{tmp_path}/documents"), fan_in=3)
+        assert max(r.lane for r in exact.digest_runs(spark.read.parquet(f"{tmp_path}/documents")).select("lane").distinct().collect()) >= 20
+        expected, groups = brute.exact(rows)
+        assert ordered((r.doc_id, r.keep_id, r.group_size) for r in found.collect()) == ordered(expected)
+        assert found.where("kept").count() == groups
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_lines_in_many_batches(spark, tmp_path):
+    rng = random.Random(15)
+    pool = [f"line number {i} with enough characters" for i in range(60)]
+    rows = [(i, "\n".join(rng.choice(pool) for _ in range(rng.randrange(1, 5)))) for i in range(80)]
+    for batches, fan_in in ((1, 2), (7, 2), (9, 3)):
+        found = lines.drop_repeated_lines(as_parquet(spark, tmp_path / f"{batches}", rows), batches=batches, fan_in=fan_in).select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("s"))
+        assert ordered(r[:] for r in found.collect()) == ordered(brute.lines(rows))
+
+
 def test_jaccard(spark, docs):
     found = jaccard.linked_components(docs)
     assert ordered((r.doc_id, r.n_shingles, r.component_id) for r in found.collect()) == ordered(brute.jaccard(hard_rows()))

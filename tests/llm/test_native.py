@@ -1,4 +1,5 @@
 import datetime as dt
+import hashlib
 import random
 import re
 
@@ -118,3 +119,119 @@ def test_long_conversations_are_numbered_in_blocks(spark):
 
 def test_no_conversations(spark):
     assert quotes.reply_ordered(conversation(spark, [])).count() == 0
+
+
+def test_messages_without_turns_are_numbered_in_blocks(spark, tmp_path):
+    conversation(spark, [(1, None, "user", f"m{i}") for i in range(5_000)] + [(1, 7, "user", "end")]).repartition(3).write.parquet(f"{tmp_path}/c")
+    found = quotes.reply_ordered(spark.read.parquet(f"{tmp_path}/c")).collect()
+    assert sorted(r.position for r in found) == list(range(5_001)) and [r.position for r in found if r.turn == 7] == [5_000]
+
+
+KEY = "a key"
+
+
+def h(tag, i, value):
+    return int(hashlib.sha256(f"{KEY}|{tag}|{i}|{value}".encode()).hexdigest()[:15], 16)
+
+
+def feistel(a, b, m, n, tag):
+    for i in range(1, pii.ROUNDS + 1):
+        a, b = ((a + h(tag, i, b) % m) % m, b) if i % 2 else (a, (b + h(tag, i, a) % n) % n)
+    return a, b
+
+
+def brute_digits(d, tag):
+    k = len(d) // 2
+    a, b = feistel(int(d[:k]), int(d[k:]), 10**k, 10 ** (len(d) - k), tag)
+    return f"{a:0{k}d}{b:0{len(d) - k}d}"
+
+
+def brute_letters(text, tag):
+    k = (len(text) + 1) // 2
+    halves = [text[:k], text[k:]]
+    for i in range(1, pii.ROUNDS + 1):
+        mine = 1 - i % 2
+        digest, out = hashlib.sha256(halves[1 - mine].encode()).hexdigest(), ""
+        for at, c in enumerate(halves[mine]):
+            base, size = next(((b, n) for b, n, low, high in ((97, 26, "a", "z"), (65, 26, "A", "Z"), (48, 10, "0", "9")) if low <= c <= high), (None, 0))
+            out += c if base is None else chr(base + (ord(c) - base + h(tag, i, f"{at}|{digest}") % size) % size)
+        halves[mine] = out
+    return "".join(halves)
+
+
+def brute_card(digits):
+    payload = brute_digits(digits[:-1], "card")
+    return next(payload + c for c in "0123456789" if luhn(payload + c))
+
+
+def brute_ssn(value):
+    area, group, serial = map(int, value.split("-"))
+    a, b = feistel((area - 1 - (area > 666)) * 99 + group - 1, serial - 1, 898 * 99, 9_999, "ssn")
+    areas = [x for x in range(1, 900) if x != 666]
+    return f"{areas[a // 99]:03d}-{a % 99 + 1:02d}-{b + 1:04d}"
+
+
+def brute_ip(value):
+    o = list(map(int, value.split(".")))
+    a, b = feistel(o[0] * 256 + o[1], o[2] * 256 + o[3], 65_536, 65_536, "ip")
+    return ".".join(str(x) for y in (a, b) for x in divmod(y, 256))
+
+
+def brute_day(value):
+    number = (dt.date.fromisoformat(value) - dt.date(1900, 1, 1)).days
+    a, b = feistel(*divmod(number, 4_297), 17, 4_297, "date")
+    return (dt.date(1900, 1, 1) + dt.timedelta(days=a * 4_297 + b)).isoformat()
+
+
+def test_pseudonyms_against_brute_force(spark):
+    rng = random.Random(4)
+    digits = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    made = []
+    for _ in range(40):
+        payload = digits(rng.randrange(12, 19))
+        card = next(payload + c for c in "0123456789" if luhn(payload + c))
+        local, secret = "".join(rng.choice("abXY9._+") for _ in range(rng.randrange(1, 30))), "".join(rng.choice("abXY09+/_=-") for _ in range(rng.randrange(8, 60)))
+        local, secret = f"q{local}", f"s{secret}"
+        ssn = f"{rng.choice([x for x in range(1, 900) if x != 666]):03d}-{rng.randrange(1, 100):02d}-{rng.randrange(1, 10_000):04d}"
+        ip = ".".join(str(rng.randrange(256)) for _ in range(4))
+        day = (dt.date(1900, 1, 1) + dt.timedelta(days=rng.randrange(73_049))).isoformat()
+        phone = f"({digits(3)}) {digits(3)}-{digits(4)}"
+        national = brute_digits(re.sub(r"\D", "", phone), "phone")
+        made += [
+            ("card", card, brute_card(card)), ("email", f"{local}@mail.example.org", brute_letters(local, "email") + "@mail.example.org"), ("secret", f"api_key: '{secret}", "api_key: '" + brute_letters(secret, "secret")),
+            ("ssn", ssn, brute_ssn(ssn)), ("ip", ip, brute_ip(ip)), ("date", day, brute_day(day)), ("phone", phone, f"({national[:3]}) {national[3:6]}-{national[6:]}"),
+        ]
+    rows = spark.createDataFrame([(i, f"so {text} , {made[i - 1][1]} ;") for i, (_, text, _) in enumerate(made)], "doc_id long, text string")
+    found = pii.pseudonymise(rows, KEY).orderBy("doc_id").collect()
+    assert [(r.text, r.found) for r in found] == [(f"so {new} , {made[i - 1][2]} ;", [kind, made[i - 1][0]]) for i, (kind, _, new) in enumerate(made)]
+    back = pii.restore(spark.createDataFrame([(r.doc_id, r.text) for r in found], "doc_id long, text string"), KEY).orderBy("doc_id").collect()
+    assert [r.text for r in back] == [r.text for r in rows.orderBy("doc_id").collect()]
+
+
+def test_restore_gives_every_form_back(spark):
+    rng = random.Random(6)
+    days = [dt.date(1900, 1, 1) + dt.timedelta(days=rng.randrange(73_049)) for _ in range(300)]
+    texts = [f"{d.day}.{d.month}.{d.year} {d.day:02d}.{d.month:02d}.{d.year} {d.month}/{d.day}/{d.year} {d.day}/{d.month}/{d.year} {d.month:02d}/{d.day:02d}/{d.year} {d.day:02d}/{d.month}/{d.year}, {d}" for d in days]
+    texts += ["DE89 3704 0044 0532 0130 00 and GB82WEST12345698765432", "+4915112345678 +1 (743) 555-3824 743-555-3824", "TOKEN\n=\n" + "ab12" * 500, "10.0.0.1 255.255.255.255", "a@b.co x.y-z@sub.example.com."]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    there = pii.pseudonymise(rows, KEY).orderBy("doc_id").collect()
+    assert all(r.text != t and len(r.found) >= 1 for r, t in zip(there, texts, strict=True))
+    back = pii.restore(spark.createDataFrame([(r.doc_id, r.text) for r in there], "doc_id long, text string"), KEY).orderBy("doc_id").collect()
+    assert [r.text for r in back] == texts and [r.found for r in back] == [r.found for r in there]
+
+
+def test_very_long_texts(spark):
+    """A megabyte of letters, of base64, of labels; all in linear time and without deep recursion."""
+    rng = random.Random(9)
+    texts = ["a" * 1_000_000, "".join(rng.choices("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/", k=1_000_000)), "a@" + "b." * 20_000 + "!", "a." * 300_000 + "@x", "1-" * 300_000, "token" + " " * 500_000 + "x", "x@y " * 100_000, "q" * 70 + "@example.com"]
+    found = pseudonyms(spark, texts)
+    assert [r.text for k, r in enumerate(found) if k != 2] == [t for k, t in enumerate(texts) if k != 2]
+
+
+def test_the_key_comes_from_the_session(spark):
+    spark.conf.unset(pii.KEY_SETTING)
+    made = pii.configured_key(spark)
+    assert len(made) == 64 and pii.configured_key(spark) == made
+    spark.conf.set(pii.KEY_SETTING, "own")
+    assert pii.configured_key(spark) == "own"
+    spark.conf.unset(pii.KEY_SETTING)

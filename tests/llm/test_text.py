@@ -34,12 +34,13 @@ def test_word_codes():
         assert all(seen.setdefault(w, c) == c for w, c in zip(expected, codes.tolist(), strict=True)) and len(set(seen.values())) == len(seen)
 
 
-@pytest.mark.parametrize("limit", [winnow.BROADCAST_WINDOWS, 0])
+@pytest.mark.parametrize("limit", [winnow.BROADCAST_WINDOWS, 10, 0])
 def test_decontamination(spark, docs, limit):
     rows = hard_rows()
     long = brute.alnum_words(rows[-7][1] or rows[13][1])
-    items = [(1, " ".join(brute.alnum_words(rows[8][1])[5:40])), (2, "Two words"), (3, None), (4, "..."), (5, " ".join(brute.alnum_words(rows[20][1])[:10])), (None, "negative id"), (2, "loop loop loop"), (10, " ".join(long[3:15])), (6, "x " * 12)]
-    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    items = [(1, " ".join(brute.alnum_words(rows[8][1])[5:40])), (2, "Two words"), (3, None), (4, "..."), (5, " ".join(brute.alnum_words(rows[20][1])[:10])), (None, "negative id"), (2, "loop loop loop"), (10, " ".join(long[3:15])), (6, "x " * 12), ("\0null", "w1 w2"), ("i" * 10_000, " ".join(long[30:45]))]
+    items = [(None if i is None else str(i), x) for i, x in items]
+    benchmark = spark.createDataFrame(items, "item_id string, text string")
     found = winnow.decontaminate(docs, benchmark, broadcast_windows=limit)
     mine = [(r.doc_id, r.n_words, sum(s["last"] - s["first"] for s in r["spans"]), tuple(r["items"])) for r in found.collect()]
     assert ordered(mine) == ordered(brute.contamination(rows, items))
@@ -133,6 +134,36 @@ def test_hinge_loss_separates():
     assert [quality.unpacked(p, 128).tolist() for p in packed] == [[1, 2], list(range(100))] and max(map(len, packed)) <= 16
 
 
+def test_features_against_plain_sets():
+    """Distinct words, pairs of words, shapes, pairs and triples of shapes; a bucket for each."""
+    rng = random.Random(3)
+    for _ in range(50):
+        text = " ".join(rng.choice(["one", "Two", "x1", "!!!!", "one", "É"]) for _ in range(rng.randrange(12)))
+        words_, shapes = text.split(), [quality.shape(w.encode()) for w in text.split()]
+        shapes = [b"again" if k and w == words_[k - 1] else s for k, (w, s) in enumerate(zip(words_, shapes, strict=True))]
+        plain = {("w", *words_[i : i + n]) for n in (1, 2) for i in range(len(words_) - n + 1)} | {("s", *shapes[i : i + n]) for n in (1, 2, 3) for i in range(len(shapes) - n + 1)}
+        assert abs(len(quality.Features().of(text.encode())) - len(plain)) <= 1  # two may share a bucket
+
+
+def test_dual_coordinate_descent_reaches_the_optimum():
+    """Primal and dual objective of the hinge-loss model agree, so no other weights are better."""
+    rng = np.random.default_rng(0)
+    rows = [np.unique(rng.integers(0, 30, 6)).astype(np.int32) for _ in range(60)]
+    good = np.array([x.min() % 2 == 0 for x in rows])
+    ratios = quality.log_count_ratios(rows, good, 30)
+    counts = [[1 + sum(i in set(x.tolist()) for x, y in zip(rows, good, strict=True) if y == side) for i in range(30)] for side in (True, False)]
+    assert np.allclose(ratios, [np.log(a / sum(counts[0])) - np.log(b / sum(counts[1])) for a, b in zip(*counts, strict=True)])
+    weights, bias = quality.dual_coordinate_descent(rows, good, ratios, rounds=5_000, tolerance=1e-9)
+    x = np.zeros((60, 31))
+    for i, row in enumerate(rows):
+        x[i, row], x[i, 30] = ratios[row] / len(row) ** 0.5, 1
+    y, w = np.where(good, 1.0, -1.0), np.append(weights, bias)
+    cost = np.where(good, 60 / (2 * good.sum()), 60 / (2 * (~good).sum()))
+    objective = lambda v: v @ v / 2 + (cost * np.maximum(0, 1 - y * (x @ v))).sum()
+    best = objective(w)
+    assert all(best <= objective(w + step) + 1e-6 for step in rng.normal(0, 0.05, (500, 31)))
+
+
 def test_shards(spark, docs):
     found = shards.shard(docs).collect()
     sizes = {(d, len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for d, t in hard_rows()}
@@ -144,6 +175,18 @@ def test_shards(spark, docs):
     assert shards.shard(frame(spark, [])).count() == 0
 
 
+def test_slots_of_repeated_rows(spark, tmp_path):
+    """A hundred thousand rows of one id and text are numbered in pieces."""
+    rows = spark.range(100_000).select(F.lit(7).cast("long").alias("doc_id"), F.lit("same").alias("text")).unionByName(spark.range(3_000).select("id", F.concat(F.lit("t"), "id")).toDF("doc_id", "text"))
+    rows.repartition(5).write.parquet(f"{tmp_path}/documents")
+    found = shards.shard(spark.read.parquet(f"{tmp_path}/documents"))
+    wrong = found.groupBy("shard").agg(F.count("*").alias("n"), F.countDistinct("slot").alias("d"), F.max("slot").alias("m"), F.min("slot").alias("l")).where("n <> d or m <> n - 1 or l <> 0")
+    assert wrong.count() == 0 and found.count() == 103_000
+    same = found.where("doc_id = 7 and size = 5").agg(F.count("*"), F.max("slot") - F.min("slot")).first()
+    assert same[0] == 100_000 and same[1] == 99_999
+    assert shards.digits_for(1 << 28, 16) == 2 and shards.digits_for((1 << 28) + 1, 16) == 3
+
+
 def test_weights_of_shards(spark):
     keys = spark.range(20_000).select(F.col("id").cast("string").alias("k"))
     counts = {r["s"]: r["n"] for r in keys.groupBy(shards.rendezvous(F.col("k"), (1.0, 3.0, 0.0)).alias("s")).agg(F.count("*").alias("n")).collect()}
