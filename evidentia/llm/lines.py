@@ -122,7 +122,7 @@ def drop_repeated_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3,
         .where(F.char_length("key") >= min_chars)
         .select("id", *ROW_ID, "at", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2"), F.pmod(F.xxhash64("id"), F.lit(batches)).cast("int").alias("batch"))
     )
-    lines = saved(lines, "keys", partition_by="batch")
+    lines = saved(lines, "keys")
     runs = LineRuns(fan_in)
     for batch in range(batches):
         runs.add(lines.where(F.col("batch") == batch).select("h1", "h2", "id"))
@@ -132,7 +132,7 @@ def drop_repeated_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3,
     places = saved(gone.groupBy(*ROW_ID).agg(F.sort_array(F.collect_list("at")).alias("places")), "places")
     dropped(lines, settled)
     kept = F.array_join(without(F.col("lines"), F.col("places")), "\n")
-    return rows.join(places, list(ROW_ID), "left").withColumn("lines", split).select(  # split behind the join: only texts are shuffled
+    return rows.join(places.hint("merge"), list(ROW_ID), "left").withColumn("lines", split).select(  # split behind the join: only texts are shuffled
         "doc_id",
         F.size("lines").cast("long").alias("n_lines"),
         F.coalesce(F.size("places"), F.lit(0)).cast("long").alias("n_dropped"),

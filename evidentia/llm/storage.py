@@ -49,15 +49,14 @@ def new_path(spark: SparkSession, label: str) -> str:
     return path
 
 
-def saved(df: DataFrame, label: str, partition_by: str | None = None) -> DataFrame:
+def saved(df: DataFrame, label: str) -> DataFrame:
     """``df`` written as a shared Parquet table and read again. The shuffles that made it are removed with the write."""
     spark = df.sparkSession
     path = new_path(spark, label)
-    writer = df.write.partitionBy(partition_by) if partition_by else df.write
     before = spark.conf.get(_CLEAN, None)
     spark.conf.set(_CLEAN, "true")
     try:
-        writer.parquet(path)
+        df.write.parquet(path)
     finally:
         spark.conf.unset(_CLEAN) if before is None else spark.conf.set(_CLEAN, before)
     table = spark.read.schema(df.schema).parquet(path)
