@@ -9,10 +9,12 @@ from pyspark.sql import functions as F
 
 #: English function words that queries and vectors leave out.
 STOPWORDS = (
-    "a an and are as at be been being but by can could did do does for from had has have he her here hers him his how i if in into is it its "
-    "me my no nor not of off on onto or our ours out over she should so some such than that the their theirs them then there these they this "
-    "those to too up us was we were what when where which while who whom why will with would you your yours"
-).split()
+    "a", "an", "and", "are", "as", "at", "be", "been", "being", "but", "by", "can", "could", "did", "do", "does", "for", "from", "had", "has",
+    "have", "he", "her", "here", "hers", "him", "his", "how", "i", "if", "in", "into", "is", "it", "its", "me", "my", "no", "nor", "not", "of",
+    "off", "on", "onto", "or", "our", "ours", "out", "over", "she", "should", "so", "some", "such", "than", "that", "the", "their", "theirs", "them",
+    "then", "there", "these", "they", "this", "those", "to", "too", "up", "us", "was", "we", "were", "what", "when", "where", "which", "while",
+    "who", "whom", "why", "will", "with", "would", "you", "your", "yours",
+)
 
 #: Buckets of the hashed n-gram vector.
 DIM = 512
@@ -28,8 +30,17 @@ def code_tokens(text: Column) -> Column:
 
 
 def index_tokens(text: Column) -> Column:
-    """Lower-case runs of ASCII letters and digits of at most MAX_TOKEN_BYTES, the unit of BM25."""
-    return F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda t: (t != "") & (F.octet_length(t) <= MAX_TOKEN_BYTES))
+    """Lower-case runs of letters and digits of at most MAX_TOKEN_BYTES, the unit of BM25."""
+    return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda t: (t != "") & (F.octet_length(t) <= MAX_TOKEN_BYTES))
+
+
+def index_token_count(text: Column) -> Column:
+    """How many ``index_tokens`` a text has."""
+    return F.size(index_tokens(text))
+
+
+def without_stopwords(tokens: Column, stopwords: Sequence[str] = STOPWORDS) -> Column:
+    return F.filter(tokens, lambda t: ~t.isin(*stopwords))
 
 
 def query_tokens(text: Column, stopwords: Sequence[str] = STOPWORDS) -> Column:

@@ -4,12 +4,20 @@ Every operator takes queries (query_id, text); limits are row numbers within a
 query. Deliberate differences to a one-query engine: exact document lengths,
 query text as a bag of terms, double precision, a given time instead of the
 clock, and ties in order of the path.
+
+Vectors are compared in blocks: up to BLOCK vectors are one row with a matrix, so
+are up to BLOCK queries, and a pair of blocks is one matrix product of which the
+best rows of each query stay. No pair of single rows is ever a row.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,6 +31,9 @@ K1, B, CANDIDATES, DECIMALS = 1.2, 0.75, 50, 6
 #: Score of a substring symbol match, rows beyond top_k, factor for tests where the query isn't about them.
 SUBSTRING_SCORE, EXTRA, TEST_FACTOR = 1.5, 3, 0.8
 
+#: Vectors of a block; characters of a file that a packet shows without a chunk.
+BLOCK, PREVIEW = 1_024, 400
+
 
 @dataclass(frozen=True)
 class Weights:
@@ -39,12 +50,13 @@ class Weights:
     recency_halflife_days: float = 90.0
 
 
-def postings(docs: DataFrame, *fields: str) -> DataFrame:
-    """(field, doc, term, tf, len) of the text columns ``fields`` of docs (doc, ...)."""
+def postings(docs: DataFrame, *fields: str, wanted: DataFrame | None = None) -> DataFrame:
+    """(field, doc, term, tf, len) of the text columns ``fields`` of docs (doc, ...); with ``wanted`` (term), of those terms only."""
     out = None
     for field in fields or ("body",):
         tokens = docs.select("doc", F.lit(field).alias("field"), T.index_tokens(F.col(field)).alias("tokens"))
         rows = tokens.select("field", "doc", F.size("tokens").cast("long").alias("len"), F.explode("tokens").alias("term"))
+        rows = rows if wanted is None else rows.join(wanted, "term", "left_semi")  # before the shuffle
         rows = rows.groupBy("field", "doc", "term").agg(F.count(F.lit(1)).alias("tf"), F.first("len").alias("len"))
         out = rows if out is None else out.unionByName(rows)
     return out
@@ -56,12 +68,12 @@ def term_stats(index: DataFrame) -> DataFrame:
 
 
 def field_stats(docs: DataFrame, *fields: str) -> DataFrame:
-    """(field, n_docs, avg_len) over all documents, those without tokens included."""
-    rows = None
-    for field in fields or ("body",):
-        one = docs.agg(F.count(F.lit(1)).alias("n_docs"), F.avg(F.coalesce(F.size(T.index_tokens(F.col(field))), F.lit(0))).alias("avg_len")).withColumn("field", F.lit(field))
-        rows = one if rows is None else rows.unionByName(one)
-    return rows
+    """(field, n_docs, avg_len) over all documents, those without tokens included, in one pass."""
+    fields = fields or ("body",)
+    sizes = [F.avg(F.coalesce(T.index_token_count(F.col(f)), F.lit(0))).alias(f"len_{i}") for i, f in enumerate(fields)]
+    one = docs.agg(F.count(F.lit(1)).alias("n_docs"), *sizes)
+    each = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f"len_{i}").alias("avg_len")) for i, f in enumerate(fields)])
+    return one.select("n_docs", F.explode(each).alias("x")).select("x.field", "n_docs", "x.avg_len")
 
 
 def idf(df: Column, n_docs: Column) -> Column:
@@ -70,10 +82,8 @@ def idf(df: Column, n_docs: Column) -> Column:
 
 def bm25(docs: DataFrame, queries: DataFrame, k: int = CANDIDATES, fields: tuple[str, ...] = ("body",)) -> DataFrame:
     """(query_id, doc, score, rank): the ``k`` best documents by the sum over query terms and fields; a repeated term counts each time."""
-    index = postings(docs, *fields)
     asked = queries.select("query_id", F.explode(T.index_tokens(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("times"))
-    wanted = asked.select("term").distinct()
-    index = index.join(wanted, "term", "left_semi")
+    index = postings(docs, *fields, wanted=asked.select("term").distinct())
     terms = term_stats(index)
     rows = index.join(terms, ["field", "term"]).join(field_stats(docs, *fields), "field")
     tf = F.col("tf").cast("double")
@@ -83,46 +93,132 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int = CANDIDATES, fields: tuple
     return top(scored, k, ["query_id"], [F.desc("score"), F.col("doc")])
 
 
-def hashed_vectors(texts: DataFrame, tokens: Column, key: str = "doc") -> DataFrame:
-    """(key, bucket, weight): each token adds 2 to its bucket, each of its trigrams 1; the vector has length 1."""
-    counts = texts.select(key, F.explode(tokens).alias("token")).groupBy(key, "token").agg(F.count(F.lit(1)).alias("tf"))
-    features = F.concat(F.array(F.struct(F.col("token").alias("f"), F.lit(2.0).alias("w"))), F.transform(T.trigrams(F.col("token")), lambda t: F.struct(t.alias("f"), F.lit(1.0).alias("w"))))
-    rows = counts.select(key, "tf", F.explode(features).alias("x")).groupBy(key, F.col("x.f").alias("f")).agg(F.sum(F.col("tf") * F.col("x.w")).alias("w"))
-    sums = rows.groupBy(key, T.fnv_bucket(F.col("f")).alias("bucket")).agg(F.sum("w").alias("w"))
-    return sums.withColumn("weight", F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(key)))).drop("w")
+def _feature_buckets(token: str) -> tuple[list[int], list[float]]:
+    features = [token, *(token[i : i + 3] for i in range(len(token) - 2))]
+    out = []
+    for feature in features:
+        h = 293  # the low nine bits of FNV-1a, which decide alone
+        for x in feature.encode():
+            h = (h ^ x) * 435 % T.DIM
+        out.append(h)
+    return out, [2.0] + [1.0] * (len(out) - 1)
 
 
-def cosine(vectors: DataFrame, queries: DataFrame, key: str = "doc") -> DataFrame:
-    """(query_id, key, score) of vectors (key, bucket, weight) that share a bucket with a query's (query_id, bucket, weight)."""
-    asked = queries.select("query_id", "bucket", F.col("weight").alias("asked"))
-    return asked.join(vectors, "bucket").groupBy("query_id", key).agg(F.round(F.sum(F.col("asked") * F.col("weight")), DECIMALS).alias("score"))
+def hashed_arrays(texts: DataFrame, tokens: Column, *keys: str) -> DataFrame:
+    """(keys, vector): each token adds 2 to its bucket of T.DIM, each of its trigrams 1; the vector has length 1, or is 0 without tokens.
 
+    A text's features are hashed and added up within its own row.
+    """
 
-def vector_search(docs: DataFrame, queries: DataFrame, k: int = CANDIDATES, tokens=T.code_tokens, text: str = "body") -> DataFrame:
-    """(query_id, doc, score, rank) by cosine of hashed vectors; ``tokens`` makes tokens of a text column."""
-    found = cosine(hashed_vectors(docs, tokens(F.col(text))), hashed_vectors(queries, tokens(F.col("text")), "query_id"))
-    return top(found, k, ["query_id"], [F.desc("score"), F.col("doc")])
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, tuple[list[int], list[float]]] = {}
+        for batch in batches:
+            out = np.zeros((len(batch), T.DIM))
+            for row, words in enumerate(batch.column("tokens")):
+                places, adds = [], []
+                for word in words.as_py() or ():
+                    if word not in known:
+                        if len(known) > 200_000:
+                            known.clear()
+                        known[word] = _feature_buckets(word)
+                    a, b = known[word]
+                    places += a
+                    adds += b
+                if places:
+                    out[row] = np.bincount(places, adds, T.DIM)
+                    out[row] /= np.sqrt(out[row] @ out[row])
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(batch) + 1) * T.DIM, pa.int32()), pa.array(out.ravel()))
+            yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in keys], lists], names=[*keys, "vector"])
+
+    rows = texts.select(*keys, tokens.alias("tokens"))
+    kinds = dict(rows.dtypes)
+    return rows.mapInArrow(made, ", ".join(f"`{k}` {kinds[k]}" for k in keys) + ", vector array<double>")
 
 
-def dense_scores(vectors: DataFrame, queries: DataFrame, block: int = 32) -> DataFrame:
-    """(query_id, id, score): dot products of every vector (id, vector) with every query (query_id, vector).
+def hashed_vectors(texts: DataFrame, tokens: Column, key: str = "doc") -> DataFrame:
+    """(key, bucket, weight): the buckets of ``hashed_arrays`` that are not 0."""
+    return hashed_arrays(texts, tokens, key).select(key, F.posexplode("vector").alias("bucket", "weight")).where("weight <> 0")
 
-    Queries come in blocks of ``block``, each an array in one row, so the vectors
-    are read once for each block.
-    """
-    numbered = queries.select("query_id", F.col("vector").alias("q"))
-    blocks = numbered.groupBy(F.pmod(F.xxhash64("query_id"), F.lit(max(1, block))).alias("b")).agg(F.collect_list(F.struct("query_id", "q")).alias("some"))
-    dot = lambda q, v: F.aggregate(F.zip_with(q, v, lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda s, x: s + x)
-    made = vectors.select("id", "vector").crossJoin(blocks)  # all rows against a stated set of queries, in blocks
-    scored = made.select("id", F.explode(F.transform("some", lambda s: F.struct(s["query_id"].alias("query_id"), dot(s["q"], F.col("vector")).alias("score")))).alias("x"))
-    return scored.select("x.query_id", "id", F.round("x.score", DECIMALS).alias("score"))
 
+def _packed(rows: DataFrame, names: list[str]) -> DataFrame:
+    """Rows (names, vector) as blocks: ``ids``, a struct of lists, and ``matrix``, their vectors as doubles one after another."""
 
-def max_pooled(scores: DataFrame, groups: DataFrame) -> DataFrame:
-    """(query_id, grp, score, best): of the rows of a group (id, grp) the greatest score and the least id that has it."""
-    rows = scores.join(groups, "id")
-    best = rows.groupBy("query_id", "grp").agg(F.min(F.struct((-F.col("score")).alias("order"), "id")).alias("best"))
-    return best.select("query_id", "grp", (-F.col("best.order")).alias("score"), F.col("best.id").alias("best"))
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, len(batch), BLOCK):
+                some = batch.slice(at, BLOCK)
+                vectors = pc.list_flatten(some.column("vector")).to_numpy(zero_copy_only=False).astype(np.float64)
+                lists = [pa.ListArray.from_arrays(pa.array([0, len(some)], pa.int32()), pa.concat_arrays([some.column(n)])) for n in names]
+                yield pa.RecordBatch.from_arrays([*lists, pa.array([vectors.tobytes()], pa.binary())], names=[*names, "matrix"])
+
+    kinds = dict(rows.dtypes)
+    return rows.select(*names, "vector").mapInArrow(packed, ", ".join(f"`{n}` array<{kinds[n]}>" for n in names) + ", matrix binary")
+
+
+def nearest(units: DataFrame, queries: DataFrame, k: int | None = None) -> DataFrame:
+    """(query_id, grp, score, best): of units (grp, id, vector) the greatest dot product of each group with a query (query_id, vector), and the least id that has it.
+
+    The ``k`` groups of the greatest scores for each query, ties in order of grp;
+    all groups without ``k``. Of a pair of blocks only its own ``k`` best stay: a
+    group among the best of all is among those of the block that holds its best.
+    """
+    kinds, asked = dict(units.dtypes), dict(queries.dtypes)["query_id"]
+    pairs = _packed(units, ["grp", "id"]).crossJoin(_packed(queries, ["query_id"]).withColumnRenamed("matrix", "q_matrix"))  # blocks against blocks
+
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(len(batch)):
+                one = {n: batch.column(n)[row] for n in batch.schema.names}
+                table = pa.table({"grp": one["grp"].values, "id": one["id"].values})
+                order = pc.sort_indices(table, [("grp", "ascending"), ("id", "ascending")])
+                table = table.take(order)
+                q_ids = one["query_id"].values
+                v = np.frombuffer(one["matrix"].as_py()).reshape(len(table), -1)[order.to_numpy()]
+                q = np.frombuffer(one["q_matrix"].as_py()).reshape(len(q_ids), -1)
+                scores = np.floor(v @ q.T * 10**DECIMALS + 0.5)
+                names = table.column("grp").combine_chunks()
+                code = pc.rank(names, tiebreaker="dense").to_numpy() if len(names) else np.empty(0)
+                first = np.flatnonzero(np.concatenate(([True], code[1:] != code[:-1])))
+                pooled = np.maximum.reduceat(scores, first, 0)
+                if k is None or k >= len(first):
+                    group, query = (x.ravel() for x in np.indices(pooled.shape))
+                else:
+                    group = np.argsort(-pooled, 0, kind="stable")[:k].ravel()
+                    query = np.tile(np.arange(len(q_ids)), k)
+                last = np.append(first[1:], len(table))
+                if len(first) == len(table):
+                    best = first[group]
+                else:
+                    best = np.array([a + scores[a:b, c].argmax() for a, b, c in zip(first[group].tolist(), last[group].tolist(), query.tolist(), strict=True)], np.int64)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.concat_arrays([q_ids]).take(pa.array(query)), names.take(pa.array(best)), pa.array(scores[best, query] / 10**DECIMALS), table.column("id").combine_chunks().take(pa.array(best))],
+                    names=["query_id", "grp", "score", "best"],
+                )
+
+    found = pairs.mapInArrow(scored, f"query_id {asked}, grp {kinds['grp']}, score double, best {kinds['id']}")
+    pooled = found.groupBy("query_id", "grp").agg(F.min(F.struct((-F.col("score")).alias("order"), F.col("best"))).alias("x"))
+    pooled = pooled.select("query_id", "grp", F.round(-F.col("x.order"), DECIMALS).alias("score"), F.col("x.best").alias("best"))
+    return pooled if k is None else top(pooled, k, ["query_id"], [F.desc("score"), F.col("grp")]).drop("rank")
+
+
+def nearest_rows(vectors: DataFrame, queries: DataFrame, k: int, but_itself: bool = False) -> DataFrame:
+    """(query_id, id, score, rank): the ``k`` vectors (id, vector) nearest to each query (query_id, vector), without the query's own id on demand."""
+    found = nearest(vectors.select(F.col("id").alias("grp"), "id", "vector"), queries.select("query_id", "vector"), k + but_itself).select("query_id", F.col("grp").alias("id"), "score")
+    found = found.where("id <> query_id") if but_itself else found
+    return top(found, k, ["query_id"], [F.desc("score"), F.col("id")])
+
+
+def vector_search(docs: DataFrame, queries: DataFrame, k: int = CANDIDATES, tokens=T.code_tokens, text: str = "body", chunks: DataFrame | None = None) -> DataFrame:
+    """(query_id, doc, score, best, rank) by cosine of hashed vectors; ``tokens`` makes tokens of a text column.
+
+    Documents are compared by their best chunk of ``chunks`` (doc, chunk, text),
+    ``best`` being the least number of one that has the score, or else by ``text``
+    as one chunk 0. Documents with cosine 0 are ranked too.
+    """
+    units = docs.select("doc", F.lit(0).alias("chunk"), F.col(text).alias("text")) if chunks is None else chunks.select("doc", "chunk", "text")
+    vectors = hashed_arrays(units, tokens(F.col("text")), "doc", "chunk").select(F.col("doc").alias("grp"), F.col("chunk").alias("id"), "vector")
+    found = nearest(vectors, hashed_arrays(queries, tokens(F.col("text")), "query_id"), k).withColumnRenamed("grp", "doc")
+    return top(found, k, ["query_id"], [F.desc("score"), F.col("doc")])
 
 
 def normalised(ranked: DataFrame) -> DataFrame:
@@ -130,18 +226,19 @@ def normalised(ranked: DataFrame) -> DataFrame:
     return ranked.withColumn("score", F.col("score") / F.greatest(F.max("score").over(Window.partitionBy("query_id")), F.lit(1e-6)))
 
 
-def fused(lexical: DataFrame, semantic: DataFrame, docs: DataFrame, queries: DataFrame, as_of: int, weights: Weights = Weights(), top_k: int = 8) -> DataFrame:
-    """(query_id, doc, path, score, signals, rank): both lists together with path, recency, test and document adjustments.
+def fused(lexical: DataFrame, semantic: DataFrame, docs: DataFrame, queries: DataFrame, as_of: int, weights: Weights = Weights(), top_k: int = 8, stopwords: Sequence[str] = T.STOPWORDS) -> DataFrame:
+    """(query_id, doc, path, score, signals, best, rank): both lists together with path, recency, test and document adjustments.
 
     docs: (doc, path, last_ts). What adds (path match, recency, a test where the
     query speaks of tests) comes before what multiplies (other tests, documents).
     Lists have CANDIDATES rows a query at most, so what is joined here is small.
     """
-    both = normalised(lexical).select("query_id", "doc", F.col("score").alias("b"), F.lit(None).cast("double").alias("v")).unionByName(
-        normalised(semantic).select("query_id", "doc", F.lit(None).cast("double").alias("b"), F.col("score").alias("v"))
+    best = F.col("best").cast("int") if "best" in semantic.columns else F.lit(None).cast("int")
+    both = normalised(lexical).select("query_id", "doc", F.col("score").alias("b"), F.lit(None).cast("double").alias("v"), F.lit(None).cast("int").alias("best")).unionByName(
+        normalised(semantic).select("query_id", "doc", F.lit(None).cast("double").alias("b"), F.col("score").alias("v"), best.alias("best"))
     )
-    both = both.groupBy("query_id", "doc").agg(F.max("b").alias("b"), F.max("v").alias("v"))
-    asked = queries.select("query_id", T.query_tokens(F.col("text")).alias("tokens"), F.lower("text").contains("test").alias("about_tests"))
+    both = both.groupBy("query_id", "doc").agg(F.max("b").alias("b"), F.max("v").alias("v"), F.max("best").alias("best"))
+    asked = queries.select("query_id", T.query_tokens(F.col("text"), stopwords).alias("tokens"), F.lower("text").contains("test").alias("about_tests"))
     rows = both.join(docs.select("doc", "path", "last_ts"), "doc").join(asked, "query_id")
     path = F.col("path")
     on_path = F.exists("tokens", lambda t: F.lower(path).contains(t))
@@ -156,23 +253,24 @@ def fused(lexical: DataFrame, semantic: DataFrame, docs: DataFrame, queries: Dat
             F.when(kind == "changelog", "changelog_demoted"), F.when(kind == "doc", "doc_demoted"),
         )
     )
-    out = rows.select("query_id", "doc", "path", F.round(score, DECIMALS).alias("score"), signals.alias("signals"))
+    out = rows.select("query_id", "doc", "path", F.round(score, DECIMALS).alias("score"), signals.alias("signals"), "best")
     return top(out, top_k, ["query_id"], [F.desc("score"), F.col("path")])
 
 
-def search(docs: DataFrame, queries: DataFrame, as_of: int, weights: Weights = Weights(), top_k: int = 8) -> DataFrame:
-    """``fused`` over docs (doc, path, body, last_ts)."""
-    return fused(bm25(docs, queries), vector_search(docs, queries), docs, queries, as_of, weights, top_k)
+def search(docs: DataFrame, queries: DataFrame, as_of: int, weights: Weights = Weights(), top_k: int = 8, chunks: DataFrame | None = None, stopwords: Sequence[str] = T.STOPWORDS) -> DataFrame:
+    """``fused`` over docs (doc, path, body, last_ts): BM25 of path and body, vectors of the chunks (doc, chunk, text), without stopwords."""
+    semantic = vector_search(docs, queries, tokens=lambda c: T.without_stopwords(T.code_tokens(c), stopwords), chunks=chunks)
+    return fused(bm25(docs, queries, fields=("path", "body")), semantic, docs, queries, as_of, weights, top_k, stopwords)
 
 
-def ranked(docs: DataFrame, queries: DataFrame, mode: str, k: int, as_of: int = 0) -> DataFrame:
+def ranked(docs: DataFrame, queries: DataFrame, mode: str, k: int, as_of: int = 0, chunks: DataFrame | None = None) -> DataFrame:
     """(query_id, doc, rank) by ``hybrid``, ``bm25``, ``vector`` or ``random`` (the FNV hash of query and path)."""
     if mode == "hybrid":
-        found = search(docs, queries, as_of, top_k=k)
+        found = search(docs, queries, as_of, top_k=k, chunks=chunks)
     elif mode == "bm25":
-        found = bm25(docs, queries, k)
+        found = bm25(docs, queries, k, fields=("path", "body"))
     elif mode == "vector":
-        found = vector_search(docs, queries, k)
+        found = vector_search(docs, queries, k, lambda c: T.without_stopwords(T.code_tokens(c)), chunks=chunks)
     elif mode == "random":
         asked = queries.select("query_id", "text")
         found = docs.select("doc", "path").crossJoin(asked).withColumn("hash", T.fnv_hex(F.concat("text", "path")))  # a stated set of queries
@@ -201,32 +299,50 @@ def symbols_matching(symbols: DataFrame, tokens: DataFrame, per_token: int = 3)
     return top(hits, per_token, ["query_id", "seq"], [F.col("name"), F.col("path"), F.col("start_line")])
 
 
-def packets(fused_rows: DataFrame, symbols: DataFrame, queries: DataFrame, weights: Weights = Weights(), top_k: int = 8) -> DataFrame:
-    """Evidence packets (query_id, rank, type, path, symbol, score, signal) of fused rows and symbol matches.
+def packets(
+    fused_rows: DataFrame, symbols: DataFrame, queries: DataFrame, weights: Weights = Weights(), top_k: int = 8,
+    chunks: DataFrame | None = None, previews: DataFrame | None = None, stopwords: Sequence[str] = T.STOPWORDS,
+) -> DataFrame:
+    """Evidence packets (query_id, rank, type, path, symbol, title, snippet, score, signal) of fused rows and symbol matches.
 
-    A fused row carries the first symbol of its file that a query token names.
-    Exact symbols score above all of them, substring ones a fixed score; of a
-    symbol's spellings only the first packet stays unless fused rows carry it.
+    A fused row shows the chunk (doc, chunk, symbol, start_line, text) that its
+    vector matched best, if that is a symbol's; else the first symbol of its file
+    that a query token names, else its preview (path, preview). Exact symbols
+    score above all of them, substring ones a fixed score; of a symbol's
+    spellings only the first packet stays unless fused rows carry it.
     """
-    tokens = queries.select("query_id", F.posexplode(F.array_distinct(T.query_tokens(F.col("text")))).alias("seq", "token"))
+    if "signature" not in symbols.columns:
+        symbols = symbols.withColumn("signature", F.lit(None).cast("string"))
+    tokens = queries.select("query_id", F.posexplode(F.array_distinct(T.query_tokens(F.col("text"), stopwords))).alias("seq", "token"))
     names = queries.select("query_id", F.posexplode(T.query_identifiers(F.col("text"))).alias("seq", "name"))
     by_token = symbols_matching(symbols, tokens, 5)
-    own = by_token.groupBy("query_id", "path").agg(F.min(F.struct("seq", "rank", F.col("name").alias("symbol")))["symbol"].alias("symbol"))
-    first = fused_rows.join(own, ["query_id", "path"], "left").select(
-        "query_id", F.lit(0).alias("stage"), F.col("rank").alias("seq"), "path", "symbol", "score", F.array_join("signals", "+").alias("signal"),
-        F.when(P.is_test(F.col("path")), "test").when(F.col("symbol").isNotNull(), "symbol").otherwise("existing_code").alias("type"),
+    own = by_token.groupBy("query_id", "path").agg(F.min(F.struct("seq", "rank", F.col("name").alias("symbol"), "signature")).alias("own"))
+    shown = fused_rows.join(own, ["query_id", "path"], "left")
+    if chunks is not None and "best" in fused_rows.columns:
+        spans = chunks.where("symbol is not null").select("doc", F.col("chunk").alias("best"), F.struct(F.col("symbol"), "start_line", F.col("text")).alias("span"))
+        shown = shown.join(spans, ["doc", "best"], "left")
+    else:
+        shown = shown.withColumn("span", F.lit(None).cast("struct<symbol:string,start_line:int,text:string>"))
+    shown = shown.join(previews, "path", "left") if previews is not None else shown.withColumn("preview", F.lit(None).cast("string"))
+    symbol = F.coalesce("span.symbol", "own.symbol")
+    title = F.when(F.col("span").isNotNull(), F.concat("span.symbol", F.lit(" in "), "path", F.lit(":"), F.col("span.start_line").cast("string"))).when(symbol.isNotNull(), F.concat(symbol, F.lit(" in "), "path")).otherwise(F.col("path"))
+    first = shown.select(
+        "query_id", F.lit(0).alias("stage"), F.col("rank").alias("seq"), "path", symbol.alias("symbol"), title.alias("title"),
+        F.when(F.col("span").isNotNull(), F.col("span.text")).when(symbol.isNotNull(), F.col("own.signature")).otherwise(F.col("preview")).alias("snippet"),
+        "score", F.array_join("signals", "+").alias("signal"), F.when(P.is_test(F.col("path")), "test").when(symbol.isNotNull(), "symbol").otherwise("existing_code").alias("type"),
     )
-    best = first.groupBy("query_id").agg(F.max("score").alias("best"))
+    of_symbol = [F.col("name").alias("symbol"), F.concat("name", F.lit(" in "), "path").alias("title"), F.col("signature").alias("snippet")]
+    best = first.groupBy("query_id").agg(F.max("score").alias("top"))
     exact = symbols_exact(symbols, names, 5).join(best, "query_id", "left").select(
-        "query_id", F.lit(1).alias("stage"), (F.col("seq") * 10 + F.col("rank")).alias("seq"), "path", F.col("name").alias("symbol"),
-        (F.coalesce("best", F.lit(0.0)) + weights.symbol_exact).alias("score"), F.lit("symbol_exact").alias("signal"), F.lit("symbol").alias("type"),
+        "query_id", F.lit(1).alias("stage"), (F.col("seq") * 10 + F.col("rank")).alias("seq"), "path", *of_symbol,
+        (F.coalesce("top", F.lit(0.0)) + weights.symbol_exact).alias("score"), F.lit("symbol_exact").alias("signal"), F.lit("symbol").alias("type"),
     )
     part = by_token.where("rank <= 3").select(
-        "query_id", F.lit(2).alias("stage"), (F.col("seq") * 10 + F.col("rank")).alias("seq"), "path", F.col("name").alias("symbol"),
+        "query_id", F.lit(2).alias("stage"), (F.col("seq") * 10 + F.col("rank")).alias("seq"), "path", *of_symbol,
         F.lit(SUBSTRING_SCORE).alias("score"), F.lit("symbol").alias("signal"), F.lit("symbol").alias("type"),
     )
     later = top(exact.unionByName(part), 1, ["query_id", "symbol"], [F.col("stage"), F.col("seq")], "copy").drop("copy")
     later = later.join(first.select("query_id", "symbol").where("symbol is not null").distinct(), ["query_id", "symbol"], "left_anti")
     every = first.unionByName(later).withColumn("score", F.round("score", DECIMALS))
     out = top(every, top_k + EXTRA, ["query_id"], [F.desc("score"), F.col("stage"), F.col("seq")])
-    return out.select("query_id", "rank", "type", "path", "symbol", "score", "signal")
+    return out.select("query_id", "rank", "type", "path", "symbol", "title", "snippet", "score", "signal")

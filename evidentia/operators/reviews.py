@@ -6,8 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from .retrieval import cosine, hashed_vectors
-from .tables import top
+from .retrieval import hashed_arrays, nearest_rows
 
 HISTORY_ROWS = 10
 
@@ -29,8 +28,13 @@ def ranked_by_task(history: DataFrame, tasks: DataFrame, rows: int = HISTORY_ROW
 
     Comments without a feature in common are left out.
     """
-    found = cosine(hashed_vectors(history, T.code_tokens(F.col("body")), "id"), hashed_vectors(tasks, T.code_tokens(F.col("text")), "query_id"), "id")
-    return top(found, rows, ["query_id"], [F.desc("score"), F.col("id")])
+    return nearest_texts(history, tasks, T.code_tokens, rows)
+
+
+def nearest_texts(history: DataFrame, tasks: DataFrame, tokens, rows: int = HISTORY_ROWS) -> DataFrame:
+    """The same with the tokens that ``tokens`` makes of a text."""
+    found = nearest_rows(hashed_arrays(history, tokens(F.col("body")), "id"), hashed_arrays(tasks, tokens(F.col("text")), "query_id"), rows)
+    return found.where("score > 0")
 
 
 def next_commits(comments: DataFrame, commits: DataFrame) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import chunk_plan
+
 #: Time from which recency counts: 2025-01-01, unix seconds.
 AS_OF = 1_735_689_600
 
@@ -44,6 +46,27 @@ def dated_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents(spark, sf_dir).join(orders, "doc", "left")
 
 
+#: Symbols that every document gets: (name, first line, last line).
+SPANS = (("first", 1, 2), ("rest", 3, 9_999), ("far", 900, 950), ("backwards", 5, 2), ("none", 0, 0))
+
+
+def document_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc, chunk, symbol, start_line, text): the chunks of documents with the symbols SPANS."""
+    symbols = F.array(*[F.struct(F.lit(n).alias("name"), F.lit(a).alias("start_line"), F.lit(b).alias("end_line")) for n, a, b in SPANS])
+    rows = documents(spark, sf_dir).select("doc", F.posexplode(chunk_plan(F.col("body"), symbols)).alias("chunk", "c"))
+    return rows.select("doc", "chunk", "c.symbol", "c.start_line", "c.text")
+
+
+def title_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stated set of queries: the first sentence of every document whose number is divisible by 20."""
+    return table(spark, sf_dir, "documents").where("doc_id % 20 = 0").select(F.col("doc_id").alias("query_id"), F.coalesce(F.regexp_extract("text", r"^[^.!?\n]*", 0), F.lit("")).alias("text"))
+
+
+def supplier_imports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(src, dst): each supplier imports the one whose number is its nation's plus 1."""
+    return table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("long").alias("src"), (F.col("s_nationkey") + 1).cast("long").alias("dst")).where("src <> dst")
+
+
 def benchmark_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
 

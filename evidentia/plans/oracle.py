@@ -74,22 +74,28 @@ _DEPENDENTS = """hop1 AS (SELECT DISTINCT s.path AS seed, i.src AS path, 1 AS ho
 hop2 AS (SELECT DISTINCT h.seed, i.src AS path, 2 AS hops FROM hop1 h JOIN imports i ON i.dst = h.path),
 dependents AS (SELECT seed, path, min(hops)::BIGINT AS hops FROM (SELECT * FROM hop1 UNION ALL SELECT * FROM hop2) WHERE path <> seed GROUP BY ALL)"""
 
-_TOKENS = "list_filter(string_split_regex(lower({0}), '[^a-z0-9]+'), lambda t: t <> '' AND len(t) <= 40)"
+_TOKENS = "list_filter(string_split_regex(lower({0}), '[^\\p{{L}}\\p{{N}}]+'), lambda t: t <> '' AND strlen(t) <= 40)"
 
 
 def _postings(rows: str, key: str, text: str, name: str) -> str:
     return f"{name} AS (SELECT {key}, term, count(*) AS tf, any_value(len) AS len FROM (SELECT {key}, len(ts) AS len, unnest(ts) AS term FROM (SELECT {key}, {_TOKENS.format(text)} AS ts FROM {rows})) GROUP BY {key}, term)"
 
 
-_BM25 = f"""{_postings('docs', 'doc', 'body', 'postings')},
-sizes AS (SELECT count(*) AS n_docs, avg(coalesce(len({_TOKENS.format('body')}), 0)) AS avg_len FROM docs),
-terms AS (SELECT term, count(*) AS df, sum(tf)::BIGINT AS cf FROM postings GROUP BY term),
+def _bm25(*fields: str) -> str:
+    posts = " UNION ALL ".join(f"SELECT '{f}' AS field, doc, term, count(*) AS tf, any_value(len) AS len FROM (SELECT doc, len(ts) AS len, unnest(ts) AS term FROM (SELECT doc, {_TOKENS.format(f)} AS ts FROM docs)) GROUP BY doc, term" for f in fields)
+    sizes = " UNION ALL ".join(f"SELECT '{f}' AS field, count(*) AS n_docs, avg(coalesce(len({_TOKENS.format(f)}), 0)) AS avg_len FROM docs" for f in fields)
+    return f"""postings AS ({posts}),
+sizes AS ({sizes}),
+terms AS (SELECT field, term, count(*) AS df, sum(tf)::BIGINT AS cf FROM postings GROUP BY ALL),
 asked AS (SELECT item_id AS query_id, term, count(*) AS times FROM (SELECT item_id, unnest({_TOKENS.format('text')}) AS term FROM benchmark) GROUP BY ALL),
 bm25_scores AS (SELECT query_id, doc, round(sum(times * ln(1 + (n_docs - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * len / avg_len))), 6) AS score
-  FROM asked JOIN postings USING (term) JOIN terms USING (term), sizes GROUP BY ALL),
+  FROM asked JOIN postings USING (term) JOIN terms USING (field, term) JOIN sizes USING (field) GROUP BY ALL),
 bm25 AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc) AS rank FROM bm25_scores)"""
 
-_BUCKET = "list_reduce(list_prepend(293, list_transform(range(1, len({0}) + 1), lambda i: ascii({0}[i]))), lambda h, x: (xor(h, x) * 435) & 511)"
+
+_BM25 = _bm25("body")
+
+_BUCKET = "list_reduce(list_prepend(293, list_transform(regexp_extract_all(hex(encode({0})), '..'), lambda x: ('0x' || x)::INT)), lambda h, x: (xor(h, x) * 435) & 511)"
 
 
 def _vectors(rows: str, key: str, text: str, name: str) -> str:
@@ -106,24 +112,41 @@ def _cosine(a: str, key: str) -> str:
 cosine AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, {key}) AS rank FROM cosine_scores)"""
 
 
+_CHUNKS = """split AS (SELECT doc, body, string_split(body, chr(10)) AS ls FROM docs),
+chunks AS (SELECT doc, 0 AS chunk, NULL AS symbol, 0 AS start_line, substr(body, 1, 4000) AS t FROM split
+  UNION ALL SELECT doc, k, name, a, substr(array_to_string(ls[a : least(b, len(ls))], chr(10)), 1, 4000) FROM split, (VALUES (1, 'first', 1, 2), (2, 'rest', 3, 9999), (3, 'far', 900, 950), (4, 'backwards', 5, 2), (5, 'none', 0, 0)) s(k, name, a, b) WHERE a >= 1 AND b >= a AND a <= len(ls)),
+keyed AS (SELECT *, doc * 8 + chunk AS ck FROM chunks)"""
+
+
+def _by_unit(units: str) -> str:
+    """Cosine of all documents, by their best unit (ck, doc, chunk), those without a bucket in common too."""
+    return f"""unit_scores AS (SELECT item_id, ck, sum(q.weight * v.weight) AS dot FROM qv q JOIN dv v USING (bucket) GROUP BY ALL),
+cosine_scores AS (SELECT q.item_id AS query_id, u.doc, u.chunk AS best, round(coalesce(dot, 0), 6) AS score FROM benchmark q CROSS JOIN {units} u LEFT JOIN unit_scores s ON s.item_id = q.item_id AND s.ck = u.ck
+  QUALIFY row_number() OVER (PARTITION BY q.item_id, u.doc ORDER BY round(coalesce(dot, 0), 6) DESC, u.chunk) = 1),
+cosine AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc) AS rank FROM cosine_scores)"""
+
+
+_CHUNK_COSINE = f"{_CHUNKS}, {_vectors('keyed', 'ck', 't', 'dv')}, {_vectors('benchmark', 'item_id', 'text', 'qv')}, {_by_unit('keyed')}"
+_WHOLE_COSINE = f"whole AS (SELECT doc AS ck, doc, 0 AS chunk, body FROM docs), {_vectors('whole', 'ck', 'body', 'dv')}, {_vectors('benchmark', 'item_id', 'text', 'qv')}, {_by_unit('whole')}"
+
 _STOP = "[" + ", ".join(f"'{w}'" for w in STOPWORDS) + "]"
 _QUERY_TOKENS = f"list_filter(string_split_regex(lower(text), '[^\\p{{L}}\\p{{N}}]+'), lambda t: strlen(t) > 2 AND NOT list_contains({_STOP}, t))"
 
-_FUSED = f"""{_DOCS}, {_BM25}, {_vectors('docs', 'doc', 'body', 'dv')}, {_vectors('benchmark', 'item_id', 'text', 'qv')}, {_cosine('dv', 'doc')},
+_FUSED = f"""{_DOCS}, {_bm25('path', 'body')}, {_CHUNK_COSINE},
 lists AS (
-  SELECT query_id, doc, score / greatest(max(score) OVER (PARTITION BY query_id), 1e-6) AS b, NULL::DOUBLE AS v FROM bm25 WHERE rank <= 50
-  UNION ALL SELECT query_id, doc, NULL, score / greatest(max(score) OVER (PARTITION BY query_id), 1e-6) FROM cosine WHERE rank <= 50
+  SELECT query_id, doc, score / greatest(max(score) OVER (PARTITION BY query_id), 1e-6) AS b, NULL::DOUBLE AS v, NULL AS best_chunk FROM bm25 WHERE rank <= 50
+  UNION ALL SELECT query_id, doc, NULL, score / greatest(max(score) OVER (PARTITION BY query_id), 1e-6), best FROM cosine WHERE rank <= 50
 ), candidates AS (
-  SELECT query_id, doc, max(b) AS b, max(v) AS v FROM lists GROUP BY ALL
+  SELECT query_id, doc, max(b) AS b, max(v) AS v, max(best_chunk) AS best_chunk FROM lists GROUP BY ALL
 ), seen AS (
-  SELECT c.*, d.path, {_test('d.path')} AS test, {_class('d.path')} AS class, contains(lower(text), 'test') AS about,
-    len(list_filter({_QUERY_TOKENS}, lambda t: contains(lower(d.path), t))) > 0 AS on_path,
+  SELECT c.*, d.path, {_test('d.path')} AS test, {_class('d.path')} AS class, contains(lower(benchmark.text), 'test') AS about,
+    coalesce(len(list_filter({_QUERY_TOKENS.replace('lower(text)', 'lower(benchmark.text)')}, lambda t: contains(lower(d.path), t))), 0) > 0 AS on_path,
     CASE WHEN o_orderdate IS NULL THEN 0.0 ELSE 0.4 * pow(0.5, greatest({AS_OF} - epoch(o_orderdate)::BIGINT, 0) / 86400.0 / 90.0) END AS recent
   FROM candidates c JOIN docs d USING (doc) JOIN benchmark ON item_id = query_id LEFT JOIN orders ON o_orderkey = doc
 ), added AS (
   SELECT *, coalesce(b, 0) * 1.0 + coalesce(v, 0) * 1.2 + CASE WHEN on_path THEN 0.6 ELSE 0 END + recent AS s FROM seen
 ), fused AS (
-  SELECT query_id, doc, path, test, round((CASE WHEN test AND about THEN s + 0.5 WHEN test THEN s * 0.8 ELSE s END) * CASE class WHEN 'changelog' THEN 0.35 WHEN 'doc' THEN 0.6 ELSE 1.0 END, 6) AS score,
+  SELECT query_id, doc, path, test, best_chunk, round((CASE WHEN test AND about THEN s + 0.5 WHEN test THEN s * 0.8 ELSE s END) * CASE class WHEN 'changelog' THEN 0.35 WHEN 'doc' THEN 0.6 ELSE 1.0 END, 6) AS score,
     array_to_string(list_filter([CASE WHEN b IS NOT NULL THEN 'bm25' END, CASE WHEN v IS NOT NULL THEN 'vector' END, CASE WHEN on_path THEN 'path' END, CASE WHEN recent > 1e-4 THEN 'recent' END,
       CASE class WHEN 'changelog' THEN 'changelog_demoted' WHEN 'doc' THEN 'doc_demoted' END], lambda x: x IS NOT NULL), '+') AS signals
   FROM added
@@ -160,10 +183,7 @@ pairs AS (SELECT path_a AS source, path_b AS target FROM edges UNION SELECT src,
 ORACLE_SQL: dict[str, str] = {
     "path_classify": f"WITH {_DOCS} SELECT path, {_language('path')} AS language, {_test('path')} AS is_test, {_class('path')} AS doc_class, {_language('path')} IN ('rust', 'python', 'typescript', 'javascript') AS supported, {_ADMITTED} AS admitted FROM docs",
     "inventory_summary": f"WITH {_DOCS} SELECT {_language('path')} AS language, {_class('path')} AS doc_class, {_test('path')} AS is_test, count(*) AS files, sum(size_bytes)::BIGINT AS size_bytes FROM docs WHERE {_ADMITTED} AND size_bytes <= 1500000 GROUP BY ALL",
-    "chunk_plan": f"""WITH {_DOCS}, split AS (SELECT doc, substr(body, 1, 60000) AS body, string_split(substr(body, 1, 60000), chr(10)) AS ls FROM docs),
-chunks AS (SELECT doc, NULL AS symbol, 0 AS start_line, substr(body, 1, 4000) AS t FROM split
-  UNION ALL SELECT doc, name, a, substr(array_to_string(ls[a : least(b, len(ls))], chr(10)), 1, 4000) FROM split, (VALUES ('first', 1, 2), ('rest', 3, 9999), ('far', 900, 950), ('backwards', 5, 2), ('none', 0, 0)) s(name, a, b) WHERE a >= 1 AND b >= a AND a <= len(ls))
-SELECT doc, symbol, start_line, length(t)::INT AS chars, md5(t) AS text_md5 FROM chunks""",
+    "chunk_plan": f"WITH {_DOCS}, {_CHUNKS} SELECT doc, symbol, start_line, length(t)::INT AS chars, md5(t) AS text_md5 FROM chunks",
     "commit_recency": f"WITH {_files('l_partkey')} SELECT file, arg_max(ts, (o_orderdate, o_orderkey)) AS ts FROM files GROUP BY file",
     "cochange_edges": f"WITH {_files('l_partkey')}, {_edges()} SELECT path_a, path_b, n, total, round(strength, 6) AS strength FROM edges",
     "cochange_capped": f"WITH {_files('l_partkey')}, {_edges(6)} SELECT path_a, path_b, n, total, round(strength, 6) AS strength FROM edges",
@@ -186,7 +206,8 @@ UNION ALL SELECT source, target, 'import_edge', target || ' imports ' || source,
 UNION ALL SELECT source, target, 'import_edge', source || ' imports ' || target, weight FROM pairs JOIN importing ON seed = target AND path = source""",
     "stopword_filter": f"SELECT query_id, (pos - 1)::INT AS pos, ts[pos] AS token FROM (SELECT item_id AS query_id, ts, unnest(range(1, len(ts) + 1)) AS pos FROM (SELECT item_id, {_QUERY_TOKENS} AS ts FROM benchmark))",
     "embed_buckets": f"WITH {_DOCS}, {_vectors('docs', 'doc', 'body', 'dv')} SELECT doc, bucket, round(weight, 6) AS weight FROM dv",
-    "hashed_cosine_topk": f"WITH {_DOCS}, {_vectors('docs', 'doc', 'body', 'dv')}, {_vectors('benchmark', 'item_id', 'text', 'qv')}, {_cosine('dv', 'doc')} SELECT query_id, doc, score, rank::INT AS rank FROM cosine WHERE rank <= 10",
+    "hashed_cosine_topk": f"WITH {_DOCS}, {_WHOLE_COSINE} SELECT query_id, doc, score, rank::INT AS rank FROM cosine WHERE rank <= 10",
+    "search_chunks": f"WITH {_DOCS}, {_CHUNK_COSINE} SELECT query_id, c.doc, symbol, start_line, md5(t) AS text_md5, score, rank::INT AS rank FROM cosine c JOIN keyed k ON k.doc = c.doc AND k.chunk = c.best WHERE rank <= 10",
     "bm25_stats": f"WITH {_DOCS}, {_BM25} SELECT term, df, cf, round(ln(1 + (n_docs - df + 0.5) / (df + 0.5)), 6) AS idf FROM terms, sizes",
     "bm25_topk": f"WITH {_DOCS}, {_BM25} SELECT query_id, doc, score, rank::INT AS rank FROM bm25 WHERE rank <= 10",
     "fused_search": f"WITH {_FUSED} SELECT query_id, doc, path, score, signals, rank::INT AS rank FROM best",
@@ -216,6 +237,27 @@ SELECT query_id, token, name, kind, path, start_line, row_number() OVER (PARTITI
     "recall_mrr_vector": f"""WITH {_DENSE}, ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM scores WHERE id <> query_id),
 per AS (SELECT query_id, count(*) FILTER (grp = query_label) AS n, count(*) FILTER (grp = query_label AND rank <= 5) AS h5, count(*) FILTER (grp = query_label AND rank <= 10) AS h10, count(*) FILTER (grp = query_label AND rank <= 20) AS h20, min(rank) FILTER (grp = query_label AND rank <= 20) AS first FROM ranked GROUP BY 1)
 SELECT count(*) AS queries, round(avg(h5 / n), 6) AS recall_5, round(avg(h10 / n), 6) AS recall_10, round(avg(h20 / n), 6) AS recall_20, round(avg(coalesce(1.0 / first, 0)), 6) AS mrr FROM per WHERE n > 0""",
+    "recall_by_mode": f"""WITH asked_docs AS (SELECT doc_id AS item_id, coalesce(regexp_extract(text, '^[^.!?\\n]*'), '') AS text FROM documents WHERE doc_id % 20 = 0),
+{_FUSED.replace('benchmark', 'asked_docs').replace('rank <= 8', 'rank <= 20')},
+same AS (SELECT doc, md5(coalesce(body, '')) AS digest FROM docs), relevant AS (SELECT q.doc AS query_id, d.doc FROM same q JOIN same d USING (digest) WHERE q.doc % 20 = 0),
+rankings AS (SELECT 'bm25' AS mode, query_id, doc, rank FROM bm25 WHERE rank <= 20 UNION ALL SELECT 'vector', query_id, doc, rank FROM cosine WHERE rank <= 20 UNION ALL SELECT 'hybrid', query_id, doc, rank FROM best),
+per AS (SELECT m.mode, r.query_id, count(*) AS n, count(*) FILTER (rank <= 5) AS h5, count(*) FILTER (rank <= 10) AS h10, count(*) FILTER (rank <= 20) AS h20, min(rank) AS first
+  FROM relevant r CROSS JOIN (VALUES ('bm25'), ('vector'), ('hybrid')) m(mode) LEFT JOIN rankings k ON k.mode = m.mode AND k.query_id = r.query_id AND k.doc = r.doc GROUP BY ALL)
+SELECT mode, count(*) AS queries, round(avg(h5 / n), 6) AS recall_5, round(avg(h10 / n), 6) AS recall_10, round(avg(h20 / n), 6) AS recall_20, round(avg(coalesce(1.0 / first, 0)), 6) AS mrr FROM per GROUP BY mode""",
+    "recall_combined": f"""WITH {_files('l_suppkey')}, {_OLDER}, {_edges(files='older')},
+near AS (SELECT *, row_number() OVER (PARTITION BY path_a ORDER BY strength DESC, path_b) AS r FROM edges QUALIFY r <= 5),
+sizes AS (SELECT o_orderkey, min(file) AS anchor FROM files WHERE o_orderkey IN (SELECT o_orderkey FROM newest) GROUP BY 1 HAVING count(*) BETWEEN 2 AND 8),
+samples AS (SELECT o_orderkey, anchor, file FROM sizes JOIN files USING (o_orderkey) WHERE file <> anchor),
+imports AS (SELECT s_suppkey AS src, s_nationkey + 1 AS dst FROM supplier WHERE s_suppkey <> s_nationkey + 1),
+hop1 AS (SELECT DISTINCT dst AS seed, src AS item FROM imports), hop2 AS (SELECT DISTINCT h.seed, i.src AS item FROM hop1 h JOIN imports i ON i.dst = h.item),
+dep AS (SELECT seed, item, min(hops) AS hops FROM (SELECT *, 1 AS hops FROM hop1 UNION ALL SELECT *, 2 FROM hop2) WHERE item <> seed GROUP BY ALL),
+imp AS (SELECT d.seed, d.item, row_number() OVER (PARTITION BY d.seed ORDER BY hops, d.item) AS place FROM dep d LEFT JOIN near n ON n.path_a = d.seed AND n.path_b = d.item WHERE n.path_a IS NULL QUALIFY place <= 8),
+lists AS (SELECT path_a AS seed, path_b AS item, r, r AS place, 'co' AS kind FROM near UNION ALL SELECT i.seed, i.item, i.place, i.place + coalesce(c.n, 0), 'imp' FROM imp i LEFT JOIN (SELECT path_a, count(*) AS n FROM near GROUP BY 1) c ON c.path_a = i.seed),
+per AS (SELECT s.o_orderkey, s.anchor, count(DISTINCT s.file) AS n, count(*) FILTER (kind = 'co' AND r <= 5) AS co, count(*) FILTER (kind = 'imp' AND r <= 5) AS imp, count(*) FILTER (place <= 10) AS both_lists, count(l.item) AS hits
+  FROM samples s LEFT JOIN lists l ON l.seed = s.anchor AND l.item = s.file GROUP BY ALL),
+given AS (SELECT seed, count(*) AS c FROM lists GROUP BY 1)
+SELECT count(*) AS samples, round(avg(co / n), 6) AS cochange_recall_5, round(avg(imp / n), 6) AS import_recall_5, round(avg(both_lists / n), 6) AS combined_recall_10,
+  round(avg((hits > 0)::INT), 6) AS hit_rate, round(avg(n), 6) AS mean_targets, round(avg(coalesce(c, 0)), 6) AS mean_candidates FROM per LEFT JOIN given ON seed = anchor""",
     "recall_cochange": f"""WITH {_files('l_suppkey')}, {_OLDER}, {_edges(files='older')},
 near AS (SELECT *, row_number() OVER (PARTITION BY path_a ORDER BY strength DESC, path_b) AS r FROM edges QUALIFY r <= 10),
 sizes AS (SELECT o_orderkey, min(file) AS anchor FROM files WHERE o_orderkey IN (SELECT o_orderkey FROM newest) GROUP BY 1 HAVING count(*) BETWEEN 2 AND 8),

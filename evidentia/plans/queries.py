@@ -11,7 +11,7 @@ from ..functions import paths as P
 from ..functions import text as T
 from ..operators import evals, graph, history, maintain, retrieval, reviews, verify
 from ..operators.tables import top
-from ..session import scratch_path
+from ..session import saved, scratch_path
 from ..sources import history as payloads
 from ..streaming import changes
 from . import bindings as B
@@ -50,10 +50,7 @@ def inventory_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def chunk_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    spans = (("first", 1, 2), ("rest", 3, 9_999), ("far", 900, 950), ("backwards", 5, 2), ("none", 0, 0))
-    symbols = F.array(*[F.struct(F.lit(n).alias("name"), F.lit(a).alias("start_line"), F.lit(b).alias("end_line")) for n, a, b in spans])
-    rows = B.documents(spark, sf_dir).select("doc", F.explode(T.chunk_plan(F.col("body"), symbols)).alias("c"))
-    return rows.select("doc", "c.symbol", "c.start_line", F.length("c.text").alias("chars"), F.md5("c.text").alias("text_md5"))
+    return B.document_chunks(spark, sf_dir).select("doc", "symbol", "start_line", F.length("text").alias("chars"), F.md5("text").alias("text_md5"))
 
 
 # history
@@ -139,7 +136,8 @@ def graph_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def explain_pair(spark: SparkSession, sf_dir: str) -> DataFrame:
-    together, imports = history.cochange_edges(B.part_commits(spark, sf_dir)), _imports(spark, sf_dir)
+    together = saved(history.cochange_edges(B.part_commits(spark, sf_dir)), "together")  # each is read several times
+    imports = saved(_imports(spark, sf_dir), "imports")
     files = B.part_files(spark, sf_dir).unionByName(B.pages(spark, sf_dir).select("path"))
     pairs = together.select(F.col("path_a").alias("source"), F.col("path_b").alias("target")).unionByName(imports.select(F.col("src").alias("source"), F.col("dst").alias("target")))
     return rounded(graph.explain(together, imports, pairs, files), "weight")
@@ -160,7 +158,16 @@ def embed_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def hashed_cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return retrieval.vector_search(B.documents(spark, sf_dir), B.benchmark_queries(spark, sf_dir), 10, T.index_tokens)
+    return retrieval.vector_search(B.documents(spark, sf_dir), B.benchmark_queries(spark, sf_dir), 10, T.index_tokens).select("query_id", "doc", "score", "rank")
+
+
+@query
+def search_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents by their best chunk, with its symbol and line."""
+    chunks = B.document_chunks(spark, sf_dir)
+    found = retrieval.vector_search(B.documents(spark, sf_dir), B.benchmark_queries(spark, sf_dir), 10, T.index_tokens, chunks=chunks)
+    shown = found.join(chunks.select("doc", F.col("chunk").alias("best"), "symbol", "start_line", F.md5("text").alias("text_md5")), ["doc", "best"])
+    return shown.select("query_id", "doc", "symbol", "start_line", "text_md5", "score", "rank")
 
 
 @query
@@ -175,10 +182,15 @@ def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.bm25(B.documents(spark, sf_dir), B.benchmark_queries(spark, sf_dir), 10)
 
 
+def _lists(spark: SparkSession, sf_dir: str, asked: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Candidates by BM25 of path and body, and by the best chunk's vector."""
+    docs = B.documents(spark, sf_dir)
+    return retrieval.bm25(docs, asked, fields=("path", "body")), retrieval.vector_search(docs, asked, tokens=T.index_tokens, chunks=B.document_chunks(spark, sf_dir))
+
+
 def _fused(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, asked = B.dated_documents(spark, sf_dir), B.benchmark_queries(spark, sf_dir)
-    lexical, semantic = retrieval.bm25(docs, asked), retrieval.vector_search(docs, asked, tokens=T.index_tokens)
-    return retrieval.fused(lexical, semantic, docs, asked, B.AS_OF)
+    asked = B.benchmark_queries(spark, sf_dir)
+    return retrieval.fused(*_lists(spark, sf_dir, asked), B.dated_documents(spark, sf_dir), asked, B.AS_OF)
 
 
 @query
@@ -189,7 +201,7 @@ def fused_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def predict_impact(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = B.documents(spark, sf_dir)
-    found = _fused(spark, sf_dir)
+    found = saved(_fused(spark, sf_dir).drop("best"), "found")  # 8 rows a query, read three times
     best = found.groupBy("query_id").agg(F.max("score").alias("best"))
     direct = found.join(best, "query_id").select("query_id", F.when(P.is_test(F.col("path")), "test").otherwise("file").alias("section"), "path", F.least(F.col("score") / F.col("best"), F.lit(1.0)).alias("confidence"), F.lit("matches the task").alias("reason"))
     paths = docs.select(F.col("doc").alias("file"), "path")
@@ -231,21 +243,21 @@ def symbol_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def evidence_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = B.symbol_queries(spark).select(F.col("query_id").cast("long").alias("query_id"), "text")
-    docs = B.dated_documents(spark, sf_dir).withColumn("body", F.concat_ws(" ", "path", "body"))
-    found = retrieval.fused(retrieval.bm25(docs, asked), retrieval.vector_search(docs, asked, tokens=T.index_tokens), docs, asked, B.AS_OF)
-    return retrieval.packets(found, B.symbols(spark, sf_dir), asked)
+    found = retrieval.fused(*_lists(spark, sf_dir, asked), B.dated_documents(spark, sf_dir), asked, B.AS_OF)
+    previews = B.documents(spark, sf_dir).select("path", F.substring("body", 1, retrieval.PREVIEW).alias("preview"))
+    rows = retrieval.packets(found, B.symbols(spark, sf_dir), asked, chunks=B.document_chunks(spark, sf_dir), previews=previews)
+    return rows.select("query_id", "rank", "type", "path", "symbol", "title", F.md5(F.coalesce("snippet", F.lit(""))).alias("snippet_md5"), "score", "signal")
 
 
 @query
 def dense_vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = retrieval.dense_scores(B.vectors(spark, sf_dir), B.vector_queries(spark, sf_dir)).where("id <> query_id")
-    return top(found, 10, ["query_id"], [F.desc("score"), F.col("id")])
+    return retrieval.nearest_rows(B.vectors(spark, sf_dir), B.vector_queries(spark, sf_dir), 10, but_itself=True)
 
 
 @query
 def vector_maxpool(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vectors = B.vectors(spark, sf_dir)
-    return retrieval.max_pooled(retrieval.dense_scores(vectors, B.vector_queries(spark, sf_dir)), vectors.select("id", F.col("label").alias("grp")))
+    units = B.vectors(spark, sf_dir).select(F.col("label").alias("grp"), "id", "vector")
+    return retrieval.nearest(units, B.vector_queries(spark, sf_dir).select("query_id", "vector"))
 
 
 @query
@@ -264,10 +276,28 @@ def vector_cache_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def recall_mrr_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors, asked = B.vectors(spark, sf_dir), B.vector_queries(spark, sf_dir)
-    found = retrieval.dense_scores(vectors, asked).where("id <> query_id")
-    ranked = top(found, 20, ["query_id"], [F.desc("score"), F.col("id")]).withColumnRenamed("id", "item")
-    relevant = asked.join(vectors, F.col("query_label") == F.col("label")).where("id <> query_id").select("query_id", F.col("id").alias("item"))
-    return evals.summary(evals.per_query(ranked, relevant, (5, 10, 20)), (5, 10, 20))
+    ranked = retrieval.nearest_rows(vectors, asked, 20, but_itself=True).withColumnRenamed("id", "item")
+    return evals.summary(evals.per_query_by_label(ranked, asked, vectors, (5, 10, 20)), (5, 10, 20))
+
+
+@query
+def recall_by_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How each way of search finds the documents with the text of one, by its first sentence."""
+    asked, docs = B.title_queries(spark, sf_dir), B.documents(spark, sf_dir)
+    lexical, semantic = (saved(x, "list") for x in _lists(spark, sf_dir, asked))
+    hybrid = retrieval.fused(lexical, semantic, B.dated_documents(spark, sf_dir), asked, B.AS_OF, top_k=20)
+    same = docs.select("doc", F.md5(F.coalesce("body", F.lit(""))).alias("digest"))
+    relevant = same.where("doc % 20 = 0").withColumnRenamed("doc", "query_id").join(same, "digest").select("query_id", F.col("doc").alias("item"))
+    lists = {"bm25": lexical, "vector": semantic, "hybrid": hybrid}
+    return evals.by_mode({mode: df.where("rank <= 20").select("query_id", F.col("doc").alias("item"), "rank") for mode, df in lists.items()}, relevant)
+
+
+@query
+def recall_combined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    commits = B.commits(spark, sf_dir, "l_suppkey")
+    files = B.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("long").alias("path"))
+    samples = evals.indexed_samples(evals.connection_samples(history.newest(commits, 200)), files)
+    return evals.combined_recovery(history.cochange_edges(history.newest(commits, history.NEWEST, 200)), B.supplier_imports(spark, sf_dir), samples, files)
 
 
 @query
@@ -287,9 +317,7 @@ def review_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def review_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     comments = reviews.with_pull_requests(B.review_comments(spark, sf_dir), B.pull_requests(spark, sf_dir))
     history_rows = comments.select((F.col("pr_number") * 1000 + F.col("line")).alias("id"), "body")
-    vectors = retrieval.hashed_vectors(history_rows, T.index_tokens(F.col("body")), "id")
-    asked = retrieval.hashed_vectors(B.benchmark_queries(spark, sf_dir), T.index_tokens(F.col("text")), "query_id")
-    return top(retrieval.cosine(vectors, asked, "id"), reviews.HISTORY_ROWS, ["query_id"], [F.desc("score"), F.col("id")])
+    return reviews.nearest_texts(history_rows, B.benchmark_queries(spark, sf_dir), T.index_tokens)
 
 
 @query

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 #: Times are UTC; Spark re-plans joins and partitions while it runs.
 SETTINGS = {
@@ -25,6 +25,16 @@ def session(app: str = "evidentia", **more: str) -> SparkSession:
     return builder.getOrCreate()
 
 
+def saved(df: DataFrame, label: str) -> DataFrame:
+    """``df`` as a Parquet table that all executors share, for frames that are read more than once; it goes when the driver ends."""
+    spark = df.sparkSession
+    path = scratch_path(spark, label)
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A fresh path below ``spark.checkpoint.dir``, which all executors share; a local one only in local mode without that setting."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
