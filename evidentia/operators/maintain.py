@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .graph import import_edges, known_cochange
+from .history import cochange_edges, last_change
+from .tables import Repository
 
 
 def latest(rows: DataFrame, keys: Sequence[str], order: Sequence[Column | str]) -> DataFrame:
@@ -48,6 +52,42 @@ def prune(tables: dict[str, DataFrame], keep: DataFrame, key: str = "path") -> d
     return {name: df.join(kept, key, "left_semi") for name, df in tables.items()}
 
 
+def prune_repository(repository: Repository, keep: DataFrame) -> Repository:
+    """A repository without the files that are not in ``keep`` (path), and all that hangs on them; its history stays."""
+    kept = keep.select("path").distinct()
+    own = {name: df.join(kept, "path", "left_semi") for name in ("files", "bodies", "symbols", "chunks", "targets") if (df := getattr(repository, name)) is not None}
+    for name, ends in (("cochange", ("path_a", "path_b")), ("imports", ("src", "dst"))):
+        table = getattr(repository, name)
+        if table is not None:
+            for end in ends:
+                table = table.join(kept.withColumnRenamed("path", end), end, "left_semi")
+            own[name] = table
+    return replace(repository, **own)
+
+
+def reindexed(repository: Repository, changed: Repository, removed: DataFrame) -> Repository:
+    """A repository in which the files of ``changed`` give way to its rows, and those of ``removed`` (path) go.
+
+    Import edges are resolved anew, as a changed file may be what others import;
+    co-change is left as it is.
+    """
+    gone = changed.files.select("path").unionByName(removed.select("path")).distinct()
+    own = {}
+    for name in ("files", "bodies", "symbols", "chunks", "targets"):
+        old, new = getattr(repository, name), getattr(changed, name)
+        if old is not None and new is not None:
+            own[name] = old.join(gone, "path", "left_anti").unionByName(new.select(*old.columns))
+    made = replace(repository, **own)
+    return replace(made, imports=import_edges(made.targets, made.files)) if made.targets is not None else made
+
+
+def refreshed_history(repository: Repository, commits: DataFrame) -> Repository:
+    """A repository with the co-change and times of ``commits`` (commit, ts, file) in place of its own."""
+    times = last_change(commits).select(F.col("file").alias("path"), F.col("ts").alias("last_commit_ts"))
+    files = update_known(repository.files, times, "path", "last_commit_ts")
+    return replace(repository, files=files, cochange=known_cochange(cochange_edges(commits), files))
+
+
 def pruned_count(files: DataFrame, keep: DataFrame, key: str = "path") -> DataFrame:
     return files.join(keep.select(key).distinct(), key, "left_anti").agg(F.count(F.lit(1)).alias("pruned"))
 

@@ -7,6 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.paths import SUPPORTED
+
 #: Schemas of the stored tables.
 SCHEMAS = {
     "files": "path string, language string, size_bytes bigint, is_test boolean, tier1_done boolean, last_commit_ts bigint",
@@ -33,6 +35,22 @@ class Repository:
     imports: DataFrame | None = None  # (src, dst)
     pull_requests: DataFrame | None = None
     review_comments: DataFrame | None = None
+    chunks: DataFrame | None = None  # (path, chunk, symbol, start_line, text)
+    targets: DataFrame | None = None  # (path, target), the raw imports
+
+
+def symbols_of_path(symbols: DataFrame, paths: DataFrame) -> DataFrame:
+    """The symbols of files (path), in order of their lines."""
+    return symbols.join(paths.select("path").distinct(), "path").orderBy("path", "start_line", "name")
+
+
+def index_stats(repository: Repository) -> DataFrame:
+    """One row: files, those that were extracted, symbols, co-change edges and import edges."""
+    one = repository.files.agg(F.count(F.lit(1)).alias("files"), F.count_if(F.col("language").isin(*SUPPORTED)).alias("extracted"))
+    for name in ("symbols", "cochange", "imports"):
+        table = getattr(repository, name)
+        one = one.crossJoin(table.agg(F.count(F.lit(1)).alias(name))) if table is not None else one.withColumn(name, F.lit(0).cast("long"))  # one row each
+    return one
 
 
 def top(df: DataFrame, n: int, by: list[str], order: list[Column], rank: str = "rank") -> DataFrame:

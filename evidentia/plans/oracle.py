@@ -231,6 +231,29 @@ placed AS (SELECT query_id, name, (row_number() OVER (PARTITION BY query_id ORDE
 SELECT query_id, seq, p.name, kind, path, start_line, row_number() OVER (PARTITION BY query_id, seq ORDER BY s.name, path, start_line)::INT AS rank FROM placed p JOIN symbols s ON lower(s.name) = p.name QUALIFY rank <= 5""",
     "symbol_substring": f"""WITH {_SYMBOLS}, {_SYMBOL_QUERIES}, tokens AS (SELECT DISTINCT query_id, unnest({_QUERY_TOKENS}) AS token FROM symbol_queries)
 SELECT query_id, token, name, kind, path, start_line, row_number() OVER (PARTITION BY query_id, token ORDER BY name, path, start_line)::INT AS rank FROM tokens JOIN symbols ON contains(lower(name), token) QUALIFY rank <= 3""",
+    "evidence_packets": f"""WITH {_SYMBOLS}, {_SYMBOL_QUERIES}, benchmark AS (SELECT query_id::BIGINT AS item_id, text FROM symbol_queries), {_FUSED},
+tokens AS (SELECT query_id, token, min(k) AS seq FROM (SELECT query_id, unnest(ts) AS token, unnest(range(len(ts))) AS k FROM (SELECT query_id, {_QUERY_TOKENS} AS ts FROM symbol_queries)) GROUP BY ALL),
+by_token AS (SELECT t.query_id, seq, s.name, path, start_line, row_number() OVER (PARTITION BY t.query_id, seq ORDER BY s.name, path, start_line) AS r FROM tokens t JOIN symbols s ON contains(lower(s.name), token) QUALIFY r <= 5),
+own AS (SELECT query_id, path, arg_min(name, (seq, r)) AS symbol FROM by_token GROUP BY ALL),
+words AS (SELECT query_id, unnest(ws) AS w, unnest(range(len(ws))) AS k FROM (SELECT query_id, string_split_regex(text, '[^a-zA-Z0-9_.]+') AS ws FROM symbol_queries)),
+spellings AS (SELECT query_id, k * 2 AS k, w FROM words UNION ALL SELECT query_id, k * 2 + 1, string_split(w, '.')[-1] FROM words),
+names AS (SELECT query_id, lower(w) AS name, min(k) AS k FROM spellings WHERE len(w) >= 3 AND (contains(w, '_') OR w <> lower(w)) GROUP BY ALL),
+exact AS (SELECT n.query_id, k, s.name, path, row_number() OVER (PARTITION BY n.query_id, k ORDER BY s.name, path, start_line) AS r FROM names n JOIN symbols s ON lower(s.name) = n.name QUALIFY r <= 5),
+first AS (
+  SELECT b.query_id, 0 AS stage, b.rank AS a, 0 AS b, b.path, coalesce(k.symbol, o.symbol) AS symbol,
+    CASE WHEN k.symbol IS NOT NULL THEN k.symbol || ' in ' || b.path || ':' || k.start_line WHEN o.symbol IS NOT NULL THEN o.symbol || ' in ' || b.path ELSE b.path END AS title,
+    md5(coalesce(CASE WHEN k.symbol IS NOT NULL THEN k.t WHEN o.symbol IS NOT NULL THEN NULL ELSE substr(d.body, 1, 400) END, '')) AS snippet_md5, b.score, b.signals AS signal,
+    CASE WHEN b.test THEN 'test' WHEN coalesce(k.symbol, o.symbol) IS NOT NULL THEN 'symbol' ELSE 'existing_code' END AS type
+  FROM best b JOIN docs d USING (doc) LEFT JOIN own o ON o.query_id = b.query_id AND o.path = b.path LEFT JOIN keyed k ON k.doc = b.doc AND k.chunk = b.best_chunk AND k.symbol IS NOT NULL
+), later AS (
+  SELECT e.query_id, 1 AS stage, k AS a, r AS b, path, name AS symbol, coalesce(top, 0) + 1.5 AS score, 'symbol_exact' AS signal FROM exact e LEFT JOIN (SELECT query_id, max(score) AS top FROM first GROUP BY 1) t USING (query_id)
+  UNION ALL SELECT query_id, 2, seq, r, path, name, 1.5, 'symbol' FROM by_token WHERE r <= 3
+), once AS (
+  SELECT l.* FROM later l LEFT JOIN first f ON f.query_id = l.query_id AND f.symbol = l.symbol WHERE f.query_id IS NULL QUALIFY row_number() OVER (PARTITION BY l.query_id, l.symbol ORDER BY l.stage, l.a, l.b) = 1
+), every AS (
+  SELECT * FROM first UNION ALL SELECT query_id, stage, a, b, path, symbol, symbol || ' in ' || path, md5(''), score, signal, 'symbol' FROM once
+)
+SELECT query_id::BIGINT AS query_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, stage, a, b)::INT AS rank, type, path, symbol, title, snippet_md5, round(score, 6) AS score, signal FROM every QUALIFY rank <= 11""",
     "dense_vector_topk": f"WITH {_DENSE} SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id)::INT AS rank FROM scores WHERE id <> query_id QUALIFY rank <= 10",
     "vector_maxpool": f"WITH {_DENSE} SELECT query_id, grp, score, id AS best FROM scores QUALIFY row_number() OVER (PARTITION BY query_id, grp ORDER BY score DESC, id) = 1",
     "vector_cache_reuse": f"SELECT {_DOC_PATH} AS path, md5(text) AS hash, coalesce(quality = 1, false) AS reused FROM documents LEFT JOIN labels USING (doc_id)",

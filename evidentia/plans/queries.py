@@ -243,7 +243,7 @@ def symbol_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def evidence_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = B.symbol_queries(spark).select(F.col("query_id").cast("long").alias("query_id"), "text")
-    found = retrieval.fused(*_lists(spark, sf_dir, asked), B.dated_documents(spark, sf_dir), asked, B.AS_OF)
+    found = saved(retrieval.fused(*_lists(spark, sf_dir, asked), B.dated_documents(spark, sf_dir), asked, B.AS_OF), "found")  # 8 rows a query, read several times
     previews = B.documents(spark, sf_dir).select("path", F.substring("body", 1, retrieval.PREVIEW).alias("preview"))
     rows = retrieval.packets(found, B.symbols(spark, sf_dir), asked, chunks=B.document_chunks(spark, sf_dir), previews=previews)
     return rows.select("query_id", "rank", "type", "path", "symbol", "title", F.md5(F.coalesce("snippet", F.lit(""))).alias("snippet_md5"), "score", "signal")

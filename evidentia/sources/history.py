@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import subprocess
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 MARKER = "@@COMMIT@@"
@@ -24,17 +26,27 @@ def git_log(root: str, skip: int = 0, most: int = 2_000, field: str = "%ct") ->
 
 
 def commits_of_log(spark: SparkSession, log: str) -> DataFrame:
-    """(ordinal, ts, file) of a log; commits without files vanish, a time that is no number is 0."""
-    return commits_of_lines(spark.createDataFrame([(i, x) for i, x in enumerate(log.split("\n"))], "at bigint, line string"))
+    """(ordinal, ts, file) of a log; commits without files vanish, a time that is no number is 0.
 
+    A log is one ordered text of at most some thousand commits, so it is parsed here.
+    """
+    rows = [(ordinal, int(head) if re.fullmatch(r"[+-]?\d+", head) else 0, file) for ordinal, head, file in parsed_log(log)]
+    return spark.createDataFrame(rows, "ordinal bigint, ts bigint, file string")
 
-def commits_of_lines(lines: DataFrame) -> DataFrame:
-    """The same of log lines (at, line): a commit's marker stands before its files."""
-    before = Window.orderBy("at").rowsBetween(Window.unboundedPreceding, 0)  # a log is one ordered text
-    marked = lines.withColumn("head", F.when(F.col("line").startswith(MARKER), F.substring("line", len(MARKER) + 1, 100)))
-    rows = marked.withColumn("ordinal", F.count("head").over(before) - 1).withColumn("head", F.last("head", ignorenulls=True).over(before))
-    files = rows.where(~F.col("line").startswith(MARKER) & (F.trim("line") != "") & F.col("head").isNotNull())
-    return files.select("ordinal", F.coalesce(F.expr("try_cast(trim(head) AS bigint)"), F.lit(0)).alias("ts"), F.trim("line").alias("file"))
+
+def subjects_of_log(spark: SparkSession, log: str) -> DataFrame:
+    """(ordinal, subject, file) of a log whose field is the subject, ``%s``."""
+    return spark.createDataFrame(list(parsed_log(log)), "ordinal bigint, subject string, file string")
+
+
+def parsed_log(log: str) -> Iterator[tuple[int, str, str]]:
+    """The number of a commit from 0, its field, and a file of it, for each file."""
+    ordinal, head = -1, ""
+    for line in log.split("\n"):
+        if line.startswith(MARKER):
+            ordinal, head = ordinal + 1, line[len(MARKER) :].strip()
+        elif line.strip() and ordinal >= 0:
+            yield ordinal, head, line.strip()
 
 
 def _text(c: Column | str) -> Column:
@@ -51,8 +63,9 @@ def pull_requests(payloads: DataFrame, column: str = "payload") -> DataFrame:
 
 
 def pr_files(payloads: DataFrame, column: str = "payload") -> DataFrame:
-    """Changed files of payloads (pr_number, payload); an absent patch is empty."""
-    rows = payloads.select("pr_number", F.explode(F.from_json(column, FILES)).alias("f"))
+    """Changed files of payloads (pr_number, payload); an absent patch is empty, and the last row of a path stays."""
+    rows = payloads.select("pr_number", F.posexplode(F.from_json(column, FILES)).alias("at", "f"))
+    rows = rows.groupBy("pr_number", F.col("f.filename").alias("filename")).agg(F.max_by("f", "at").alias("f"))
     return rows.select(
         "pr_number", F.col("f.filename").alias("path"), _text("f.status").alias("status"), F.coalesce("f.additions", F.lit(0)).alias("additions"),
         F.coalesce("f.deletions", F.lit(0)).alias("deletions"), _text("f.patch").alias("patch"),

@@ -120,8 +120,8 @@ def extracted(files: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def chunks(files: DataFrame, symbols: DataFrame) -> DataFrame:
-    """(path, symbol, start_line, text, hash) of files (path, source) by ``chunk_plan``."""
+    """(path, chunk, symbol, start_line, text, hash) of files (path, source) by ``chunk_plan``, numbered from 0."""
     own = symbols.groupBy("path").agg(F.sort_array(F.collect_list(F.struct("start_line", "end_line", "name"))).alias("symbols"))  # of one file
     none = F.expr("cast(array() as array<struct<start_line:int,end_line:int,name:string>>)")
-    rows = files.select("path", "source").join(own, "path", "left").select("path", F.explode(T.chunk_plan(F.col("source"), F.coalesce("symbols", none))).alias("c"))
-    return rows.select("path", "c.symbol", "c.start_line", "c.text", T.fnv_hex(F.concat_ws(" ", "path", "c.symbol", "c.text")).alias("hash"))
+    rows = files.select("path", "source").join(own, "path", "left").select("path", F.posexplode(T.chunk_plan(F.col("source"), F.coalesce("symbols", none))).alias("chunk", "c"))
+    return rows.select("path", "chunk", "c.symbol", "c.start_line", "c.text", T.fnv_hex(F.concat_ws(" ", "path", "c.symbol", "c.text")).alias("hash"))

@@ -8,20 +8,23 @@ from __future__ import annotations
 
 import argparse
 import json
+import subprocess
 import sys
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from typing import Any, TextIO
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .functions.paths import repository_slug
+from .functions.text import STOPWORDS
 from .operators import graph, history, retrieval, reviews, verify
 from .operators.tables import Repository
 
 #: Rows that the tools ask for: search and impact, reuse.
 SEARCH_ROWS, REUSE_ROWS = 8, 5
 
-#: Tools and their one or two arguments; aliases of earlier names.
+#: Names of the tools and of their one or two arguments, and aliases of earlier names.
 ARGUMENTS: dict[str, dict[str, str]] = {
     "search_context": {"query": "string"},
     "find_existing_implementation": {"concept": "string"},
@@ -39,8 +42,8 @@ OPTIONAL = {"get_review_history"}
 class Tools:
     """The tools over one repository. ``as_of`` is the time that recency counts from, in unix seconds."""
 
-    def __init__(self, repository: Repository, as_of: int, weights: retrieval.Weights | None = None, profiles: tuple[verify.Profile, ...] = verify.PROFILES):
-        self.tables, self.as_of, self.weights, self.profiles = repository, as_of, weights or retrieval.Weights(), profiles
+    def __init__(self, repository: Repository, as_of: int, weights: retrieval.Weights | None = None, profiles: tuple[verify.Profile, ...] = verify.PROFILES, stopwords: Sequence[str] = STOPWORDS):
+        self.tables, self.as_of, self.weights, self.profiles, self.stopwords = repository, as_of, weights or retrieval.Weights(), profiles, stopwords
         self.spark = repository.files.sparkSession
 
     def call(self, name: str, arguments: dict[str, Any]) -> dict[str, Any]:
@@ -63,13 +66,20 @@ class Tools:
 
     def _docs(self) -> DataFrame:
         files = self.tables.files.select(F.col("path").alias("doc"), "path", F.col("last_commit_ts").alias("last_ts"))
-        bodies = self.tables.bodies.select("path", F.concat_ws(" ", "path", "body").alias("body"))
-        return files.join(bodies, "path", "left").select("doc", "path", "last_ts", F.coalesce("body", "path").alias("body"))
+        return files.join(self.tables.bodies, "path", "left").select("doc", "path", "last_ts", F.coalesce("body", F.lit("")).alias("body"))
+
+    def _chunks(self) -> DataFrame | None:
+        """The chunks that vectors are made of: a file's path and a symbol's name go in front of its text."""
+        if self.tables.chunks is None:
+            return None
+        return self.tables.chunks.select(F.col("path").alias("doc"), "chunk", "symbol", "start_line", "text")
 
     def _packets(self, text: str, rows: int) -> DataFrame:
-        asked = self._query(text)
-        found = retrieval.search(self._docs(), asked, self.as_of, self.weights, rows)
-        return retrieval.packets(found, self.tables.symbols, asked, self.weights, rows)
+        asked, chunks, docs = self._query(text), self._chunks(), self._docs()
+        embedded = None if chunks is None else chunks.select("doc", "chunk", F.concat_ws(" ", "doc", "symbol", "text").alias("text"))
+        found = retrieval.search(docs, asked, self.as_of, self.weights, rows, embedded, self.stopwords)
+        previews = docs.select("path", F.substring("body", 1, retrieval.PREVIEW).alias("preview"))
+        return retrieval.packets(found, self.tables.symbols, asked, self.weights, rows, chunks, previews, self.stopwords)
 
     @staticmethod
     def _rows(df: DataFrame, *order: Any) -> list[dict[str, Any]]:
@@ -129,6 +139,8 @@ class Tools:
         return reviews.with_pull_requests(self.tables.review_comments, self.tables.pull_requests)
 
     def _get_review_history(self, path: str | None, task: str | None) -> dict[str, Any]:
+        if self.tables.review_comments is None:
+            return {"comments": []}
         found = self._history()
         if path:
             found = found.where(F.col("path") == path)
@@ -184,10 +196,10 @@ def serve(call: Callable[[str, dict[str, Any]], Any], lines: TextIO = sys.stdin,
             print(json.dumps(answer), file=out, flush=True)
 
 
-def index(spark, root: str) -> Repository:
-    """The tables of a source tree and its git history, all supported files extracted."""
+def index(spark, root: str, reviews_folder: str | None = None) -> Repository:
+    """The tables of a source tree and its git history, all supported files extracted, and those of ``ingest-github`` in a folder."""
+    from .sources import github, inventory
     from .sources import history as log
-    from .sources import inventory
 
     files = inventory.scan(spark, root, with_content=True)
     bodies = inventory.bodies(files)
@@ -195,23 +207,52 @@ def index(spark, root: str) -> Repository:
     commits = log.commits_of_log(spark, log.git_log(root)).select((-F.col("ordinal")).alias("commit"), "ts", "file")
     known = files.select("path", "language", "size_bytes", "is_test").join(history.last_change(commits).select(F.col("file").alias("path"), F.col("ts").alias("last_commit_ts")), "path", "left")
     manifests = bodies.where(F.col("path").endswith("Cargo.toml")).select("path", F.col("source").alias("text"))
+    past = github.loaded(spark, reviews_folder) if reviews_folder else {}
     return Repository(
         files=known, bodies=bodies.select("path", "body"), symbols=symbols, cochange=graph.known_cochange(history.cochange_edges(commits), known),
-        imports=graph.import_edges(imports, known, manifests),
+        imports=graph.import_edges(imports, known, manifests), pull_requests=past.get("pull_requests"), review_comments=past.get("review_comments"),
+        chunks=inventory.chunks(bodies, symbols).drop("hash"), targets=imports,
     )
 
 
+def newest_change(repository: Repository) -> int:
+    """The time of the newest commit, or 0."""
+    return repository.files.agg(F.max("last_commit_ts")).first()[0] or 0
+
+
+def ingest_github(spark, root: str, folder: str, most: int) -> dict[str, int]:
+    """Fetch the reviews of a repository's remote into tables below ``folder``; returns how many rows came."""
+    from .sources import config, github
+
+    remote = subprocess.run(["git", "-C", root, "remote", "get-url", "origin"], capture_output=True, text=True, timeout=60, check=True).stdout.strip()
+    slug = spark.range(1).select(repository_slug(F.lit(remote)).alias("slug")).first().slug
+    if not slug.owner:
+        raise ValueError(f"no owner and name in {remote}")
+    tables = github.ingest(spark, github.Client(config.token() or "", slug.owner, slug.name), most)
+    github.stored(tables, folder)
+    return {name: df.count() for name, df in github.loaded(spark, folder).items()}
+
+
 def main(arguments: list[str] | None = None) -> None:
     from .session import session
     from .sources import config
 
-    parser = argparse.ArgumentParser(prog="evidentia", description="Answer questions about a repository over JSON-RPC lines.")
+    parser = argparse.ArgumentParser(prog="evidentia", description="Answer questions about a repository over JSON-RPC lines, or fetch its reviews.")
+    parser.add_argument("command", nargs="?", choices=("serve", "ingest-github"), default="serve")
     parser.add_argument("--repo", default=".")
-    parser.add_argument("--as-of", type=int, default=0, help="unix seconds that recency counts from")
+    parser.add_argument("--reviews", help="folder of the review tables")
+    parser.add_argument("--most", type=int, default=100, help="pull requests to fetch")
+    parser.add_argument("--as-of", type=int, help="unix seconds that recency counts from; by default the time of the newest commit")
     given = parser.parse_args(arguments)
     spark = session()
-    tools = Tools(index(spark, given.repo), given.as_of, config.weights(given.repo), config.profiles(given.repo))
-    serve(tools.call)
+    if given.command == "ingest-github":
+        if not given.reviews:
+            parser.error("ingest-github needs --reviews")
+        print(json.dumps(ingest_github(spark, given.repo, given.reviews, given.most)))
+        return
+    tables = index(spark, given.repo, given.reviews)
+    as_of = newest_change(tables) if given.as_of is None else given.as_of
+    serve(Tools(tables, as_of, config.weights(given.repo), config.profiles(given.repo), config.stopwords(given.repo)).call)
 
 
 if __name__ == "__main__":

@@ -3,7 +3,8 @@ import json
 import subprocess
 
 from evidentia import tools
-from evidentia.sources import config, history, inventory
+from evidentia.operators import maintain, tables
+from evidentia.sources import config, github, history, inventory
 
 
 def make_tree(root):
@@ -118,9 +119,75 @@ def test_tools_over_a_repository(spark, tmp_path):
     assert why["connected"] and why["reasons"][0]["type"] == "historical_cochange"
     evidence = found.call("search_context", {"query": "Runner go retry"})["evidence"]
     assert evidence and evidence[0]["id"] == "ev_000" and any(e["path"] == "src/main.py" for e in evidence)
+    packet = next(e for e in evidence if e["path"] == "src/main.py")
+    assert packet["symbol"] in ("Runner", "go") and packet["title"].startswith(f"{packet['symbol']} in src/main.py") and packet["snippet"]
+    assert found.call("get_review_history", {"path": "src/main.py"}) == {"comments": []}
     for name, arguments in (("nope", {}), ("search_context", {}), ("get_review_history", {})):
         try:
             found.call(name, arguments)
             raise AssertionError(name)
         except ValueError:
             pass
+
+
+class Pages:
+    """Answers in place of the network."""
+
+    def __init__(self, requests, parts):
+        self.requests, self.parts = requests, parts
+
+    def closed_pull_requests(self, most):
+        yield json.dumps(self.requests[:most])
+
+    def of_pull_request(self, number, what):
+        rows = self.parts.get((number, what), [])
+        yield json.dumps(rows[:1])
+        yield json.dumps(rows[1:])
+
+
+def test_reviews_from_ingest_to_tool(spark, tmp_path, monkeypatch):
+    make_tree(tmp_path / "tree")
+    comment = lambda text: {"path": "src/main.py", "line": 3, "body": text, "user": {"login": "u"}, "created_at": "2024-01-02"}
+    first = Pages([{"number": 5, "title": "Retry", "merged_at": "2024"}, {"number": 6}], {(5, "comments"): [comment("retry twice"), comment("name it well")], (5, "commits"): [{"sha": "a"}, {"sha": "b"}], (6, "comments"): [comment("other")]})
+    folder = f"{tmp_path}/reviews"
+    github.stored(github.ingest(spark, first, 10), folder)
+    assert [(r.sha, r.ordinal) for r in github.loaded(spark, folder)["pr_commits"].orderBy("ordinal").collect()] == [("a", 0), ("b", 1)]
+    github.stored(github.ingest(spark, Pages([{"number": 5, "title": "Retry it", "merged_at": "2024"}], {(5, "comments"): [comment("retry thrice")], (5, "files"): [{"filename": "x", "patch": "1"}, {"filename": "x", "patch": "2"}]}), 10), folder)
+    stored = github.loaded(spark, folder)
+    assert {(r.number, r.title) for r in stored["pull_requests"].collect()} == {(5, "Retry it"), (6, "")}
+    assert [(r.path, r.patch) for r in stored["pr_files"].collect()] == [("x", "2")]
+    found = tools.Tools(tools.index(spark, str(tmp_path / "tree"), folder), as_of=0)
+    assert sorted(r["body"] for r in found.call("get_review_history", {"path": "src/main.py"})["comments"]) == ["other", "retry thrice"]
+    assert found.call("get_review_history", {"path": "", "task": "retry"})["comments"][0]["body"] == "retry thrice"
+    monkeypatch.setattr("sys.argv", ["evidentia"])
+    out = io.StringIO()
+    monkeypatch.setattr(tools, "serve", lambda call: out.write(json.dumps(call("get_review_history", {"path": "src/main.py"}))))
+    tools.main(["--repo", str(tmp_path / "tree"), "--reviews", folder])
+    assert len(json.loads(out.getvalue())["comments"]) == 2
+
+
+def test_reindex_prune_and_refresh(spark, tmp_path):
+    make_tree(tmp_path / "one")
+    (tmp_path / "one/src/user.py").write_text("import utils.retry\n")
+    whole = tools.index(spark, str(tmp_path / "one"))
+    (tmp_path / "two/src").mkdir(parents=True)
+    (tmp_path / "two/src/main.py").write_text("import nothing\n\ndef fresh():\n    pass\n")
+    (tmp_path / "two/src/user.py").write_text("pass\n")
+    gone = spark.createDataFrame([("src/lib.rs",)], "path string")
+    now = maintain.reindexed(whole, tools.index(spark, str(tmp_path / "two")), gone)
+    assert {r.name for r in now.symbols.where("path like 'src/%'").collect()} == {"fresh", "retry", "test_x"}
+    assert whole.imports.where("src = 'src/user.py'").count() == 1 and now.imports.where("src = 'src/user.py'").count() == 0
+    assert now.files.where("path = 'src/lib.rs'").count() == 0
+    kept = maintain.prune_repository(whole, spark.createDataFrame([("src/main.py",)], "path string"))
+    assert {r.path for r in kept.symbols.collect()} == {r.path for r in kept.chunks.collect()} == {"src/main.py"} and kept.imports.count() == 0
+    assert tables.index_stats(kept).first().asDict() == {"files": 1, "extracted": 1, "symbols": 2, "cochange": 0, "imports": 0}
+    assert [r.name for r in tables.symbols_of_path(whole.symbols, kept.files).collect()] == ["Runner", "go"]
+    commits = spark.createDataFrame([(c, 100 + c, f) for c in (1, 2) for f in ("src/main.py", "web/app.ts")], "commit int, ts long, file string")
+    late = maintain.refreshed_history(whole, commits)
+    assert {(r.path_a, r.n) for r in late.cochange.collect()} == {("src/main.py", 2), ("web/app.ts", 2)}
+    assert tools.newest_change(late) == 102
+
+
+def test_subjects_of_a_log(spark):
+    log = f"{history.MARKER}Fix the thing: part 2\na.rs\n\n{history.MARKER}7\nb.rs\n"
+    assert [(r.ordinal, r.subject, r.file) for r in history.subjects_of_log(spark, log).collect()] == [(0, "Fix the thing: part 2", "a.rs"), (1, "7", "b.rs")]
