@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import chunk_plan
+from ..session import spread
 
 #: Time from which recency counts: 2025-01-01, unix seconds.
 AS_OF = 1_735_689_600
@@ -46,6 +47,11 @@ def dated_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents(spark, sf_dir).join(orders, "doc", "left")
 
 
+def searched_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``documents`` for queries that work on whole bodies."""
+    return spread(documents(spark, sf_dir))
+
+
 #: Symbols that every document gets: (name, first line, last line).
 SPANS = (("first", 1, 2), ("rest", 3, 9_999), ("far", 900, 950), ("backwards", 5, 2), ("none", 0, 0))
 
@@ -53,7 +59,7 @@ SPANS = (("first", 1, 2), ("rest", 3, 9_999), ("far", 900, 950), ("backwards", 5
 def document_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc, chunk, symbol, start_line, text): the chunks of documents with the symbols SPANS."""
     symbols = F.array(*[F.struct(F.lit(n).alias("name"), F.lit(a).alias("start_line"), F.lit(b).alias("end_line")) for n, a, b in SPANS])
-    rows = documents(spark, sf_dir).select("doc", F.posexplode(chunk_plan(F.col("body"), symbols)).alias("chunk", "c"))
+    rows = searched_documents(spark, sf_dir).select("doc", F.posexplode(chunk_plan(F.col("body"), symbols)).alias("chunk", "c"))
     return rows.select("doc", "chunk", "c.symbol", "c.start_line", "c.text")
 
 

@@ -153,38 +153,38 @@ def stopword_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def embed_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(retrieval.hashed_vectors(B.documents(spark, sf_dir), T.index_tokens(F.col("body"))), "weight")
+    return rounded(retrieval.hashed_vectors(B.searched_documents(spark, sf_dir), T.index_tokens(F.col("body"))), "weight")
 
 
 @query
 def hashed_cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return retrieval.vector_search(B.documents(spark, sf_dir), B.benchmark_queries(spark, sf_dir), 10, T.index_tokens).select("query_id", "doc", "score", "rank")
+    return retrieval.vector_search(B.searched_documents(spark, sf_dir), B.benchmark_queries(spark, sf_dir), 10, T.index_tokens).select("query_id", "doc", "score", "rank")
 
 
 @query
 def search_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents by their best chunk, with its symbol and line."""
     chunks = B.document_chunks(spark, sf_dir)
-    found = retrieval.vector_search(B.documents(spark, sf_dir), B.benchmark_queries(spark, sf_dir), 10, T.index_tokens, chunks=chunks)
+    found = retrieval.vector_search(B.searched_documents(spark, sf_dir), B.benchmark_queries(spark, sf_dir), 10, T.index_tokens, chunks=chunks)
     shown = found.join(chunks.select("doc", F.col("chunk").alias("best"), "symbol", "start_line", F.md5("text").alias("text_md5")), ["doc", "best"])
     return shown.select("query_id", "doc", "symbol", "start_line", "text_md5", "score", "rank")
 
 
 @query
 def bm25_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = B.documents(spark, sf_dir)
+    docs = B.searched_documents(spark, sf_dir)
     terms = retrieval.term_stats(retrieval.postings(docs)).join(retrieval.field_stats(docs), "field")
     return rounded(terms.select("term", "df", "cf", retrieval.idf(F.col("df"), F.col("n_docs")).alias("idf")), "idf")
 
 
 @query
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return retrieval.bm25(B.documents(spark, sf_dir), B.benchmark_queries(spark, sf_dir), 10)
+    return retrieval.bm25(B.searched_documents(spark, sf_dir), B.benchmark_queries(spark, sf_dir), 10)
 
 
 def _lists(spark: SparkSession, sf_dir: str, asked: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Candidates by BM25 of path and body, and by the best chunk's vector."""
-    docs = B.documents(spark, sf_dir)
+    docs = B.searched_documents(spark, sf_dir)
     return retrieval.bm25(docs, asked, fields=("path", "body")), retrieval.vector_search(docs, asked, tokens=T.index_tokens, chunks=B.document_chunks(spark, sf_dir))
 
 
@@ -213,7 +213,7 @@ def predict_impact(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def payload_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, asked = B.documents(spark, sf_dir), B.benchmark_queries(spark, sf_dir)
+    docs, asked = B.searched_documents(spark, sf_dir), B.benchmark_queries(spark, sf_dir)
     returned = retrieval.bm25(docs, asked, 8).join(docs.select("doc", F.length(F.substring("body", 1, 400)).alias("chars")), "doc").groupBy("query_id").agg(F.floor(F.sum("chars") / 4).alias("returned_tokens"))
     terms = asked.select("query_id", F.explode(F.array_distinct(T.index_tokens(F.col("text")))).alias("term"))
     hits = terms.join(retrieval.postings(docs).select("term", "doc"), "term").select("query_id", "doc").distinct()

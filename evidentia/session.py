@@ -25,6 +25,23 @@ def session(app: str = "evidentia", **more: str) -> SparkSession:
     return builder.getOrCreate()
 
 
+#: Bytes for each core up to which an input in few files is dealt anew.
+SPREAD_BYTES = 128 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` dealt over all cores if it is a small scan of fewer files than cores: one row group is one task, whatever the plan says.
+
+    Larger inputs, or those in many files, are left as they are and not shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    files = df.inputFiles()
+    if not 0 < len(files) < cores:
+        return df
+    size = df._jdf.queryExecution().analyzed().stats().sizeInBytes()
+    return df.repartition(cores) if int(size) < cores * SPREAD_BYTES else df
+
+
 def saved(df: DataFrame, label: str) -> DataFrame:
     """``df`` as a Parquet table that all executors share, for frames that are read more than once; it goes when the driver ends."""
     spark = df.sparkSession
