@@ -15,6 +15,8 @@ import secrets
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import spread
+
 #: Candidates, in this order where several begin at one place. All texts go through Java's regular expressions, in
 #: time linear in their length: parts are bounded (those of an address as its standard bounds them) or not given back.
 PATTERNS = {
@@ -247,7 +249,7 @@ def pseudonym(value: Column, key: str, undo: bool = False) -> Column:
 def _replaced(docs: DataFrame, key: str, undo: bool) -> DataFrame:
     every = "|".join(f"(?:{p})" for p in PATTERNS.values())
     text = F.col("text")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = spread(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")))
     may = text.rlike("[0-9@]|(?i:secret|token|key|passw)")  # without these no pattern fits
     rows = rows.withColumn("values", F.when(may, F.transform(F.regexp_extract_all(text, F.lit(every), F.lit(0)), lambda v: pseudonym(v, key, undo))))
     found = F.transform(F.filter("values", lambda v: v["kind"].isNotNull()), lambda v: v["kind"])

@@ -12,6 +12,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import spread
+
 #: Identity of an input row: a hash of its file's path, and its place in that file.
 ROW_ID = ("__file", "__row")
 
@@ -82,10 +84,12 @@ def with_row_ids(docs: DataFrame) -> DataFrame:
     names = [c for c in docs.columns if c not in ROW_ID]
 
     def tagged(df: DataFrame) -> DataFrame:
-        return df.select(
-            *[F.col(f"`{c}`") for c in names],
-            F.xxhash64("_metadata.file_path").alias(ROW_ID[0]),
-            F.col("_metadata.row_index").alias(ROW_ID[1]),
+        return spread(
+            df.select(
+                *[F.col(f"`{c}`") for c in names],
+                F.xxhash64("_metadata.file_path").alias(ROW_ID[0]),
+                F.col("_metadata.row_index").alias(ROW_ID[1]),
+            )
         )
 
     bounded_batches(docs.sparkSession)
