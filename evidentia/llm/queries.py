@@ -36,7 +36,7 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = quotes.reply_ordered(_table(spark, sf_dir, "conversations"))
     formatted = F.concat(F.lit("<|"), F.coalesce("role", F.lit("")), F.lit("|>\n"), F.col("body"))
-    return found.select("conv_id", "turn", "role", "position", "reply_to", "linked", "quotes", "max_level", formatted.alias("message"))
+    return found.select("conv_id", "turn", "role", "position", "reply_position", "reply_to", "linked", "quotes", "max_level", formatted.alias("message"))
 
 
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

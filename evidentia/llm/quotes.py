@@ -6,7 +6,13 @@ normalised and hashed, and joined to the paragraphs and lines that earlier
 messages of the conversation wrote themselves; the latest such message is the
 original. A message replies to the original of its shallowest quotes, else to the
 message before it: deeper ones are what the quoted message quoted. The
-conversation comes out by turn, so behind what it replies to, without quotes.
+conversation comes out in reply order, without quotes: a message, then what
+replies to it, each with all that replies to that in turn, in order of turns.
+
+Reply order is a walk through the tree of replies. Runs of messages that each
+reply to the one before are one node of it; the walk is a linked list of entries
+and exits, and its places come from doubling jumps along the list, so that no
+task holds a conversation. What a conversation is sorted by goes in blocks.
 """
 
 from __future__ import annotations
@@ -17,7 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .lines import ascii_lower
-from .storage import ROW_ID, with_row_ids
+from .storage import ROW_ID, dropped, saved, with_row_ids
 
 MARKS = r"^[ \t]*(>[> \t]*)"
 ATTRIBUTION = r"(?i)\b(wrote|schrieb|a écrit|escribió)[^:\n]*:\s*$"
@@ -122,6 +128,79 @@ def _linked(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
     return bodies, _originals(units, asked).withColumn("strength", strength)
 
 
+def _next(rows: DataFrame, keys: list[str], at: str, down: bool = False) -> DataFrame:
+    """Distinct rows (keys, at) with ``next``, the least greater ``at`` of the same keys (with ``down`` the greatest less), or null."""
+    rows = rows.select(*keys, at).distinct().withColumn("block", F.floor(F.col(at) / BLOCK))
+    order = (lambda c: F.desc(c)) if down else (lambda c: F.asc(c))
+    edge = F.max(at) if down else F.min(at)
+    blocks = rows.groupBy(*keys, "block").agg(edge.alias("edge"))
+    blocks = blocks.select(*keys, "block", F.lead("edge").over(Window.partitionBy(*keys).orderBy(order("block"))).alias("beyond"))
+    inside = F.lead(at).over(Window.partitionBy(*keys, "block").orderBy(order(at)))
+    return rows.withColumn("inside", inside).join(blocks, [*keys, "block"]).select(*keys, at, F.coalesce("inside", "beyond").alias("next"))
+
+
+def _last(marks: DataFrame, rows: DataFrame, keys: list[str], at: str) -> DataFrame:
+    """``rows`` with ``head``, the greatest ``head`` of ``marks`` (keys, head) that is no greater than their ``at``; distinct rows are few in a block."""
+    block = F.floor(F.col(at) / BLOCK)
+    both = rows.withColumn("mark", F.lit(None).cast("long")).unionByName(marks.select(*keys, F.col("head").alias(at), F.col("head").alias("mark")), allowMissingColumns=True).withColumn("block", block)
+    blocks = both.groupBy(*keys, "block").agg(F.max("mark").alias("edge"))
+    earlier = Window.partitionBy(*keys).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.select(*keys, "block", F.max("edge").over(earlier).alias("before"))
+    inside = Window.partitionBy(*keys, "block").orderBy(at, F.asc_nulls_last("mark")).rowsBetween(Window.unboundedPreceding, 0)
+    found = both.withColumn("inside", F.max("mark").over(inside)).where("mark is null")
+    return found.join(blocks, [*keys, "block"]).withColumn("head", F.coalesce("inside", "before")).drop("block", "mark", "inside", "before")
+
+
+def reply_places(messages: DataFrame) -> DataFrame:
+    """(conv_id, place, reply_place) of messages (conv_id, place, parent): places in the walk through the tree of replies, for conversations where it differs.
+
+    Places count from 0 without gaps; a parent's is less, and null only for the
+    first. Replies to a message come in order of their places.
+    """
+    branches = saved(messages.where("parent is not null and parent <> place - 1").select("conv_id", F.col("place").alias("head"), "parent"), "branches")
+    sizes = messages.join(branches.select("conv_id").distinct(), "conv_id", "left_semi").groupBy("conv_id").agg(F.count(F.lit(1)).alias("total"))
+    sizes = saved(sizes, "sizes")
+    heads = branches.select("conv_id", "head").unionByName(sizes.select("conv_id", F.lit(0).cast("long").alias("head")))
+    conv = ["conv_id"]
+
+    # runs of messages: where they end, and which run a parent lies in
+    runs = _next(heads, conv, "head").join(sizes, "conv_id").select("conv_id", "head", (F.coalesce("next", "total") - F.col("head")).alias("size"), "total")
+    runs = saved(runs, "runs")
+    parents = saved(_last(heads, branches.select("conv_id", "parent").distinct(), conv, "parent").withColumnRenamed("head", "owner"), "owners")
+
+    # of a run the children by parent from the last, and of one parent by place
+    above = saved(_next(branches, ["conv_id", "parent"], "head"), "siblings")
+    least = above.groupBy("conv_id", "parent").agg(F.min("head").alias("least"))
+    lower = _next(parents, ["conv_id", "owner"], "parent", down=True).withColumnRenamed("next", "lower")
+    lower = lower.join(least.select("conv_id", F.col("parent").alias("lower"), F.col("least").alias("beyond")), ["conv_id", "lower"], "left").select("conv_id", "owner", "parent", "beyond")
+    lower = saved(lower, "lower")
+    after = above.join(lower.hint("merge"), ["conv_id", "parent"]).select("conv_id", "head", "owner", F.coalesce("next", "beyond").alias("sibling"))
+    last = parents.groupBy("conv_id", "owner").agg(F.max("parent").alias("parent"))
+    child = last.join(least, ["conv_id", "parent"]).select("conv_id", F.col("owner").alias("head"), F.col("least").alias("child"))
+
+    # entries are 2 * head, exits 2 * head + 1
+    every = runs.join(child, ["conv_id", "head"], "left").join(after, ["conv_id", "head"], "left")
+    leave = F.coalesce(F.col("sibling") * 2, F.col("owner") * 2 + 1)
+    enter = F.coalesce(F.col("child") * 2, F.col("head") * 2 + 1)
+    steps = every.select("conv_id", F.explode(F.array(
+        F.struct((F.col("head") * 2).alias("at"), enter.alias("next"), F.col("size").alias("left")), F.struct((F.col("head") * 2 + 1).alias("at"), leave.alias("next"), F.lit(0).cast("long").alias("left"))
+    )).alias("x")).select("conv_id", "x.*")
+    steps = saved(steps, "steps")
+    while not steps.where("next is not null").isEmpty():
+        ahead = steps.select("conv_id", F.col("at").alias("next"), F.col("next").alias("far"), F.col("left").alias("more"))
+        further = steps.join(ahead, ["conv_id", "next"], "left").select("conv_id", "at", F.col("far").alias("next"), (F.col("left") + F.coalesce("more", F.lit(0))).alias("left"))
+        further = saved(further, "steps")
+        dropped(steps)
+        steps = further
+    entries = steps.where("at % 2 = 0").select("conv_id", (F.col("at") / 2).cast("long").alias("head"), "left")
+    starts = saved(runs.join(entries, ["conv_id", "head"]).select("conv_id", "head", (F.col("total") - F.col("left")).alias("start")), "starts")
+
+    some = messages.join(sizes.select("conv_id"), "conv_id", "left_semi").select("conv_id", "place")
+    owned = saved(_last(starts, some, conv, "place"), "owned")
+    dropped(branches, sizes, runs, parents, above, lower, steps)
+    return owned.join(starts.hint("merge"), ["conv_id", "head"]).select("conv_id", "place", (F.col("start") + F.col("place") - F.col("head")).alias("reply_place"))  # a long run can be split
+
+
 def passage_links(conversations: DataFrame) -> DataFrame:
     """One row per quoted passage with text, of any level: conv_id, turn, role, first_line (from 0), level, original (a turn or null)."""
     _, found = _linked(_messages(conversations))
@@ -130,11 +209,12 @@ def passage_links(conversations: DataFrame) -> DataFrame:
 
 
 def reply_ordered(conversations: DataFrame) -> DataFrame:
-    """One row per row of ``conversations`` (conv_id, turn, role, text): conv_id, turn, role, position, reply_to, linked, quotes, max_level, body.
+    """One row per row of ``conversations`` (conv_id, turn, role, text): conv_id, turn, role, position, reply_position, reply_to, linked, quotes, max_level, body.
 
-    ``position`` counts the messages of a conversation from 0 in reply order: by
-    turn, so that a message stands behind the one it replies to; equal turns go
-    by role and file order. ``reply_to`` is a turn, or null for the first
+    ``position`` counts the messages of a conversation from 0 by turn, equal turns
+    by role and file order. ``reply_position`` counts them in reply order: behind
+    a message come its replies by position, each with all that replies to it.
+    ``reply_to`` is a turn, or null for the first
     message. ``linked`` says that quotes decided on it: those of the shallowest
     level with text in the message, first whole passages, then lines of MIN_CHARS
     or more, then whole passages that are shorter. ``quotes`` counts passages,
@@ -164,14 +244,26 @@ def reply_ordered(conversations: DataFrame) -> DataFrame:
     every = every.withColumn("place", F.row_number().over(inside) - 1).withColumn("turn_above", F.lag("turn").over(inside))
     same = [F.col(f"e.{c}").eqNullSafe(F.col(f"b.{c}")) for c in ("conv_id", *cell)]
     placed = every.alias("e").join(blocks.alias("b"), reduce(Column.__and__, same)).select("e.*", "offset", "turn_before")
-    return placed.select(
+    placed = placed.select("*", (F.col("offset") + F.col("place")).cast("long").alias("position"), F.coalesce("original", "turn_above", "turn_before").alias("reply_to"))
+    placed = saved(placed.select("conv_id", "turn", "role", "position", "reply_to", "original", "quotes", F.col("max_level").cast("long").alias("max_level"), "body"), "placed")
+
+    # in reply order: what has no link replies to the message before it
+    linked = placed.where("original is not null").select("conv_id", "position", F.col("original").alias("turn"))
+    first = placed.join(linked.select("conv_id", "turn").distinct(), ["conv_id", "turn"], "left_semi").groupBy("conv_id", "turn").agg(F.min("position").alias("found"))
+    found = saved(linked.join(first.hint("merge"), ["conv_id", "turn"]).select("conv_id", "position", "found"), "found")
+    tree = placed.select("conv_id", "position").join(found.hint("merge"), ["conv_id", "position"], "left")
+    tree = saved(tree.select("conv_id", F.col("position").alias("place"), F.coalesce("found", F.when(F.col("position") > 0, F.col("position") - 1)).alias("parent")), "tree")
+    places = saved(reply_places(tree).withColumnRenamed("place", "position"), "places")
+    dropped(found, tree)
+    return placed.join(places.hint("merge"), ["conv_id", "position"], "left").select(
         _shown(F.col("conv_id")).alias("conv_id"),
         _shown(F.col("turn")).alias("turn"),
         "role",
-        (F.col("offset") + F.col("place")).cast("long").alias("position"),
-        _shown(F.coalesce("original", "turn_above", "turn_before")).alias("reply_to"),
+        "position",
+        F.coalesce("reply_place", "position").alias("reply_position"),
+        _shown(F.col("reply_to")).alias("reply_to"),
         F.col("original").isNotNull().alias("linked"),
         "quotes",
-        F.col("max_level").cast("long").alias("max_level"),
+        "max_level",
         "body",
     )

@@ -121,6 +121,37 @@ def test_no_conversations(spark):
     assert quotes.reply_ordered(conversation(spark, [])).count() == 0
 
 
+def walked(parents):
+    """Places of a walk through the tree that ``parents`` (of 1, 2, ...) give."""
+    children = {i: [] for i in range(len(parents) + 1)}
+    for i, p in enumerate(parents, 1):
+        children[p].append(i)
+    order, stack = [], [0]
+    while stack:
+        order.append(stack.pop())
+        stack += reversed(children[order[-1]])
+    return {v: k for k, v in enumerate(order)}
+
+
+def test_reply_places_against_a_walk(spark, monkeypatch):
+    monkeypatch.setattr(quotes, "BLOCK", 4)
+    rng = random.Random(12)
+    trees = [[rng.choice([i - 1, i - 1, rng.randrange(i), 0]) for i in range(1, n)] for n in [1, 2, 3, 9, 30, 60] for _ in range(4)] + [list(range(40)), [0] * 30]
+    rows = [(c, i, None if i == 0 else t[i - 1]) for c, t in enumerate(trees) for i in range(len(t) + 1)]
+    found = quotes.reply_places(spark.createDataFrame(rows, "conv_id long, place long, parent long")).collect()
+    mine = {(r.conv_id, r.place): r.reply_place for r in found}
+    for c, t in enumerate(trees):
+        straight = t == list(range(len(t)))
+        assert {i: mine.get((c, i)) for i in range(len(t) + 1)} == ({i: None for i in range(len(t) + 1)} if straight else walked(t))
+
+
+def test_reply_order(spark):
+    rows = [(1, 0, "a", "How do we deploy it?"), (1, 1, "b", "First you build it."), (1, 2, "a", "> How do we deploy it?\nNobody knows"), (1, 3, "b", "so be it"), (1, 4, "a", "> First you build it.\nand then"), (2, 0, "a", "x"), (2, 1, "b", "> x\ny")]
+    found = quotes.reply_ordered(conversation(spark, rows)).collect()
+    assert [r.turn for r in sorted((r for r in found if r.conv_id == 1), key=lambda r: r.reply_position)] == [0, 1, 4, 2, 3]
+    assert [r.reply_position for r in sorted((r for r in found if r.conv_id == 2), key=lambda r: r.turn)] == [0, 1]
+
+
 def test_messages_without_turns_are_numbered_in_blocks(spark, tmp_path):
     conversation(spark, [(1, None, "user", f"m{i}") for i in range(5_000)] + [(1, 7, "user", "end")]).repartition(3).write.parquet(f"{tmp_path}/c")
     found = quotes.reply_ordered(spark.read.parquet(f"{tmp_path}/c")).collect()
