@@ -302,6 +302,16 @@ SELECT change_set, 'profile' AS kind, name AS text, a::BIGINT AS a, 0::BIGINT AS
     "upsert_merge": """WITH fresh AS (SELECT doc_id + 7 AS doc_id FROM labels)
 SELECT coalesce(f.doc_id, d.doc_id) AS doc_id, CASE WHEN f.doc_id IS NOT NULL THEN 'new' ELSE source END AS source, d.doc_id IS NOT NULL AS done, CASE WHEN f.doc_id IS NOT NULL THEN 0 ELSE n_chars END AS n_chars FROM documents d FULL JOIN fresh f ON d.doc_id = f.doc_id""",
     "prune_missing": "SELECT source, count(*) FILTER (doc_id IN (SELECT doc_id FROM labels)) AS kept, count(*) FILTER (doc_id NOT IN (SELECT doc_id FROM labels)) AS pruned FROM documents GROUP BY source",
+    "replace_rows": "WITH good AS (SELECT doc_id FROM labels WHERE quality = 1) SELECT doc_id, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM good) UNION ALL SELECT doc_id, 'labelled' FROM good",
+    "recency_update": "SELECT doc_id, coalesce(epoch(o_orderdate)::BIGINT, 0) AS ts FROM documents LEFT JOIN orders ON o_orderkey = doc_id",
+    "schema_migration": "SELECT doc_id, quality::BIGINT AS quality, false AS reviewed, '' AS note FROM labels",
+    "event_routing": f"""WITH placed AS (SELECT event_id, CASE event_type WHEN 'click' THEN '.git/HEAD' WHEN 'view' THEN '.git/objects/a1' WHEN 'purchase' THEN 'node_modules/x.js' ELSE 'src/' || {_name('user_id')} END AS path,
+  ['create', 'modify', 'remove', 'access'][event_id % 4 + 1] AS kind FROM events)
+SELECT event_id, path, kind, CASE WHEN path = '.git/HEAD' THEN 'head' ELSE 'file' END AS route FROM placed WHERE kind <> 'access' AND (path = '.git/HEAD' OR starts_with(path, 'src/'))""",
+    "request_payloads": """WITH made AS (SELECT *, 't' || turn AS sha, CASE WHEN role = 'assistant' THEN 't' || turn ELSE '' END AS m FROM conversations)
+SELECT 'request' AS kind, conv_id::VARCHAR AS c0, coalesce(text, '') AS c1, (m <> '')::VARCHAR AS c2, coalesce(role, '') AS c3, m AS c4 FROM made
+UNION ALL SELECT 'file', conv_id::VARCHAR, 'f/' || sha, turn::VARCHAR, '0', m FROM made
+UNION ALL SELECT 'commit', conv_id::VARCHAR, sha, coalesce(text, ''), m, '0' FROM made""",
     "stream_latest": "SELECT user_id, max(event_id) AS event_id, arg_max(event_type, event_id) AS event_type FROM events GROUP BY user_id",
     "stream_change_counts": "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type AS kind, count(*) AS n FROM events GROUP BY ALL",
 }

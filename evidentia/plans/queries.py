@@ -378,6 +378,57 @@ def prune_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return left.join(gone, "source", "full_outer").select("source", F.coalesce("kept", F.lit(0)).alias("kept"), F.coalesce("pruned", F.lit(0)).alias("pruned"))
 
 
+@query
+def replace_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All rows of documents that are labelled good give way to a row of their own."""
+    docs = B.table(spark, sf_dir, "documents").select("doc_id", "source")
+    fresh = B.table(spark, sf_dir, "labels").where("quality = 1").select("doc_id", F.lit("labelled").alias("source"))
+    return maintain.replace_for(docs, fresh, ["doc_id"])
+
+
+@query
+def recency_update(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = B.table(spark, sf_dir, "documents").select("doc_id", F.lit(0).cast("long").alias("ts"))
+    orders = B.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), B.seconds(F.col("o_orderdate")).alias("ts"))
+    return maintain.update_known(docs, orders, "doc_id", "ts")
+
+
+@query
+def schema_migration(spark: SparkSession, sf_dir: str) -> DataFrame:
+    later = {"reviewed": ("boolean", False), "note": ("string", ""), "quality": ("int", -1)}
+    once = maintain.with_missing_columns(B.table(spark, sf_dir, "labels").select("doc_id", F.col("quality").cast("long").alias("quality")), later)
+    return maintain.with_missing_columns(once, later)
+
+
+@query
+def event_routing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every event as a change of a file, by its type and user."""
+    places = {"click": ".git/HEAD", "view": ".git/objects/a1", "purchase": "node_modules/x.js"}
+    path = F.concat(F.lit("src/"), B.file_of(F.col("user_id")))
+    for kind, place in places.items():
+        path = F.when(F.col("event_type") == kind, F.lit(place)).otherwise(path)
+    events = B.table(spark, sf_dir, "events").select("event_id", path.alias("path"), F.element_at(F.array(*[F.lit(k) for k in (*changes.KINDS, "access")]), (F.pmod("event_id", F.lit(4)) + 1).cast("int")).alias("kind"), "ts")
+    return changes.routed_events(events).select("event_id", "path", "kind", "route")
+
+
+@query
+def request_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pull requests, their files and commits from the payloads that each turn makes."""
+    rows = B.turns(spark, sf_dir)
+    at = F.concat(F.lit("t"), F.col("turn").cast("string"))
+    merged = F.when(F.col("role") == "assistant", at)
+    request = F.struct(F.col("conv_id").alias("number"), F.col("text").alias("title"), merged.alias("merged_at"), F.struct(F.col("role").alias("login")).alias("user"))
+    file = F.struct(F.concat(F.lit("f/"), at).alias("filename"), F.lit("added").alias("status"), F.col("turn").alias("additions"), merged.alias("patch"))
+    commit = F.struct(at.alias("sha"), F.struct(F.col("text").alias("message"), F.struct(F.col("role").alias("name"), merged.alias("date")).alias("author")).alias("commit"))
+    made = rows.select(F.col("conv_id").alias("pr_number"), *[F.to_json(F.array(x)).alias(n) for n, x in (("request", request), ("file", file), ("commit", commit))])
+    shown = lambda df, kind, *c: df.select(F.lit(kind).alias("kind"), *[F.expr(x).cast("string").alias(f"c{i}") for i, x in enumerate(c)])
+    return (
+        shown(payloads.pull_requests(made, "request"), "request", "number", "title", "merged", "author", "merged_at")
+        .unionByName(shown(payloads.pr_files(made, "file"), "file", "pr_number", "path", "additions", "deletions", "patch"))
+        .unionByName(shown(payloads.pr_commits(made, "commit"), "commit", "pr_number", "sha", "message", "authored_at", "ordinal"))
+    )
+
+
 def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = B.table(spark, sf_dir, "events").schema
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", 4).parquet(f"{sf_dir}/events.parque[t]")  # as a pattern, for it may be a file or a folder
