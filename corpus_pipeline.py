@@ -5,6 +5,9 @@ stage's rows as Parquet and reads them again as the next one's docs. All but the
 last return the columns of ``docs`` as they came, extra ones included. Rows, not
 ids, are kept or dropped: repeated rows are told apart by their place.
 
+Ties go by the least doc_id and then by file order, so each group keeps one row.
+Texts of any length are read whole in every stage.
+
 Null texts: no n-gram speaks for them in stage 1, they are one empty text in
 stage 2, link to nothing in stage 3, hold no word in stage 4, and have no id in
 stage 5. Empty tables stay empty.

@@ -93,10 +93,10 @@ def part_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(path, html): ``site/p<id>/<first word of three letters in the title>.html``."""
+    """(path, html) of all pages: ``site/p<id>/<first word of three letters in the title, or page>.html``."""
     word = F.lower(F.regexp_extract(F.regexp_extract("html", r"<title>([^<]*)</title>", 1), "([A-Za-z]{3,})", 1))
-    rows = table(spark, sf_dir, "pages").select("page_id", "html", word.alias("word"))
-    return rows.where("word <> ''").select(F.concat(F.lit("site/p"), F.col("page_id").cast("string"), F.lit("/"), F.col("word"), F.lit(".html")).alias("path"), "html")
+    rows = table(spark, sf_dir, "pages").select("page_id", "html", F.coalesce(F.nullif(word, F.lit("")), F.lit("page")).alias("word"))
+    return rows.select(F.concat(F.lit("site/p"), F.col("page_id").cast("string"), F.lit("/"), F.col("word"), F.lit(".html")).alias("path"), "html")
 
 
 def page_imports(spark: SparkSession, sf_dir: str) -> DataFrame:

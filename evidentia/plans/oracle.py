@@ -60,7 +60,7 @@ _PART_EDGES = f"{_files('\'part/\' || ' + _name('l_partkey'))}, {_edges()}"
 
 _REASON = "'changes with ' || {seed} || ' in ' || floor((n / total)::FLOAT * 100::FLOAT)::BIGINT || '% of its commits'"
 
-_PAGES = """site AS (SELECT 'site/p' || page_id || '/' || w || '.html' AS path, html FROM (SELECT page_id, html, lower(regexp_extract(regexp_extract(html, '<title>([^<]*)</title>', 1), '([A-Za-z]{3,})', 1)) AS w FROM pages) WHERE w <> ''),
+_PAGES = """site AS (SELECT 'site/p' || page_id || '/' || coalesce(nullif(w, ''), 'page') || '.html' AS path, html FROM (SELECT page_id, html, lower(regexp_extract(regexp_extract(html, '<title>([^<]*)</title>', 1), '([A-Za-z]{3,})', 1)) AS w FROM pages)),
 links AS (SELECT path, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS target FROM site),
 targets AS (SELECT path, target, array_to_string(list_filter(string_split(regexp_replace(replace(regexp_replace(lower(trim(target)), '\\.(ts|tsx|js|jsx|mjs|cjs|json)$', ''), '::', '/'), '[.\\\\]', '/', 'g'), '/'),
   lambda s: s NOT IN ('', '.', '..', 'crate', 'self', 'super')), '/') AS normalized FROM links)"""

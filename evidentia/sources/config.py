@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tomllib
 from dataclasses import fields
 from pathlib import Path
@@ -39,19 +40,32 @@ def stopwords(root: str) -> list[str]:
     return sorted({*STOPWORDS, *filter(None, own)})
 
 
+def _bare(text: str) -> str:
+    """A scalar without its quotes, or without the comment behind it."""
+    text = text.strip()
+    if text[:1] in ("'", '"'):
+        end = text.find(text[0], 1)
+        return text[1:end] if end > 0 else text[1:]
+    return text.split(" #")[0].strip()
+
+
 def _yaml_profile(text: str) -> Profile:
-    """A profile of a YAML subset: ``name: value`` and lists of strings."""
+    """A profile of a YAML subset: ``name: value`` and lists of strings, one a line or in brackets, with comments."""
     name, lists, key = "", {}, ""
     for line in text.splitlines():
         bare = line.strip()
         if not bare or bare.startswith("#"):
             continue
         if bare.startswith("- "):
-            lists.setdefault(key, []).append(bare[2:].strip().strip("\"'"))
-        else:
-            key, _, value = bare.partition(":")
-            if key == "name":
-                name = value.strip().strip("\"'")
+            lists.setdefault(key, []).append(_bare(bare[2:]))
+            continue
+        key, _, value = bare.partition(":")
+        value = value.strip()
+        if value.startswith("["):
+            inner = value[1 : value.rindex("]")] if "]" in value else value[1:]
+            lists[key] = [_bare(m[0]) for m in re.finditer(r"\"[^\"]*\"|'[^']*'|[^,\s][^,]*", inner)]
+        elif key == "name":
+            name = _bare(value)
     if not name or not lists.get("detect"):
         raise ValueError("a profile needs a name and patterns")
     return Profile(name, tuple(lists["detect"]), tuple(lists.get("checks", ())))

@@ -52,15 +52,23 @@ _BLOCK = {
 _BLOCK["typescript"] = _BLOCK["javascript"] + _BLOCK["typescript"]
 
 
+#: What braces don't count in: comments, strings and characters; templates go up to their end, whatever they hold.
+_NO_CODE = re.compile(r"//[^\n]*|/\*.*?(?:\*/|\Z)|\"(?:\\.|[^\"\\])*\"|'(?:\\.|[^'\\\n])'|`(?:\\.|[^`\\])*`", re.S)
+
+
+def without_comments(source: str) -> str:
+    """``source`` with comments, strings and templates as blanks; lines stay where they are."""
+    return _NO_CODE.sub(lambda m: re.sub(r"[^\n]", " ", m[0]), source)
+
+
 def _block_end(lines: list[str], start: int) -> int:
     """The line on which the braces that open at or behind ``start`` close, or the one that ends in a semicolon before any opens."""
     depth, opened = 0, False
     for i in range(start, len(lines)):
-        line = re.sub(r"//.*|\"(?:\\.|[^\"\\])*\"|'(?:\\.|[^'\\])'", "", lines[i])
-        for c in line:
+        for c in lines[i]:
             depth += (c == "{") - (c == "}")
             opened = opened or c == "{"
-        if opened and depth <= 0 or not opened and line.rstrip().endswith(";"):
+        if opened and depth <= 0 or not opened and lines[i].rstrip().endswith(";"):
             return i
     return len(lines) - 1
 
@@ -77,10 +85,11 @@ def symbols_of(source: str, language: str) -> list[tuple[str, str, int, int, str
             if isinstance(node, ast.FunctionDef | ast.AsyncFunctionDef | ast.ClassDef):
                 out.append((node.name, "class" if isinstance(node, ast.ClassDef) else "function", node.lineno, node.end_lineno))
     else:
+        code = without_comments(source).split("\n")
         for kind, pattern in _BLOCK.get(language, []):
-            for i, line in enumerate(lines):
+            for i, line in enumerate(code):
                 if m := re.match(pattern, line):
-                    out.append((m[1], kind, i + 1, _block_end(lines, i) + 1))
+                    out.append((m[1], kind, i + 1, _block_end(code, i) + 1))
     out.sort(key=lambda x: (x[2], -x[3], x[0]))
     return [(*s, lines[s[2] - 1].strip()[:200]) for s in out]
 

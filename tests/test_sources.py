@@ -48,6 +48,12 @@ def test_sources_are_read_whole(spark, tmp_path):
     assert [r.text for r in inventory.chunks(bodies, symbols).where("symbol = 'last'").collect()] == ["def last():\n    return late"]
 
 
+def test_braces_in_comments_and_templates_do_not_count():
+    source = "/* function no() { */\nfunction one() {\n  const a = `x ${b} {\n function two() {`; // }\n  return '{' + \"}\";\n}\nclass C { /* } */\n  run(x) {\n    return x;\n  }\n}\n"
+    found = [(s[0], s[1], s[2], s[3]) for s in inventory.symbols_of(source, "javascript")]
+    assert found == [("one", "function", 2, 6), ("C", "class", 7, 11), ("run", "method", 8, 10)]
+
+
 def test_git_log(spark, tmp_path):
     log = f"{history.MARKER}300\na.rs\nb.rs\n\n{history.MARKER}200\n\n{history.MARKER}oops\na.rs\n"
     rows = history.commits_of_log(spark, log).collect()
@@ -78,7 +84,9 @@ def test_config(tmp_path):
     (folder / "a.yml").write_text("nothing: here\n")
     assert config.weights(str(tmp_path)).bm25 == 2.0 and config.weights(str(tmp_path)).vector == 1.2
     assert "please" in config.stopwords(str(tmp_path)) and "the" in config.stopwords(str(tmp_path))
-    assert [p.name for p in config.profiles(str(tmp_path))] == ["b"]
+    (folder / "c.yaml").write_text("name: 'c'  # own\ndetect: [\"**/*.y\", '**/{a,b}.z']\nchecks:\n  - two # words\n  - 'three # words'\n")
+    found = config.profiles(str(tmp_path))
+    assert [p.name for p in found] == ["b", "c"] and found[1].detect == ("**/*.y", "**/{a,b}.z") and found[1].checks == ("two", "three # words")
     (tmp_path / "config/scoring.toml").write_text("broken = = 1")
     assert config.weights(str(tmp_path)).bm25 == 1.0
 
