@@ -53,12 +53,13 @@ _BLOCK["typescript"] = _BLOCK["javascript"] + _BLOCK["typescript"]
 
 
 #: What braces don't count in: comments, strings and characters; templates go up to their end, whatever they hold.
-_NO_CODE = re.compile(r"//[^\n]*|/\*.*?(?:\*/|\Z)|\"(?:\\.|[^\"\\])*\"|'(?:\\.|[^'\\\n])'|`(?:\\.|[^`\\])*`", re.S)
+#: A single quote begins a character in Rust, where it may be a lifetime too, and a string elsewhere.
+_NO_CODE = {rust: re.compile(r"//[^\n]*|/\*.*?(?:\*/|\Z)|\"(?:\\.|[^\"\\])*\"|'(?:\\.|[^'\\\n])" + ("" if rust else "*") + r"'|`(?:\\.|[^`\\])*`", re.S) for rust in (True, False)}
 
 
-def without_comments(source: str) -> str:
+def without_comments(source: str, language: str) -> str:
     """``source`` with comments, strings and templates as blanks; lines stay where they are."""
-    return _NO_CODE.sub(lambda m: re.sub(r"[^\n]", " ", m[0]), source)
+    return _NO_CODE[language == "rust"].sub(lambda m: re.sub(r"[^\n]", " ", m[0]), source)
 
 
 def _block_end(lines: list[str], start: int) -> int:
@@ -85,7 +86,7 @@ def symbols_of(source: str, language: str) -> list[tuple[str, str, int, int, str
             if isinstance(node, ast.FunctionDef | ast.AsyncFunctionDef | ast.ClassDef):
                 out.append((node.name, "class" if isinstance(node, ast.ClassDef) else "function", node.lineno, node.end_lineno))
     else:
-        code = without_comments(source).split("\n")
+        code = without_comments(source, language).split("\n")
         for kind, pattern in _BLOCK.get(language, []):
             for i, line in enumerate(code):
                 if m := re.match(pattern, line):

@@ -49,9 +49,11 @@ def test_sources_are_read_whole(spark, tmp_path):
 
 
 def test_braces_in_comments_and_templates_do_not_count():
-    source = "/* function no() { */\nfunction one() {\n  const a = `x ${b} {\n function two() {`; // }\n  return '{' + \"}\";\n}\nclass C { /* } */\n  run(x) {\n    return x;\n  }\n}\n"
+    source = "/* function no() { */\nfunction one() {\n  const a = `x ${b} {\n function two() {`; // }\n  return 'a { b' + \"}\";\n}\nclass C { /* } */\n  run(x) {\n    return x;\n  }\n}\n"
     found = [(s[0], s[1], s[2], s[3]) for s in inventory.symbols_of(source, "javascript")]
     assert found == [("one", "function", 2, 6), ("C", "class", 7, 11), ("run", "method", 8, 10)]
+    rust = "fn one<'a>(x: &'a str) {\n  let c = '{';\n}\nfn two<'b>() {}\n"
+    assert [(s[0], s[2], s[3]) for s in inventory.symbols_of(rust, "rust")] == [("one", 1, 3), ("two", 4, 4)]
 
 
 def test_git_log(spark, tmp_path):
