@@ -108,11 +108,11 @@ def explain(cochange: DataFrame, imports: DataFrame, pairs: DataFrame, files: Da
         return out
     ends = both.select(F.col("source").alias("path")).unionByName(both.select(F.col("target").alias("path"))).distinct()
     found = expand(cochange, imports, ends.select(F.col("path").alias("seed_set"), "path"), files).where("section in ('cochange', 'import')")
-    forward = both.join(found, (F.col("source") == F.col("seed_set")) & (F.col("target") == F.col("path")))
-    forward = forward.select(
-        "source", "target", F.when(F.col("section") == "cochange", "historical_cochange").otherwise("import_edge").alias("type"),
-        F.when(F.col("section") == "cochange", F.col("reason")).otherwise(F.concat("target", F.lit(" imports "), "source")).alias("detail"), F.col("confidence").alias("weight"),
+    ways = both.select("source", "target", F.col("source").alias("seed_set"), F.col("target").alias("path"), F.lit(True).alias("forward"))
+    ways = ways.unionByName(both.select("source", "target", F.col("target").alias("seed_set"), F.col("source").alias("path"), F.lit(False).alias("forward")))
+    hits = ways.join(found, ["seed_set", "path"]).where("forward or section = 'import'")  # the expansions are read once
+    together = F.col("section") == "cochange"
+    return hits.select(
+        "source", "target", F.when(together, "historical_cochange").otherwise("import_edge").alias("type"),
+        F.when(together, F.col("reason")).otherwise(F.concat("path", F.lit(" imports "), "seed_set")).alias("detail"), F.col("confidence").alias("weight"),
     )
-    backward = both.join(found.where("section = 'import'"), (F.col("target") == F.col("seed_set")) & (F.col("source") == F.col("path")))
-    backward = backward.select("source", "target", F.lit("import_edge").alias("type"), F.concat("source", F.lit(" imports "), "target").alias("detail"), F.col("confidence").alias("weight"))
-    return forward.unionByName(backward)

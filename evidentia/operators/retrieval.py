@@ -31,6 +31,9 @@ K1, B, CANDIDATES, DECIMALS = 1.2, 0.75, 50, 6
 #: Score of a substring symbol match, rows beyond top_k, factor for tests where the query isn't about them.
 SUBSTRING_SCORE, EXTRA, TEST_FACTOR = 1.5, 3, 0.8
 
+#: Rows (query, term) up to which BM25 sends them to all documents; terms have MAX_TOKEN_BYTES at most.
+ASKED_ROWS = 1 << 17
+
 #: Vectors of a block; characters of a file that a packet shows without a chunk.
 BLOCK, PREVIEW = 1_024, 400
 
@@ -83,13 +86,16 @@ def idf(df: Column, n_docs: Column) -> Column:
 def bm25(docs: DataFrame, queries: DataFrame, k: int = CANDIDATES, fields: tuple[str, ...] = ("body",)) -> DataFrame:
     """(query_id, doc, score, rank): the ``k`` best documents by the sum over query terms and fields; a repeated term counts each time."""
     asked = queries.select("query_id", F.explode(T.index_tokens(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("times"))
-    index = postings(docs, *fields, wanted=asked.select("term").distinct())
-    terms = term_stats(index)
-    rows = index.join(terms, ["field", "term"]).join(field_stats(docs, *fields), "field")
+    few = asked.limit(ASKED_ROWS + 1).count() <= ASKED_ROWS
+    sent = F.broadcast if few else lambda df: df
+    index = postings(docs, *fields, wanted=sent(asked.select("term").distinct()))
+    terms = term_stats(index)  # no more of them than asked terms in each field
+    rows = index.join(sent(terms), ["field", "term"]).join(field_stats(docs, *fields), "field")
     tf = F.col("tf").cast("double")
     weight = idf(F.col("df"), F.col("n_docs")) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
-    scored = asked.join(rows.select("term", "doc", weight.alias("weight")), "term")
-    scored = scored.groupBy("query_id", "doc").agg(F.round(F.sum(F.col("weight") * F.col("times")), DECIMALS).alias("score"))
+    weights = rows.select("term", "doc", weight.alias("weight"))
+    weights = weights.repartition("doc") if few else weights  # a document's sums are made where its weights are: (query, doc, term) is never shuffled
+    scored = weights.join(sent(asked), "term").groupBy("query_id", "doc").agg(F.round(F.sum(F.col("weight") * F.col("times")), DECIMALS).alias("score"))
     return top(scored, k, ["query_id"], [F.desc("score"), F.col("doc")])
 
 

@@ -147,3 +147,13 @@ def test_stream_state(spark):
     assert {r.path: r.kind for r in held[-1].collect()} == {"a": "remove", "b": "create"}
     events = frame(("src/a.rs", 1, "modify"), ("target/x", 1, "modify"), (".git/HEAD", 1, "modify"), ("src/b.rs", 1, "access"))
     assert {(r.path, r.route) for r in changes.routed_events(events).collect()} == {("src/a.rs", "file"), (".git/HEAD", "head")}
+
+
+def test_bm25_of_many_queries(spark, monkeypatch):
+    """Queries that are too many to be sent are joined by term, with the same scores."""
+    docs = spark.createDataFrame([(1, "a/red.py", "red gear, red bolt"), (2, "b.py", "blue bolt"), (3, "c.py", ""), (4, "d.py", None)], "doc long, path string, body string")
+    asked = spark.createDataFrame([(1, "red bolt bolt"), (2, "c py"), (3, ""), (4, None)], "query_id long, text string")
+    sent = sorted(map(tuple, retrieval.bm25(docs, asked, 3, ("path", "body")).collect()))
+    monkeypatch.setattr(retrieval, "ASKED_ROWS", 0)
+    joined = sorted(map(tuple, retrieval.bm25(docs, asked, 3, ("path", "body")).collect()))
+    assert sent == joined and {(q, d) for q, d, *_ in sent} == {(1, 1), (1, 2), (2, 2), (2, 3), (2, 4)}
