@@ -15,8 +15,11 @@ a large group of near copies, are not: what is asked for is only what classes ar
 linked into. There every row first meets one pivot. After that only columns that
 still hold several components go on, with ever more of their rows as pivots
 against the rows of other components, until each such pair of the column was
-counted. Of the pairs that survive, those that would join two components are
-counted whole. No pair that could do so is left out.
+counted. The rows that come earliest in the order are pivots first: they have the
+fewest n-grams that few others have, so what is linked at all is soon one
+component, and few pairs are left for the many pivots of later rounds. Of the
+pairs that survive, those that would join two components are counted whole. No
+pair that could do so is left out.
 """
 
 from __future__ import annotations
@@ -26,7 +29,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
@@ -41,8 +44,11 @@ PART, WHOLE = 75, 100
 #: Frequent n-grams that the global order knows; n-grams that a task counts at once; least count there to be reported.
 FREQUENT, AT_ONCE, REPORTED = 1 << 20, 1 << 21, 2
 
-#: Rows up to which a column is multiplied at once; rows of a piece of a longer one; factor by which pivots grow.
-SMALL, PIECE, GROWTH = 64, 2_000, 16
+#: Rows up to which a column is multiplied at once; rows of a piece of a longer one; pivots of a column at first, and the factor by which they grow.
+SMALL, PIECE, FEW, GROWTH = 64, 2_000, 2, 16
+
+#: Levels of places by which early rows are ordered as pivots.
+LEVELS = 32
 
 _IDS = ", ".join(f"{c} long" for c in ROW_ID)
 
@@ -303,17 +309,40 @@ def _band(n, part: int, whole: int):
     return F.floor(F.log(n.cast("double")) / (float(np.log(whole / part)) * (1 + 1e-6))).cast("int")
 
 
+def _mixed(tagged: DataFrame, before: int) -> DataFrame:
+    """(gram, main): columns with several components and more early rows than ``before``, and the component with most rows there."""
+    parts = tagged.groupBy("gram", "comp").agg(F.count(F.lit(1)).alias("n"), F.count_if("early").alias("m"))
+    parts = parts.groupBy("gram").agg(F.max(F.struct("n", "comp"))["comp"].alias("main"), F.count(F.lit(1)).alias("comps"), F.sum("m").alias("m"))
+    return parts.where(f"comps > 1 and m > {before}").select("gram", "main")
+
+
+def _ranked(active: DataFrame, part: int, whole: int) -> DataFrame:
+    """``active`` with ``u``, a row's turn as a pivot of its column: early places first, within a level of places by hash. Null for rows that are not early.
+
+    The levels are counted, so no task sorts the rows of a column.
+    """
+    level = F.when(F.col("early"), F.floor(LEVELS * (whole + part) * F.col("at") / ((whole - part) * F.col("n"))).cast("int"))
+    rows = active.withColumn("level", level)
+    counts = rows.where("early").groupBy("gram", "level").agg(F.count(F.lit(1)).alias("m"))
+    counts = counts.withColumn("sooner", F.sum("m").over(Window.partitionBy("gram").orderBy("level")) - F.col("m"))
+    u = F.col("sooner") + F.pmod(F.xxhash64("class"), F.lit(1 << 40)) / F.lit(float(1 << 40)) * F.col("m")
+    return rows.join(counts.hint("merge"), ["gram", "level"], "left").select(*active.columns, u.alias("u"))
+
+
 def _cross_pairs(active: DataFrame, before: int, pivots: int, part: int, whole: int) -> DataFrame:
     """Pairs of classes of one column and several components: the early rows with ``u`` from ``before`` to ``pivots`` against all not yet met.
 
-    Rows meet by column and band of sizes, so hopeless pairs are never made: nor
-    are those of two late rows, which share too little behind their places.
+    Rows meet by column, band of sizes, and whether they are in the column's main
+    component, so hopeless pairs are never made: nor are those of two rows of the
+    main component, or of two late rows, which share too little behind their places.
     """
     names = ("class", "n", "at", "comp", "u")
+    is_main = F.col("comp") == F.col("main")
     p = active.where(F.col("early") & (F.col("u") >= before) & (F.col("u") < pivots))
-    p = p.select("gram", *[F.col(c).alias(f"p_{c}") for c in names], F.explode(F.array(*[_band(F.col("n"), part, whole) + k for k in (-1, 0, 1)])).alias("band"))
-    rows = active.where(~F.col("early") | (F.col("u") >= before)).withColumn("band", _band(F.col("n"), part, whole))
-    both = rows.join(p.hint("merge"), ["gram", "band"]).where("comp <> p_comp").where(~F.col("early") | (F.col("u") >= pivots) | (F.col("class") > F.col("p_class")))
+    p = p.withColumn("band", F.explode(F.array(*[_band(F.col("n"), part, whole) + k for k in (-1, 0, 1)])))
+    p = p.select("gram", "band", *[F.col(c).alias(f"p_{c}") for c in names], F.explode(F.when(is_main, F.array(F.lit(False))).otherwise(F.array(F.lit(False), F.lit(True)))).alias("in_main"))
+    rows = active.where(~F.col("early") | (F.col("u") >= before)).withColumn("band", _band(F.col("n"), part, whole)).withColumn("in_main", is_main)
+    both = rows.join(p.hint("merge"), ["gram", "band", "in_main"]).where("comp <> p_comp").where(~F.col("early") | (F.col("u") >= pivots) | (F.col("class") > F.col("p_class")))
     both = both.where(_can_link(F.col("n"), F.col("at"), F.col("p_n"), F.col("p_at"), part, whole))
     return both.select(F.greatest("class", "p_class").alias("a"), F.least("class", "p_class").alias("b")).distinct()
 
@@ -375,16 +404,18 @@ def linked_components(docs: DataFrame, n: int = NGRAM, part: int = PART, whole:
     open_pairs = pairs.select("a", "b").join(comp("a"), "a").join(comp("b"), "b").where("comp_a <> comp_b").select("a", "b").join(first, ["a", "b"], "left_anti")
     comps = _merged(comps, _linked(open_pairs, whole_sets, part, whole))
 
-    active, before, pivots = long.select("gram", "class", "n", "at").distinct(), 0, GROWTH
+    active, before, pivots = long.select("gram", "class", "n", "at").distinct().withColumn("early", _early(F.col("n"), F.col("at"), part, whole)), 0, FEW
     while True:
-        tagged = saved(active.select("gram", "class", "n", "at").join(comps, "class").withColumn("early", _early(F.col("n"), F.col("at"), part, whole)), "tagged")
-        mixed = tagged.groupBy("gram").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2"), F.count_if("early").alias("m")).where(f"c1 <> c2 and m > {before}")
-        mixed = saved(mixed.select("gram", "m"), "mixed")
-        rest = saved(tagged.join(mixed.hint("merge"), "gram").withColumn("u", F.pmod(F.xxhash64("class"), F.lit(1 << 40)) / F.lit(float(1 << 40)) * F.col("m")), "active")
-        dropped(tagged, mixed, *([] if before == 0 else [active]))
+        tagged = saved(active.drop("comp", "main").join(comps, "class"), "tagged")
+        mixed = saved(_mixed(tagged, before), "mixed")
+        rest = saved(tagged.join(mixed.hint("merge"), "gram"), "active")
+        dropped(tagged, mixed, *([active] if before else []))
         active = rest
         if active.isEmpty():
             break
+        if not before:
+            active = saved(_ranked(rest, part, whole), "active")
+            dropped(rest)
         comps = _merged(comps, _linked(_cross_pairs(active, before, pivots, part, whole), whole_sets, part, whole))
         before, pivots = pivots, pivots * GROWTH
 

@@ -102,6 +102,52 @@ def test_jaccard_large_groups_that_are_near_but_not_linked(spark, tmp_path):
     assert ordered((r.doc_id, r.component_id) for r in found.collect()) == ordered((d, d if d >= 50_000 else d // 10_000 * 10_000) for d, _ in rows)
 
 
+def test_jaccard_few_pairs_in_a_group_that_is_linked_in_part(spark, tmp_path, monkeypatch):
+    """Copies of one text with 1 to 6 words changed: some link with many, some with none; most of what is linked is found by few pivots."""
+    rng = random.Random(17)
+    base, rows, made, whole = words(rng, 150, 90_000).split(), [], [], jaccard._cross_pairs
+    for i in range(900):
+        near = list(base)
+        for at in rng.sample(range(150), 1 + i % 6):
+            near[at] = f"n{i}x{at}"
+        rows.append((i, " ".join(near)))
+    rng.shuffle(rows)
+
+    def counted(active, *more):
+        found = whole(active, *more)
+        made.append(found.count())
+        return found
+
+    monkeypatch.setattr(jaccard, "_cross_pairs", counted)
+    found = jaccard.linked_components(as_parquet(spark, tmp_path, rows))
+    assert ordered((r.doc_id, r.n_shingles, r.component_id) for r in found.collect()) == ordered(brute.jaccard(rows))
+    assert made and sum(made) < 20 * len(rows), made
+
+
+def test_jaccard_pivots_come_by_place(spark):
+    """Rows that come early in the order are pivots first; rows that are not early have no turn."""
+    rows = [(7, c, 140, c % 30, c % 30 <= 20) for c in range(3_000)]
+    ranked = jaccard._ranked(spark.createDataFrame(rows, "gram long, class long, n int, at int, early boolean"), 75, 100).collect()
+    assert len(ranked) == 3_000 and all((r.u is not None) == r.early for r in ranked)
+    for r in ranked:
+        assert r.u is None or r["at"] * 100 <= r.u < (r["at"] + 1) * 100
+
+
+def test_jaccard_every_pair_meets(spark):
+    """Over all rounds, each pair of early rows of different components meets, and no pair within one."""
+    rng = random.Random(23)
+    rows = [(g, c, 140, rng.randrange(21), True, 0 if c % 3 else c) for g in (1, 2) for c in range(90)]
+    active = spark.createDataFrame(rows, "gram long, class long, n int, at int, early boolean, comp long")
+    mixed = jaccard._mixed(active, 0)
+    assert ordered(r[:] for r in mixed.collect()) == [(1, 0), (2, 0)]
+    ranked, met, before, pivots = jaccard._ranked(active.join(mixed, "gram"), 75, 100).localCheckpoint(), [], 0, 2
+    while before < 90:
+        met += [r[:] for r in jaccard._cross_pairs(ranked, before, pivots, 75, 100).collect()]
+        before, pivots = pivots, pivots * 4
+    comp = {r[1]: r[5] for r in rows}
+    assert set(met) == {(a, b) for a in range(90) for b in range(a) if comp[a] != comp[b]}
+
+
 def test_jaccard_late_rows_never_link():
     """Rows of which both come late in the order lack the places that a link needs."""
     for n in range(1, 60):
