@@ -183,6 +183,14 @@ def _gathered(sizes: Iterator[int]) -> Iterator[tuple[int, int]]:
         yield first, n
 
 
+def _fields(column: pa.ListArray) -> Iterator[list[np.ndarray]]:
+    """The fields of each list of structs as arrays, without an object for each struct; null is an empty list."""
+    each, ends = column.flatten(), np.cumsum(pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False))
+    fields = [each.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(each.type.num_fields)]
+    for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=False):
+        yield [x[a:b] for x in fields]
+
+
 _ID_SCHEMA = ", ".join(f"{c} long" for c in ROW_ID)
 
 
@@ -224,7 +232,7 @@ def _contexts(rows: DataFrame, window: int, rounds: int) -> DataFrame:
         parser = Parser(window, rounds)
         for batch in batches:
             texts = list(texts_of(batch))
-            places = [np.asarray(x, np.int64) for x in batch.column("places").to_pylist()]
+            places = [x.values.to_numpy(zero_copy_only=False).astype(np.int64) for x in batch.column("places")]
             for first, last in _gathered(map(len, texts)):
                 parser.join(texts[first:last])
                 at, key = parser.representatives()
@@ -331,11 +339,10 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, rounds: int = ROUNDS)
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             counts, gone, spans, kept = [], [], [], []
-            for text, starts, copy in zip(texts_of(batch), batch.column("starts").to_pylist(), batch.column("copy").to_pylist(), strict=True):
+            for text, starts, copy in zip(texts_of(batch), _fields(batch.column("starts")), batch.column("copy").to_pylist(), strict=True):
                 words = space_words(text)
                 n = len(words)
-                found = np.array([(x["first"], x["last"]) for x in starts or ()], np.int64).reshape(-1, 2)
-                first, last = (np.array([0]), np.array([n])) if copy else marked_spans(n, found[:, 0], found[:, 1] - found[:, 0] + window)
+                first, last = (np.array([0]), np.array([n])) if copy else marked_spans(n, starts[0], starts[1] - starts[0] + window)
                 pieces, at = [], 0
                 for a, b in zip(first.tolist(), last.tolist(), strict=True):
                     pieces += words[at:a]

@@ -1,6 +1,8 @@
 import random
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -207,6 +209,22 @@ def test_first_text_of_a_chunk_is_parsed_as_any_other():
     assert parsed(texts) == [parsed([t])[0] for t in texts]
 
 
+def test_starts_of_windows_are_no_objects():
+    """A batch holds up to a million starts of windows; reading them takes some bytes each, not a dictionary."""
+    kind = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))
+    small = pa.array([None, [], [{"first": 3, "last": 5}, {"first": 9, "last": 9}], None, [{"first": 1, "last": 2}], []], kind)
+    for part in (small, small.slice(2), small.slice(3, 2), small.slice(0, 0)):
+        assert [[x.tolist() for x in found] for found in recompression._fields(part)] == [[[x[k] for x in found or ()] for k in ("first", "last")] for found in part.to_pylist()]
+    n = 200_000
+    large = pa.ListArray.from_arrays(np.arange(0, n + 1, 1_000, dtype=np.int32), pa.StructArray.from_arrays([pa.array(np.arange(n, dtype=np.int32))] * 2, names=["first", "last"]))
+    tracemalloc.start()
+    try:
+        assert sum(len(first) for first, _ in recompression._fields(large)) == n
+        assert tracemalloc.get_traced_memory()[1] < 48 * n
+    finally:
+        tracemalloc.stop()
+
+
 def test_lines(spark, tmp_path):
     rng = random.Random(5)
     pool = [f"line number {i} with enough characters" for i in range(6)] + ["short", "", "   ", "LINE NUMBER 0 WITH ENOUGH CHARACTERS  ", "É longer line that has an accent"]
