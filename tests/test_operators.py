@@ -157,3 +157,37 @@ def test_bm25_of_many_queries(spark, monkeypatch):
     monkeypatch.setattr(retrieval, "ASKED_ROWS", 0)
     joined = sorted(map(tuple, retrieval.bm25(docs, asked, 3, ("path", "body")).collect()))
     assert sent == joined and {(q, d) for q, d, *_ in sent} == {(1, 1), (1, 2), (2, 2), (2, 3), (2, 4)}
+
+
+def test_import_classes_give_the_whole_graph(spark, monkeypatch):
+    """Without the edges: the same counts, distances and reasons as with them. With them: each once, behind no shuffle."""
+    monkeypatch.setattr(graph, "BLOCK", 3)
+    names = ["alpha", "beta", "gamma", "hot"]
+    files = [f"s/p{i}/{names[i % 4] if i % 3 else 'hot'}.py" for i in range(24)]
+    links = [(p, t) for i, p in enumerate(files) for t in ([names[i % 2]] if i % 5 else ["hot", "p3/hot", "nowhere"])]
+    imports, known = spark.createDataFrame(links, "path string, target string"), spark.createDataFrame([(p,) for p in files], "path string")
+    keys = lambda p: (p.split("/")[-1][:-3], "/".join(p[:-3].split("/")[-2:]))
+    wanted = {(s, p) for s, t in links for p in files if t in keys(p) and s != p}
+    classes = graph.import_classes(imports, known)
+    made = graph.edges_of(classes)
+    rows = [tuple(r) for r in made.collect()]
+    assert len(rows) == len(set(rows)) and set(rows) == wanted
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Generate explode") == 2 and "Aggregate" not in plan[: plan.index("RepartitionByExpression")] and "Join" not in plan[: plan.index("RepartitionByExpression")]
+    drawn = edges(spark, sorted(wanted))
+    each = known.select(F.col("path").alias("seed_set"), "path")
+    for hops in (1, 2, 3):
+        expected = {tuple(r) for r in graph.dependents(drawn, each, hops).collect()}
+        assert {tuple(r) for r in graph.dependents_of_each(classes, known, hops).collect()} == expected
+    together = history.cochange_edges(commits(spark, files[:3], files[1:4], files[:2], files[4:6], files[4:6]))
+    kinds = drawn.withColumn("kind", F.lit("imports")).unionByName(together.select(F.col("path_a").alias("src"), F.col("path_b").alias("dst"), F.lit("cochange").alias("kind")))
+    assert graph.whole_stats(classes, together).first().asDict() == graph.stats(graph.from_edges(kinds)).first().asDict()
+    pairs = together.select(F.col("path_a").alias("source"), F.col("path_b").alias("target")).unionByName(drawn.select(F.col("src").alias("source"), F.col("dst").alias("target")))
+    by_edges = sorted(map(tuple, graph.explain(together, drawn, pairs, known).collect()))
+    assert sorted(map(tuple, graph.explain_all(together, classes, known).collect())) == by_edges and len(by_edges) > 50
+
+
+def test_no_imports(spark):
+    none = graph.import_classes(spark.createDataFrame([], "path string, target string"), spark.createDataFrame([("a/b/long.py",)], "path string"))
+    assert graph.edges_of(none).count() == 0
+    assert graph.whole_stats(none, edges(spark, []).toDF("path_a", "path_b")).first()[:] == (0, 0, 0, 0)
