@@ -191,3 +191,50 @@ def test_no_imports(spark):
     none = graph.import_classes(spark.createDataFrame([], "path string, target string"), spark.createDataFrame([("a/b/long.py",)], "path string"))
     assert graph.edges_of(none).count() == 0
     assert graph.whole_stats(none, edges(spark, []).toDF("path_a", "path_b")).first()[:] == (0, 0, 0, 0)
+
+
+def test_bm25_in_blocks(spark, monkeypatch):
+    """Blocks of any size and by rows: the same scores; only blocks' best rows, of those that reach what was seen, are rows at all."""
+    words = ["red", "blue", "gear", "bolt", "nut", "steel"]
+    docs = spark.createDataFrame([(i, f"a/{words[i % 6]}.py", " ".join(words[(i * j) % 6] for j in range(i % 9)) if i % 10 else None) for i in range(300)], "doc long, path string, body string").repartition(3)
+    asked = spark.createDataFrame([(i, " ".join(words[: i % 5]) + " py red" * (i % 2)) for i in range(40)], "query_id long, text string")
+    size = {i: (i % 3) * 7 for i in range(300)}
+    sized = docs.withColumn("size", (F.col("doc") % 3) * 7)
+    terms = retrieval.asked_terms(asked)
+    rows = sorted(map(tuple, retrieval._bm25_by_rows(docs, terms, 7, ("path", "body")).collect()))
+    hits = {}
+    for q, d, *_ in retrieval._bm25_by_rows(docs, terms, 300, ("path", "body")).collect():
+        hits[q] = hits.get(q, 0) + size[d]
+    for block, at_once in ((1_024, 1 << 21), (16, 5)):
+        monkeypatch.setattr(retrieval, "BLOCK", block)
+        monkeypatch.setattr(retrieval, "AT_ONCE", at_once)
+        blocks = retrieval.lexical_blocks(sized, terms, ("path", "body"), "size")
+        assert sorted(map(tuple, blocks.best(7).collect())) == rows
+        assert dict(map(tuple, blocks.matched().collect())) == hits
+    assert retrieval.lexical_blocks(docs.unionByName(docs.limit(1)), terms, ("body",)) is None  # repeated ids are summed up by rows
+    monkeypatch.setattr(retrieval, "VOCABULARY", 1)
+    assert retrieval.lexical_blocks(docs, terms, ("body",)) is None
+
+
+def test_best_rows_of_what_a_task_has_seen():
+    """Blocks after the first give only rows that may be among the best of all; a name that comes again counts once."""
+    import numpy as np
+
+    rng, k, held, kept = np.random.default_rng(7), 3, {}, []
+    blocks = [(np.floor(rng.random((50, 4)) * 30), rng.integers(0, 60, 50)) for _ in range(20)]
+    blocks = [(scores[np.unique(names, return_index=True)[1]], np.unique(names)) for scores, names in blocks]
+    for scores, names in blocks:
+        rows, cols = retrieval._best_rows(scores, k, held, 0, names)
+        kept += [(c, names[r], scores[r, c]) for r, c in zip(rows.tolist(), cols.tolist(), strict=True)]
+    for q in range(4):
+        best = lambda found: sorted({n: max(s for m, s in found if m == n) for n, _ in found}.items(), key=lambda x: -x[1])[:k]
+        everything = [(n, s[i, q]) for s, names in blocks for i, n in enumerate(names)]
+        assert [s for _, s in best([(n, s) for c, n, s in kept if c == q])] == [s for _, s in best(everything)]
+    assert len(kept) < 20 * 4 * k
+
+
+def test_vectors_are_made_in_small_batches(spark):
+    """A worker gets few bytes at once, however many rows a file has."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(1 << 40))
+    retrieval.hashed_arrays(spark.createDataFrame([(1, ["red"])], "doc long, body array<string>"), F.col("body"), "doc")
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) <= 16 << 20
