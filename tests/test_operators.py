@@ -193,6 +193,20 @@ def test_no_imports(spark):
     assert graph.whole_stats(none, edges(spark, []).toDF("path_a", "path_b")).first()[:] == (0, 0, 0, 0)
 
 
+def test_cochange_makes_each_pair_once(spark):
+    """Commits are shuffled once and never joined with themselves, with the counts of all pairs."""
+    from collections import Counter
+    from itertools import permutations
+
+    groups = [{(i * j) % 11 for j in range(i % 7)} for i in range(60)] + [set(range(11))]
+    rows = spark.createDataFrame([(i, 0, f"f{x}") for i, files in enumerate(groups) for x in files] * 2 + [(3, 0, None)], "commit int, ts long, file string")
+    small = [{f"f{x}" for x in g} for i, g in enumerate(groups) if len(g) + (i == 3) <= 5]
+    pairs, totals = Counter(p for g in small for p in permutations(g, 2)), Counter(x for g in small for x in g)
+    found = history.cochange_edges(rows, cap=5)
+    assert {(r.path_a, r.path_b): (r.n, r.total) for r in found.collect()} == {p: (n, totals[p[0]]) for p, n in pairs.items() if n >= 2}
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1
+
+
 def test_bm25_in_blocks(spark, monkeypatch):
     """Blocks of any size and by rows: the same scores; only blocks' best rows, of those that reach what was seen, are rows at all."""
     words = ["red", "blue", "gear", "bolt", "nut", "steel"]
