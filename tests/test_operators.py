@@ -249,6 +249,25 @@ def test_best_rows_of_what_a_task_has_seen():
 
 def test_vectors_are_made_in_small_batches(spark):
     """A worker gets few bytes at once, however many rows a file has."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(1 << 40))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(1 << 28))
     retrieval.hashed_arrays(spark.createDataFrame([(1, ["red"])], "doc long, body array<string>"), F.col("body"), "doc")
     assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) <= 16 << 20
+
+
+def test_units_are_made_once_for_queries_in_many_partitions(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            made.add(len(batch))
+            yield batch
+
+    units = spark.range(40).select("id", F.array(F.col("id").cast("double"), F.lit(1.0)).alias("vector")).mapInArrow(counted, "id long, vector array<double>")
+    asked = spark.createDataFrame([(i, [1.0, 0.0]) for i in range(5)], "query_id long, vector array<double>").repartition(5)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = retrieval.nearest_rows(units, asked, 2).collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert sorted((r.query_id, r.id) for r in rows) == [(q, i) for q in range(5) for i in (38, 39)] and made.value == 40
